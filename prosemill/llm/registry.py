@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, mixing, secrets, simhash, token_counts, toxicity
+from . import chat, decontaminate, exact_dedup, fm_index, mixing, secrets, simhash, suffix_groups, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_chat_format": chat.op2_chat_format,
     "op3_mixing": mixing.op3_mixing,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_substring_dedup": fm_index.op5_substring_dedup,
+    "op6_suffix_dedup": suffix_groups.op6_suffix_dedup,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_simhash": simhash.op8_simhash,
     "op9_token_counts": token_counts.op9_token_counts,
