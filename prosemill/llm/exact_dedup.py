@@ -32,8 +32,9 @@ def _digest(norm: Column) -> Column:
     return F.unhex(F.sha2(norm, 256))
 
 
-#: Order of identifiers: smallest first, null last; repeated rows by their place in the log.
-_ENTRY = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("rid").alias("rid"))
+def _entry() -> Column:
+    """Order of identifiers: smallest first, null last; repeated rows by their place in the log."""
+    return F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("rid").alias("rid"))
 
 
 class DigestIndex:
@@ -56,7 +57,7 @@ class DigestIndex:
         entries = docs.select(F.col(id_col).alias("id"), _digest(norm).alias("digest")).withColumn("rid", F.monotonically_increasing_id() + F.lit(batch << 54))
         log = self.scratch.write(entries, f"log{batch}")
         memtable = F.pmod(F.shiftright("rid", 33), F.lit(self.memtables)).cast("int")
-        flushed = log.groupBy(memtable.alias("run"), "digest").agg(F.min(_ENTRY).alias("keep"), F.count(F.lit(1)).alias("n"))
+        flushed = log.groupBy(memtable.alias("run"), "digest").agg(F.min(_entry()).alias("keep"), F.count(F.lit(1)).alias("n"))
         self.scratch.write(flushed.sortWithinPartitions("run", "digest"), f"runs{batch}", ["run"], **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
         self.batches += 1
 
@@ -99,7 +100,7 @@ def _by_text(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, bad:
     norm = normalised(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("digest", _digest(F.col("norm"))).join(bad, "digest", "left_semi")
     rows = scratch.write(rows.select("id", F.concat(F.lit("bytes:").cast("binary"), F.col("norm").cast("binary")).alias("digest")).withColumn("rid", -F.monotonically_increasing_id() - 1), "collided")
-    exact = rows.groupBy("digest").agg(F.min(_ENTRY).alias("keep"), F.count(F.lit(1)).alias("n"))
+    exact = rows.groupBy("digest").agg(F.min(_entry()).alias("keep"), F.count(F.lit(1)).alias("n"))
     return (compacted.join(bad, "digest", "left_anti").unionByName(exact), log.join(bad, "digest", "left_anti").unionByName(rows.select(*log.columns)))
 
 
