@@ -142,7 +142,10 @@ def words(c: Column) -> Column:
 def ngrams(c: Column, n: int) -> Column:
     """All runs of n words, joined by a space; none if there are fewer words."""
     w = words(c)
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    count = F.greatest(F.size(w) - n + 1, F.lit(0))
+    # n shifted copies side by side; a lambda over positions would split the text again for each
+    shifted = F.arrays_zip(*[F.slice(w, i + 1, count).alias(f"w{i}") for i in range(n)])
+    return F.transform(shifted, lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(n)]))
 
 
 def similar_names(a: Column, b: Column) -> Column:

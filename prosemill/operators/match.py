@@ -54,7 +54,7 @@ def component_substring(products: DataFrame, dictionary: DataFrame) -> DataFrame
 
 
 def cascade(products: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Every product with level (1 generic, 2 brand, 3 component, 4 substring, null) and name_key.
+    """Every product with level (1 generic, 2 brand, 3 component, 4 substring, 0 none) and name_key.
 
     Generic before brand before components; components in order, exact before substring within
     one; among substring hits the longest name, then the smallest.
@@ -67,7 +67,7 @@ def cascade(products: DataFrame, dictionary: DataFrame) -> DataFrame:
         hits = hits.unionByName(step(open_rows, dictionary).select("row_id", "name_key", F.lit(level).alias("level"), "pos"))
     rank = F.struct(F.when(F.col("level") < 3, F.col("level")).otherwise(3), "pos", "level", -F.length("name_key"), "name_key")
     best = hits.groupBy("row_id").agg(F.min_by(F.struct("level", "name_key"), rank).alias("m"))
-    return products.join(best, "row_id", "left").select(*products.columns, F.col("m.level").alias("level"), F.col("m.name_key").alias("name_key"))
+    return products.join(best, "row_id", "left").select(*products.columns, F.coalesce("m.level", F.lit(0)).alias("level"), F.col("m.name_key").alias("name_key"))
 
 
 def enrich(matched: DataFrame, dictionary: DataFrame) -> DataFrame:

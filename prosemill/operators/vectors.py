@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def norm(v: Column) -> Column:
@@ -114,4 +115,4 @@ def hashing_encoder(dim: int = 64) -> Callable[[], Callable[[np.ndarray], np.nda
 def encode(c: Column, make: Callable, batch: int = 256) -> Column:
     from pyspark.ml.functions import predict_batch_udf
 
-    return predict_batch_udf(make, return_type="array<float>", batch_size=batch)(c)
+    return predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch)(c)

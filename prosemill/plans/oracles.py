@@ -91,8 +91,9 @@ def words(x: str) -> str:
     return f"list_filter(string_split_regex({x}, '{WS}+'), lambda w: w <> '')"
 
 
-def ngrams(x: str, n: int) -> str:
-    return f"list_transform(range(1, greatest(1, len({words(x)}) - {n - 2})), lambda i: array_to_string(({words(x)})[i:i + {n - 1}], ' '))"
+def phrase_names(source: str, n: int) -> str:
+    """Distinct (n, phrase, name) of `source` (name, text)."""
+    return f"(SELECT DISTINCT {n} AS n, phrase, name FROM (SELECT name, array_to_string(w[i:i + {n - 1}], ' ') AS phrase FROM (SELECT name, w, unnest(range(1, len(w) - {n - 2})) AS i FROM (SELECT lower(name) AS name, {words('text')} AS w FROM {source}))) WHERE strlen(phrase) >= 10)"
 
 
 def similar(a: str, b: str) -> str:
@@ -108,13 +109,13 @@ def removed(source: str, phrases: Sequence[str]) -> str:
     """id, text of `source` (id, text) after the ordered removal, by recursion over (phrase, occurrence)."""
     cut = "',;:. '"
     listed = "[" + ", ".join(q(p) for p in phrases) + "]"
-    left, right = f"rtrim(substr(text, 1, at - 1), {cut})", f"ltrim(substr(text, at + length(p)), {cut})"
+    left, right = f"rtrim(substr(text, 1, loc - 1), {cut})", f"ltrim(substr(text, loc + length(p)), {cut})"
     return f"""(WITH RECURSIVE step AS (
   SELECT id, text, 1 AS k FROM {source}
   UNION ALL
-  SELECT id, CASE WHEN at = 0 THEN text ELSE {left} || CASE WHEN {left} <> '' AND {right} <> '' THEN ' ' ELSE '' END || {right} END,
-         CASE WHEN at = 0 THEN coalesce((SELECT min(m) FROM unnest(range(k + 1, {len(phrases) + 1})) AS u(m) WHERE contains(lower(text), ({listed})[m])), {len(phrases) + 1}) ELSE k END
-  FROM (SELECT id, text, k, ({listed})[k] AS p, instr(lower(text), ({listed})[k]) AS at FROM step WHERE k <= {len(phrases)}))
+  SELECT id, CASE WHEN loc = 0 THEN text ELSE {left} || CASE WHEN {left} <> '' AND {right} <> '' THEN ' ' ELSE '' END || {right} END,
+         CASE WHEN loc = 0 THEN coalesce((SELECT min(m) FROM unnest(range(k + 1, {len(phrases) + 1})) AS u(m) WHERE contains(lower(text), ({listed})[m])), {len(phrases) + 1}) ELSE k END
+  FROM (SELECT id, text, k, ({listed})[k] AS p, instr(lower(text), ({listed})[k]) AS loc FROM step WHERE k <= {len(phrases)}))
 SELECT id, trim(regexp_replace(text, '{WS}+', ' ', 'g'), {cut}) AS text FROM step WHERE k = {len(phrases) + 1})"""
 
 

@@ -144,7 +144,7 @@ _M1 = f"SELECT row_id, name_key FROM (SELECT row_id, {_K} AS name_key FROM {PROD
 _M2 = f"SELECT row_id, name_key FROM (SELECT row_id, {O.key('drug_name')} AS name_key FROM {PRODUCTS.sql} AS f) JOIN {DICTIONARY.sql} AS d USING (name_key) WHERE name_key NOT IN ('', 'none')"
 _M3 = f"SELECT row_id, CAST(pos AS INT) AS pos, name_key FROM {_PARTS} AS c JOIN {DICTIONARY.sql} AS d ON component = name_key"
 _M4 = f"SELECT row_id, CAST(pos AS INT) AS pos, name_key FROM {_PARTS} AS c JOIN {DICTIONARY.sql} AS d ON strlen(name_key) >= 4 AND (contains(component, name_key) OR contains(name_key, component))"
-_CASCADE = f"""(SELECT p.*, level, name_key FROM {PRODUCTS.sql} AS p LEFT JOIN (
+_CASCADE = f"""(SELECT p.*, coalesce(level, 0) AS level, name_key FROM {PRODUCTS.sql} AS p LEFT JOIN (
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY least(level, 3), pos, level, -length(name_key), name_key) AS r FROM (
 SELECT row_id, name_key, 1 AS level, 0 AS pos FROM ({_M1}) UNION ALL SELECT row_id, name_key, 2, 0 FROM ({_M2})
 UNION ALL SELECT row_id, name_key, 3, pos FROM ({_M3}) UNION ALL SELECT row_id, name_key, 4, pos FROM ({_M4}))) WHERE r = 1) AS m USING (row_id))"""
@@ -197,7 +197,7 @@ def _xml(s: SparkSession, d: str) -> DataFrame:
 register("xml_scan", _xml)
 
 # phrases
-_NAMES_SQL = {n: f"(SELECT DISTINCT {n} AS n, phrase, name FROM (SELECT lower(source) AS name, unnest(list_distinct({O.ngrams('text', n)})) AS phrase FROM documents WHERE coalesce(text, '') <> '') WHERE strlen(phrase) >= 10)" for n in (3, 4, 5)}
+_NAMES_SQL = {n: O.phrase_names("(SELECT source AS name, text FROM documents WHERE coalesce(text, '') <> '')", n) for n in (3, 4, 5)}
 
 
 def _phrase_names(s: SparkSession, d: str, sizes=(SHOP_PHRASE_N,)) -> DataFrame:
@@ -340,6 +340,9 @@ UNION ALL SELECT 'INSERT INTO region_list VALUES (''' || r_regionkey || ''', '''
 )
 
 
+_FOLDED = O.fold("coalesce(text, '')")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded documents to ranked phrases that many sources share."""
     docs = table(spark, sf_dir, "documents").select("source", X.fold_ascii(F.coalesce("text", F.lit(""))).alias("text"))
@@ -349,5 +352,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 register(
     "flagship_phrases",
     flagship,
-    f"SELECT 5 AS n, phrase, count(*) AS total FROM (SELECT DISTINCT phrase, name FROM (SELECT lower(source) AS name, unnest(list_distinct({O.ngrams('text', 5)})) AS phrase FROM (SELECT source, {O.fold('''coalesce(text, '')''')} AS text FROM documents)) WHERE strlen(phrase) >= 10) GROUP BY phrase HAVING count(*) >= 5",
+    f"SELECT n, phrase, count(*) AS total FROM {O.phrase_names(f'(SELECT source AS name, {_FOLDED} AS text FROM documents)', 5)} GROUP BY 1, 2 HAVING count(*) >= 5",
 )
