@@ -43,7 +43,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str, partition: list[str] | None = None, **options: str) -> DataFrame:
         writer = df.write.mode("overwrite").options(**{"compression": "zstd", **options})
         (writer.partitionBy(*partition) if partition else writer).parquet(self.path(name))
-        return self.spark.read.parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))  # also where no file was written
 
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more."""

@@ -17,6 +17,8 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,35 +43,31 @@ class DigestIndex:
     """The index: `append` logs and flushes a batch of documents, `compact` merges all runs."""
 
     def __init__(self, scratch: Scratch, memtables: int = 4):
-        self.scratch, self.memtables, self.batches = scratch, memtables, 0
+        self.scratch, self.memtables = scratch, memtables
+        self.logs: list[DataFrame] = []
+        self.runs: list[DataFrame] = []
         self.index: DataFrame | None = None
 
     def log(self) -> DataFrame:
-        logs = [self.scratch.spark.read.parquet(self.scratch.path(f"log{i}")) for i in range(self.batches)]
-        out = logs[0]
-        for more in logs[1:]:
-            out = out.unionByName(more)
-        return out
+        return reduce(DataFrame.unionByName, self.logs)
 
     def append(self, docs: DataFrame, id_col: str, text_col: str) -> None:
-        batch = self.batches
+        batch = len(self.logs)
         norm = normalised(F.col(text_col))
         entries = docs.select(F.col(id_col).alias("id"), _digest(norm).alias("digest")).withColumn("rid", F.monotonically_increasing_id() + F.lit(batch << 54))
         log = self.scratch.write(entries, f"log{batch}")
         memtable = F.pmod(F.shiftright("rid", 33), F.lit(self.memtables)).cast("int")
         flushed = log.groupBy(memtable.alias("run"), "digest").agg(F.min(_entry()).alias("keep"), F.count(F.lit(1)).alias("n"))
-        self.scratch.write(flushed.sortWithinPartitions("run", "digest"), f"runs{batch}", ["run"], **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
-        self.batches += 1
+        run = self.scratch.write(flushed.sortWithinPartitions("run", "digest"), f"runs{batch}", ["run"], **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
+        self.logs.append(log)
+        self.runs.append(run.select("digest", "keep", "n"))
 
     def compact(self) -> DataFrame:
         """One row per digest: digest, keep (no_id, id, rid), n."""
-        runs = [self.scratch.spark.read.parquet(self.scratch.path(f"runs{i}")) for i in range(self.batches)]
-        merged = runs[0].select("digest", "keep", "n")
-        for more in runs[1:]:
-            merged = merged.unionByName(more.select("digest", "keep", "n"))
+        merged = reduce(DataFrame.unionByName, self.runs)
         merged = merged.groupBy("digest").agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
         self.index = self.scratch.write(merged.sortWithinPartitions("digest"), "compacted", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
-        self.scratch.drop(*(f"runs{i}" for i in range(self.batches)))
+        self.scratch.drop(*(f"runs{i}" for i in range(len(self.runs))))
         return self.index
 
     def collisions(self, docs: DataFrame, text_col: str) -> DataFrame:
