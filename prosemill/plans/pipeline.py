@@ -30,7 +30,7 @@ class Config:
     def from_toml(cls, path: str) -> Config:
         c = readers.config(path)
         paths, emb = c["paths"], c.get("embeddings", {})
-        return cls(paths["ph_fda_drugs_csv"], paths["drugbank_data"], paths.get("output_file", "drugscribed.csv"), paths.get("unboiled_output_file", "boiled.csv"), embed_description=emb.get("description", True), embed_atc=emb.get("atc", True), extra=c)
+        return cls(paths["products_csv"], paths["knowledge_base_xml"], paths.get("output_file", "enriched.csv"), paths.get("unboiled_output_file", "boiled.csv"), embed_description=emb.get("description", True), embed_atc=emb.get("atc", True), extra=c)
 
 
 def scrape(raw: DataFrame) -> DataFrame:
