@@ -99,7 +99,8 @@ class BlobLedger:
             texts = BitFilter(lender.filter(F.col("missing") == todo), mark).keep(hashed, mark)
             found = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans")) for r in todo_rules])
             rows = texts.select("blob", F.explode(found).alias("f")).select("blob", "f.*")
-            # a text that the filter lets through twice gives the same row twice
+            # a text that the filter lets through twice gives the same row twice; one that it lets through
+            # though the ledger has it gives a row again, which readers of the ledger take as a set
             rows = rows.groupBy("blob", "rule", "version").agg(F.first("spans").alias("spans"))
             rows.write.mode("append").option("compression", "zstd").parquet(self.path)
         return log
@@ -115,7 +116,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     flat = book.rows().filter(F.size("spans") > 0).withColumn("kind", number).filter("kind is not null")
     flat = flat.select("blob", F.explode("spans").alias("s"), "kind", "rule").select("blob", F.struct(F.col("s.start"), F.col("kind"), F.col("rule"), F.col("s.end")).alias("span"))
     sizes = log.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
-    found = flat.groupBy("blob").agg(F.array_sort(F.collect_list("span")).alias("spans")).join(sizes, "blob")
+    found = flat.groupBy("blob").agg(F.array_sort(F.collect_set("span")).alias("spans")).join(sizes, "blob")
     out = heavy_left_join(log, scratch.write(found, "found"), "blob", "n", log.count())
     return out.select("id", "blob", F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,rule:string,end:int>>")).alias("spans"))
 

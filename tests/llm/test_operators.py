@@ -254,6 +254,10 @@ def test_secrets(spark, edge, empty, edge_rows, tmp_path):
     secrets.secret_scan(spark, edge, rules=secrets.RULES, ledger=path)
     after = spark.read.parquet(path)
     assert after.count() == before // 3 * 5 == after.select("blob", "rule", "version").distinct().count()
+    # rows that a false positive of the filter appends again do not double findings
+    once = sorted(map(repr, secrets.secret_scan(spark, edge, ledger=path).collect()))
+    spark.createDataFrame(after.collect(), after.schema).write.mode("append").parquet(path)
+    assert sorted(map(repr, secrets.secret_scan(spark, edge, ledger=path).collect())) == once
 
 
 @pytest.mark.parametrize("module", [exact_dedup, chat, decontaminate, secrets])
