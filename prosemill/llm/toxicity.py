@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are its words, pairs of neighbours and pairs with one or two words between,
-hashed into 2**`BITS` places; each occurrence weighs `SCALE` / sqrt(words). Training is online with
+hashed into 2**`BITS` places; each feature that a text has, however often, weighs `SCALE` / words**`POWER`,
+so a long text does not hide an insult among its words. Training is online with
 per-coordinate rates; L1 keeps few weights, so the model that every task gets is at most 2**`BITS`
 numbers, whatever it was trained on.
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .bytesops import U64, blocks, mix, word_hashes, words
 from .common import Scratch, table
 
-BITS, SCALE, TRAIN_ROWS, EPOCHS = 18, 20.0, 20_000, 2
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 10.0, 1.0
+BITS, SCALE, POWER, TRAIN_ROWS, EPOCHS = 18, 4.0, 0.25, 20_000, 3
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 8.0, 1.0
 THRESHOLD = 0.3
 
 #: letters and digits of ASCII (either case) and all bytes of other characters make words
@@ -56,19 +57,23 @@ def features(texts: pa.Array):
         yield lo, (np.concatenate(places) & U64((1 << BITS) - 1)).astype(np.int64), np.concatenate(rows), count
 
 
+def _unit(n_words: np.ndarray | int) -> np.ndarray:
+    """What one feature weighs in texts of so many words."""
+    return SCALE / np.maximum(n_words, 1) ** POWER
+
+
 def _weight(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pass over rows (label, places, counts, n_words); yields the nonzero weights, bias as place -1."""
+    """One pass over rows (label, places, n_words); yields the nonzero weights, bias as place -1."""
     z, n, zb, nb, seen = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0, 0
     for batch in batches:
-        columns = [batch.column(i).to_pylist() if i in (0, 3) else batch.column(i) for i in range(4)]
-        for label, at, count, size in zip(columns[0], columns[1], columns[2], columns[3], strict=True):
+        for label, at, size in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             seen += 1
             at = np.asarray(at.values.to_numpy(zero_copy_only=False), np.int64)
-            x = count.values.to_numpy(zero_copy_only=False) * (SCALE / np.sqrt(max(size, 1)))
+            x = np.full(len(at), _unit(size))
             w = _weight(z[at], n[at])
             wb = -zb / ((BETA + np.sqrt(nb)) / ALPHA)
             error = 1 / (1 + np.exp(-np.clip(w @ x + wb, -30, 30))) - label
@@ -93,18 +98,16 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, may_learn: Co
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, count, size = [], [], []
+            at, size = [], []
             for _, places, row, n_words in features(batch.column(2)):
                 for i, n in enumerate(np.split(places[np.argsort(row, kind="stable")], np.cumsum(np.bincount(row, minlength=len(n_words)))[:-1])):
-                    u, c = np.unique(n, return_counts=True)
-                    at.append(u.astype(np.int32))
-                    count.append(c.astype(np.float32))
+                    at.append(np.unique(n).astype(np.int32))
                     size.append(int(n_words[i]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.float32())), pa.array(size, pa.int64())], names=["place", "label", "at", "count", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(size, pa.int64())], names=["place", "label", "at", "size"])
 
-    ready = scratch.write(rows.mapInArrow(extract, "place long, label int, at array<int>, count array<float>, size long"), "features")
+    ready = scratch.write(rows.mapInArrow(extract, "place long, label int, at array<int>, size long"), "features")
     passes = ready.withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(EPOCHS)])))
-    stream = passes.repartition(1).sortWithinPartitions("pass", "place", "size").select(F.col("label"), "at", "count", "size")
+    stream = passes.repartition(1).sortWithinPartitions("pass", "place", "size").select("label", "at", "size")
     weights = np.zeros((1 << BITS) + 1)
     for place, weight in stream.mapInArrow(_fit, "place int, weight double").collect():  # at most 2**BITS + 1 rows
         weights[place] = weight
@@ -124,7 +127,9 @@ def scorer(spark: SparkSession, weights: np.ndarray):
         dense[places] = values
         out = np.zeros(len(texts))
         for lo, at, row, n_words in features(texts):
-            out[lo : lo + len(n_words)] = np.bincount(row, weights=dense[at], minlength=len(n_words)) * (SCALE / np.sqrt(np.maximum(n_words, 1)))
+            some = np.flatnonzero(dense[at])
+            once = np.unique(row[some] << BITS | at[some])
+            out[lo : lo + len(n_words)] = np.bincount(once >> BITS, weights=dense[once & ((1 << BITS) - 1)], minlength=len(n_words)) * _unit(n_words)
         return pa.array(1 / (1 + np.exp(-np.clip(out + bias, -30, 30))))
 
     return score
