@@ -8,12 +8,17 @@ The histogram has one row per distinct length, whatever the number of documents,
 map-side, so a hot length costs nothing. Suffix sums run in two levels (blocks of `BLOCK` lengths,
 then inside blocks), so no task reads the whole histogram.
 
+The splitting pattern looks ahead over white space, which exhausts the encoder on runs of about a million
+characters; runs of `LONG_WHITE` or more are therefore encoded as the one piece that the pattern makes
+of them, with the same tokens as a whole.
+
 Defined results: null and empty texts have length 0; an empty table gives an empty histogram; other
 columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +32,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splitting pattern of that vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 1024
+#: White space as the pattern's `\s` has it, and from how many characters on a run is cut out.
+WHITE_SPACE, LONG_WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", 10_000
 _encodings: dict = {}
 
 
@@ -43,14 +50,25 @@ def encoding(path: str = VOCABULARY):
     return _encodings[path]
 
 
+def count_tokens(encoder, text: str, long_white: int = LONG_WHITE) -> int:
+    """How many tokens the text has. A run of white space is one piece, but for its last character
+    when a word follows."""
+    total, at = 0, 0
+    for run in re.finditer(f"{WHITE_SPACE}{{{long_white},}}", text) if len(text) >= long_white else ():
+        end = run.end() - (run.end() < len(text))
+        total += len(encoder.encode_ordinary(text[at : run.start()])) + len(encoder._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + len(encoder.encode_ordinary(text[at:]))
+
+
 def token_lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per row of `docs`: n_tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_ordinary
+        encoder = encoding(vocabulary)
         for batch in batches:
             texts = pc.fill_null(batch.column(0), "")
-            lengths = pa.array([len(encode(t)) for t in texts.to_pylist()], pa.int64())
+            lengths = pa.array([count_tokens(encoder, t) for t in texts.to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([lengths], names=["n_tokens"])
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "n_tokens long")
