@@ -57,6 +57,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Column that tells rows apart in stages that filter.
+KEY = "_prosemill_key"
+
+
+def with_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """`docs` with the column KEY, and whether keys repeat. The key is the identifier; if identifiers are
+    null or repeated, it is (no identifier, identifier, SHA-256 of the text), which is never null."""
+    per_id = docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    if not per_id.filter("n > 1 or id is null").limit(1).count():
+        return docs.withColumn(KEY, F.col(id_col)), False
+    text = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    return docs.withColumn(KEY, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("text"))), True
+
+
 def hot_share(total: int) -> int:
     """Size from which a group counts as hot: fewer than 1,000 groups of a table can reach it."""
     return max(1024, total // 1000)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import U64, blocks, prefix, sliding_argmin, span_hash, spread, word_hashes, words
-from .common import Scratch, table
+from .common import KEY, Scratch, table, with_key
 
 WINDOW, K, FILTER_BITS, CONTAMINATED = 8, 4, 1 << 22, 2
 
@@ -136,9 +136,11 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that hold windows of fewer than `CONTAMINATED` items, with their columns."""
-    out = contamination(spark, docs, benchmark).filter(F.size("items") >= CONTAMINATED)
-    return docs.join(out.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs` that hold windows of fewer than `CONTAMINATED` items, with their columns; each
+    row is judged by its own text, also where identifiers are null or repeated."""
+    keyed, _ = with_key(docs, "doc_id", "text")
+    out = contamination(spark, keyed, benchmark, id_col=KEY).filter(F.size("items") >= CONTAMINATED)
+    return keyed.join(out.select(F.col("id").alias(KEY)), KEY, "left_anti").select(*docs.columns)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

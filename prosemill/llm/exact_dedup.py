@@ -107,7 +107,7 @@ def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     scratch = Scratch(spark)
     decided = scratch.write(exact_dedup(spark, docs, id_col, text_col, scratch), "decided")
     gone = decided.groupBy("id").agg(F.sum(F.col("kept").cast("int")).alias("stay"), F.count(F.lit(1)).alias("rows"))
-    if gone.filter("rows > 1").limit(1).count():  # repeated identifiers: decide by text as well
+    if gone.filter("rows > 1 or id is null").limit(1).count():  # repeated or missing identifiers: decide by text as well
         norm = normalised(F.col(text_col))
         marked = docs.withColumn("_digest", _digest(norm)).withColumn("_id", F.struct(F.col(id_col).alias("v")))
         kept = decided.filter("kept").select(F.struct(F.col("id").alias("v")).alias("_id"), F.col("digest").alias("_digest"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesops import SPACE, blocks, words
-from .common import Scratch, heavy_left_join, table
+from .common import KEY, Scratch, heavy_left_join, table, with_key
 
 SHINGLE, NEAR, SEED = 4, 4, 42
 #: homes of one anchor that one task compares at most
@@ -257,10 +257,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of `docs`, the one with the smallest identifier, with its columns."""
-    found = near_duplicates(spark, docs, id_col, text_col)
-    dropped = found.filter(F.col("id") != F.col("component")).select(F.col("id").alias(id_col))
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    """One row of each component of `docs`, the one with the smallest identifier (null last, ties by
+    a hash of the text), with its columns."""
+    keyed, repeated = with_key(docs, id_col, text_col)
+    found = near_duplicates(spark, keyed, KEY, text_col)
+    dropped = found.filter(F.col("id") != F.col("component")).select(F.col("id").alias(KEY))
+    kept = keyed.join(dropped, KEY, "left_anti")
+    return (kept.dropDuplicates([KEY]) if repeated else kept).select(*docs.columns)
 
 
 def hexed(fp: Column) -> Column:

@@ -112,6 +112,10 @@ def test_toxicity(spark, edge, empty):
     held = train.filter(toxicity.fold(toxicity.F.col("doc_id")) == 2).withColumn("s", score("text")).collect()
     assert all((r.s >= 0.3) == bool(r.toxic) for r in held)
     assert np.count_nonzero(weights) < 100
+    # a long text does not hide what a short one shows, and repeating a word adds nothing
+    bad = next(r.text for r in held if r.toxic)
+    texts = spark.createDataFrame([(bad,), (f"{bad} {bad}",)], "text string").select("text", score("text").alias("s")).collect()
+    assert all(r.s >= 0.3 for r in texts)
     assert toxicity.with_score(spark, edge, labels).filter("score between 0 and 1").count() == edge.count()
     assert toxicity.keep_clean(spark, empty, labels).count() == 0
     assert toxicity.with_score(spark, edge, labels.limit(0)).filter("score = 0.5").count() == edge.count()
@@ -240,6 +244,35 @@ def test_token_counts(spark, edge, empty, edge_rows):
     assert token_counts.limits(token_counts.length_histogram(empty)).count() == 0
 
 
+def test_token_counts_of_long_white_space():
+    encoder, rng = token_counts.encoding(), random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", " be", "1", ".", "\x1c", "\u3000", " ", "  ", "\n", " \t\r\n ", "'s"]) for _ in range(rng.randint(0, 25)))
+        assert token_counts.count_tokens(encoder, text, 2) == len(encoder.encode_ordinary(text))
+    assert token_counts.count_tokens(encoder, "a" + " \n" * 1_000_000 + "b") > 2
+
+
+def test_stages_tell_rows_without_identifier_apart(spark):
+    """Missing and repeated identifiers: each row is judged by its own text, and one of each group stays."""
+    from .conftest import docs
+
+    say = lambda seed, n: " ".join(random.Random(seed).choice("abcdefghij") * 3 + str(i % 7) for i in range(n))
+    one, two, three = say(1, 200), say(2, 200), say(3, 200)
+    near = one.replace("0", "0 ", 1)  # equal words, another text
+    rows = [(None, one, "a"), (4, one, "a"), (None, two, "a"), (None, two, "a"), (7, three, "a"), (7, "something else", "a"), (None, near + " ", "a")]
+    table = docs(spark, rows)
+    exact = exact_dedup.keep_first(spark, table)
+    assert exact.columns == table.columns
+    assert sorted((r.doc_id or 0, r.text) for r in exact.collect()) == sorted([(4, one), (0, two), (7, three), (7, "something else"), (0, near + " ")])
+    kept = simhash.keep_one(spark, table)
+    assert kept.columns == table.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(4, one), (0, two), (7, three), (7, "something else")])
+    items = spark.createDataFrame([(1, " ".join(three.split(" ")[20:60])), (2, " ".join(three.split(" ")[100:140])), (3, two), (4, two)], "item_id long, text string")
+    clean = decontaminate.keep_uncontaminated(spark, table, items)
+    assert clean.columns == table.columns
+    assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted([(0, one), (4, one), (7, "something else"), (0, near + " ")])
+
+
 def test_secrets(spark, edge, empty, edge_rows, tmp_path):
     got = secrets.secret_scan(spark, edge).collect()
     assert len(got) == len(edge_rows)
