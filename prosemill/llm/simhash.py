@@ -243,17 +243,22 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataF
         state, turn = now, turn + 1
 
 
+def named_components(rows: DataFrame, distinct: DataFrame, stars: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, fp, component of `rows` (id, fp), from `distinct` (fp, least, n) and the stars (v, root) of its fps."""
+    rooted = distinct.join(stars.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = scratch.write(rooted, "rooted")
+    names = rooted.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("size"))
+    named = heavy_left_join(rooted, scratch.write(names, "names"), "root", "size", rooted.count())
+    return heavy_left_join(rows, scratch.write(named.select("fp", "n", "component"), "named"), "fp", "n", rows.count()).select("id", "fp", "component")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, fp, component (smallest identifier reachable)."""
     scratch = Scratch(spark)
     rows = scratch.write(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col).cast("string")).alias("fp")), "fingerprints")
     distinct = scratch.write(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     stars = components(spark, near_links(spark, distinct, scratch), scratch)
-    rooted = distinct.join(stars.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = scratch.write(rooted, "rooted")
-    names = rooted.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("size"))
-    named = heavy_left_join(rooted, scratch.write(names, "names"), "root", "size", rooted.count())
-    return heavy_left_join(rows, scratch.write(named.select("fp", "n", "component"), "named"), "fp", "n", rows.count()).select("id", "fp", "component")
+    return named_components(rows, distinct, stars, scratch)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
