@@ -27,6 +27,8 @@ from .bytesops import U64, blocks, prefix, sliding_argmin, span_hash, spread, wo
 from .common import KEY, Scratch, table, with_key
 
 WINDOW, K, FILTER_BITS, CONTAMINATED = 8, 4, 1 << 22, 2
+#: consecutive words of one item that make a leak by themselves
+LONG = 13
 
 #: words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the text with A-Z lowered
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -80,7 +82,7 @@ def _table_of(batch: pa.RecordBatch, counts: np.ndarray, found: list) -> pa.Reco
 
 
 def benchmark_fingerprints(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """fp, size, left, around, items: fingerprints with the words around them and whose they are."""
+    """fp, size, left, around, items: fingerprints with the words around them and whose they are (id, n_words)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,8 +100,8 @@ def benchmark_fingerprints(benchmark: DataFrame, id_col: str, text_col: str) ->
             yield _table_of(batch, counts, found)
 
     rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    flat = rows.mapInArrow(emit, f"id string, n_words long, hits array<{_HIT}>").select("id", F.explode("hits").alias("h")).select("id", "h.*")
-    return flat.groupBy("fp", "size", "left", "around").agg(F.collect_set("id").alias("items"))
+    flat = rows.mapInArrow(emit, f"id string, n_words long, hits array<{_HIT}>").select("id", "n_words", F.explode("hits").alias("h")).select("id", "n_words", "h.*")
+    return flat.groupBy("fp", "size", "left", "around").agg(F.collect_set(F.struct("id", "n_words")).alias("items"))
 
 
 def _matched(doc_at: str, item_at: str, steps: int) -> str:
@@ -107,8 +109,8 @@ def _matched(doc_at: str, item_at: str, steps: int) -> str:
     return f"aggregate(transform(sequence(0, {steps - 1}), j -> coalesce(get(d_around, {doc_at}) = get(i_around, {item_at}), false)), named_struct('on', true, 'n', 0), (a, e) -> named_struct('on', a.on and e, 'n', a.n + cast(a.on and e as int)), a -> a.n)"
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, n_words, n_hit, items (sorted array)."""
+def shared_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows of `docs` (rid, id, n_words), and the spans (rid, a, b, items) of words they share with items."""
     scratch = Scratch(spark)
     tests = scratch.write(benchmark_fingerprints(benchmark, item_col, item_text), "tests")
     short = tuple(sorted(r[0] for r in tests.filter(F.col("size") < WINDOW).select("size").distinct().collect()))
@@ -131,15 +133,38 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id
     pairs = pairs.withColumn("core", core).withColumn("before", F.expr(_matched("d_left - 1 - j", "i_left - 1 - j", WINDOW - K))).withColumn("from_core", F.expr(_matched("d_left + j", "i_left + j", WINDOW)))
     whole = (F.col("from_core") >= F.col("core")) & (F.col("before") + F.col("from_core") >= F.col("size"))
     spans = pairs.filter(whole).select("rid", (F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("from_core") - 1).alias("b"), "items")
-    per_doc = spans.groupBy("rid").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("a", "b"))))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return seen.select("rid", "id", "n_words").join(per_doc, "rid", "left").select("id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return seen.select("rid", "id", "n_words"), spans
+
+
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per row of `docs`: id, n_words, n_hit, items (sorted array)."""
+    seen, spans = shared_spans(spark, docs, benchmark, id_col, text_col, item_col, item_text)
+    items = F.transform(F.flatten(F.collect_set("items")), lambda x: x["id"])
+    per_doc = spans.groupBy("rid").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("a", "b"))))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(items)).alias("items"))
+    return seen.join(per_doc, "rid", "left").select("id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+#: SQL: the most consecutive numbers in the sorted array `at`
+_RUN = "aggregate(at, named_struct('last', -2, 'run', 0, 'most', 0), (s, p) -> named_struct('last', p, 'run', if(p = s.last + 1, s.run + 1, 1), 'most', greatest(s.most, if(p = s.last + 1, s.run + 1, 1))), s -> s.most)"
+
+
+def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id of the rows of `docs` with windows of `CONTAMINATED` items, with half their words or more inside windows,
+    or with a run of words inside windows of one item that has `LONG` words, or `WINDOW` words and half of the item."""
+    seen, spans = shared_spans(spark, docs, benchmark, id_col)
+    per_item = spans.select("rid", F.sequence("a", "b").alias("at"), F.explode("items").alias("item"))
+    per_item = per_item.groupBy("rid", F.col("item.id").alias("item")).agg(F.min("item.n_words").alias("item_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("at"))
+    run = F.expr(_RUN)
+    long = (run >= LONG) | ((run >= WINDOW) & (2 * run >= F.col("item_words")))
+    per_doc = per_item.select("rid", "at", long.alias("long")).groupBy("rid").agg(F.count(F.lit(1)).alias("n_items"), F.max("long").alias("long"), F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("n_hit"))
+    return seen.join(per_doc, "rid").filter((F.col("n_items") >= CONTAMINATED) | F.col("long") | (2 * F.col("n_hit") >= F.col("n_words"))).select("id")
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that hold windows of fewer than `CONTAMINATED` items, with their columns; each
-    row is judged by its own text, also where identifiers are null or repeated."""
+    """The rows of `docs` that are no `leaks`, with their columns; each row is judged by its own text, also
+    where identifiers are null or repeated."""
     keyed, _ = with_key(docs, "doc_id", "text")
-    out = contamination(spark, keyed, benchmark, id_col=KEY).filter(F.size("items") >= CONTAMINATED)
+    out = leaks(spark, keyed, benchmark, KEY)
     return keyed.join(out.select(F.col("id").alias(KEY)), KEY, "left_anti").select(*docs.columns)
 
 

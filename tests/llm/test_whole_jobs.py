@@ -4,7 +4,7 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline as P
-from prosemill.llm import near_copies, simhash
+from prosemill.llm import decontaminate, near_copies, simhash
 
 from .conftest import docs
 
@@ -56,3 +56,14 @@ def test_near_copies_on_edges(spark, edge, empty, edge_rows):
     got = sorted(((r.id, r.component) for r in near_copies.near_copies(spark, edge).collect()), key=key)
     assert got == sorted(((i, least[c]) for (i, _, _), c in zip(edge_rows, name, strict=True)), key=key)
     assert near_copies.near_copies(spark, empty).count() == 0
+
+
+def test_decontamination_stage_drops_leaks_of_one_item(spark):
+    rng = random.Random(12)
+    say = lambda n: [f"x{rng.randrange(10**6)}" for _ in range(n)]
+    item, brief, long = say(60), say(10), say(40)
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(brief)), (3, "tiny item"), (4, " ".join(long))], "item_id long, text string")
+    texts = {1: say(40) + item + say(40), 2: say(90) + item[5:18] + say(90), 3: say(90) + item[5:17] + say(90), 4: say(90) + brief + say(20), 5: say(3) + item[30:40] + say(3), 6: say(99), 7: say(9) + ["tiny", "item"] + say(9), 8: say(99) + item[:8] + say(9) + long[:8], 9: say(200) + item[:9] + say(9) + item[20:29]}
+    frame = docs(spark, [(i, " ".join(w), "a") for i, w in texts.items()])
+    kept = decontaminate.keep_uncontaminated(spark, frame, items)
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {3, 6, 7, 9}
