@@ -10,7 +10,8 @@ Documents emit only fingerprints that a bit filter of fixed size (`FILTER_BITS`)
 is as large as the overlap, not as the corpus; the join itself is shuffled, whatever the benchmark's size.
 
 Defined results: null and empty texts have no words and no hits; repeated rows have a result each;
-repeated items count once each by their identifier; an empty table gives an empty result, an empty
+repeated items count once each by their identifier, and those without one as one item that has no name in
+the list; an empty table gives an empty result, an empty
 benchmark no hits; other columns are not read.
 """
 

@@ -67,3 +67,12 @@ def test_decontamination_stage_drops_leaks_of_one_item(spark):
     frame = docs(spark, [(i, " ".join(w), "a") for i, w in texts.items()])
     kept = decontaminate.keep_uncontaminated(spark, frame, items)
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {3, 6, 7, 9}
+
+
+def test_null_item_counts(spark):
+    """A null identifier is an item of its own, as in the query's SQL."""
+    one, two = " ".join(f"p{i}" for i in range(12)), " ".join(f"q{i}" for i in range(12))
+    items = spark.createDataFrame([(1, one), (None, two)], "item_id long, text string")
+    frame = docs(spark, [(1, f"{one} and {two}", "a"), (2, two, "a"), (3, "neither", "a")])
+    got = {r.id: r["items"] for r in decontaminate.contamination(spark, frame, items).collect()}
+    assert got == {1: ["1", None], 2: [None], 3: []}
