@@ -39,16 +39,18 @@ def pair_stats(sims: DataFrame) -> DataFrame:
 
 
 def ranked(sims: DataFrame) -> DataFrame:
-    """Pairs with their place (from 0) by similarity, ties by (i, j), and their number."""
-    w = Window.partitionBy("cohort").orderBy(F.desc("sim"), "i", "j")
+    """Pairs with their place (from 0) by similarity to nine places, ties by (i, j), and their number."""
+    w = Window.partitionBy("cohort").orderBy(F.desc(F.round("sim", 9)), "i", "j")
     return sims.withColumn("place", F.row_number().over(w) - 1).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("cohort")))
 
 
-def levels(sims: DataFrame, n: int) -> DataFrame:
-    """cohort, band (top, middle, bottom), place in band, and the pair. Bands may overlap in small cohorts."""
+def levels(sims: DataFrame, n: int | None = None) -> DataFrame:
+    """cohort, band (top, middle, bottom), place in band, and the pair. Bands have `n` pairs or, without it, as
+    many as the cohort has items (m items have m (m - 1) / 2 pairs). Bands may overlap in small cohorts."""
     r = ranked(sims)
-    start = {"top": F.lit(0), "middle": F.floor(F.col("total") / 2), "bottom": F.greatest(F.lit(0), F.col("total") - n)}
-    bands = [r.filter((F.col("place") >= s) & (F.col("place") < s + n)).select("cohort", F.lit(b).alias("band"), (F.col("place") - s).cast("long").alias("place"), "i", "j", "sim") for b, s in start.items()]
+    size = F.lit(n) if n is not None else F.round((1 + F.sqrt(1 + 8 * F.col("total"))) / 2).cast("long")
+    start = {"top": F.lit(0), "middle": F.floor(F.col("total") / 2), "bottom": F.greatest(F.lit(0), F.col("total") - size)}
+    bands = [r.filter((F.col("place") >= s) & (F.col("place") < s + size)).select("cohort", F.lit(b).alias("band"), (F.col("place") - s).cast("long").alias("place"), "i", "j", "sim") for b, s in start.items()]
     return bands[0].unionByName(bands[1]).unionByName(bands[2])
 
 

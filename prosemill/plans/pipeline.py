@@ -70,13 +70,13 @@ def evaluate(cohort: DataFrame, store: DataFrame, dataset: str, strict: bool = F
     asked = rows.select(X.unique_key(F.col("generic_name"), drug).alias("drug_name"), F.lit(dataset).alias("dataset"))
     found = vectors.lookup(asked, store.withColumn("seq", F.monotonically_increasing_id()), "drug_name", "seq").withColumn("item", F.monotonically_increasing_id())
     sims = vectors.pairs(found, "dataset", "item", "embedding")
-    return {"missing": vectors.missing(asked, store, "drug_name"), "pairs": sims, "stats": vectors.pair_stats(sims), "per_item": vectors.per_item(found, "dataset", "item", sims)}
+    return {"missing": vectors.missing(asked, store, "drug_name"), "pairs": sims, "stats": vectors.pair_stats(sims), "levels": (bands := vectors.levels(sims)), "level_means": vectors.level_means(bands), "per_item": vectors.per_item(found, "dataset", "item", sims)}
 
 
 def evaluate_tfidf(cohort: DataFrame, corpus: DataFrame, dataset: str) -> dict[str, DataFrame]:
     items = cohort.withColumn("item", F.monotonically_increasing_id())
     sims = tfidf.pairs(items, "item", tfidf.weights(items, "item", "description", tfidf.vocabulary(corpus, "description")), dataset)
-    return {"pairs": sims, "stats": vectors.pair_stats(sims), "per_item": vectors.per_item(items.withColumn("dataset", F.lit(dataset)), "dataset", "item", sims)}
+    return {"pairs": sims, "stats": vectors.pair_stats(sims), "levels": (bands := vectors.levels(sims)), "level_means": vectors.level_means(bands), "per_item": vectors.per_item(items.withColumn("dataset", F.lit(dataset)), "dataset", "item", sims)}
 
 
 def cohorts(boiled: DataFrame, specs=C.COHORTS, seed: int = 42) -> dict[str, DataFrame]:

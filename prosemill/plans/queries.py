@@ -277,6 +277,12 @@ register("cosine_pairs", lambda s, d: _rounded(_sims(s, d), "sim"), f"SELECT coh
 register("cosine_stats", lambda s, d: _rounded(vectors.pair_stats(_sims(s, d)), *_STAT_COLUMNS), f"SELECT cohort, {_STATS} FROM {_SIMS} GROUP BY cohort")
 register("cosine_levels", lambda s, d: _rounded(vectors.levels(_steady(s, d), 10), "sim"), f"SELECT cohort, band, place, i, j, round(sim, 6) AS sim FROM {_BANDS}")
 register("cosine_level_means", lambda s, d: _rounded(vectors.level_means(vectors.levels(_steady(s, d), 10)), "mean_sim"), f"SELECT cohort, band, round(avg(sim), 6) AS mean_sim, count(*) AS n_pairs FROM {_BANDS} GROUP BY 1, 2")
+# bands of as many pairs as the cohort has items
+_ITEM_BANDS = f"""(WITH m AS (SELECT label AS cohort, count(*) AS n FROM embeddings GROUP BY 1),
+r AS (SELECT s.*, n, row_number() OVER (PARTITION BY cohort ORDER BY round(sim, 9) DESC, i, j) - 1 AS place, count(*) OVER (PARTITION BY cohort) AS total FROM {_SIMS} AS s JOIN m USING (cohort))
+SELECT cohort, band, place - start AS place, i, j, sim FROM (SELECT *, unnest(['top', 'middle', 'bottom']) AS band, unnest([0, total // 2, greatest(0, total - n)]) AS start FROM r) WHERE place >= start AND place < start + n)"""
+register("cosine_item_levels", lambda s, d: _rounded(vectors.levels(_sims(s, d)), "sim"), f"SELECT cohort, band, place, i, j, round(sim, 6) AS sim FROM {_ITEM_BANDS}")
+register("cosine_item_level_means", lambda s, d: _rounded(vectors.level_means(vectors.levels(_sims(s, d))), "mean_sim"), f"SELECT cohort, band, round(avg(sim), 6) AS mean_sim, count(*) AS n_pairs FROM {_ITEM_BANDS} GROUP BY 1, 2")
 _PER_ITEM = f"(SELECT label AS cohort, vec_id AS item, coalesce(a, 0.0) AS avg_similarity FROM embeddings LEFT JOIN (SELECT item, avg(sim) AS a FROM (SELECT i AS item, sim FROM {_SIMS} UNION ALL SELECT j, sim FROM {_SIMS}) GROUP BY item) ON item = vec_id)"
 register("cosine_per_item", lambda s, d: _rounded(vectors.per_item(_items(s, d), "label", "vec_id", _sims(s, d)), "avg_similarity"), f"SELECT cohort, item, round(avg_similarity, 6) AS avg_similarity FROM {_PER_ITEM}")
 register(
