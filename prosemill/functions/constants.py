@@ -29,10 +29,12 @@ def _fold_table() -> dict[str, str]:
 FOLD = _fold_table()
 FOLD_FROM, FOLD_TO = "".join(FOLD), "".join(FOLD.values())
 
+#: values that stand for a missing one (fixed values)
 EMPTY_CATEGORY = ("", "-", "'-'")
 NO_BRAND = ("", "unbranded", "none", "none reformulated")
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
+#: words and patterns of the extraction (fixed values)
 CATEGORIES = ("antibiotic", "analgesic", "anti-inflammatory", "antiviral", "antifungal", "antihypertensive", "anticoagulant", "antidiabetic", "antidepressant", "antipsychotic", "anticancer", "immunosuppressant", "bronchodilator", "diuretic", "corticosteroid", "statin", "beta-blocker", "nsaid")
 CATEGORY = rf"(?:is a|is an)\s+({'|'.join(CATEGORIES)})"
 MECHANISMS = (
@@ -62,7 +64,7 @@ PHRASES = (
     "patients with type 2 diabetes", "angiotensin ii receptor blocker arb",
 )
 
-#: cohorts: name, column searched, substring, sample size
+#: cohorts: name, column searched, substring, sample size (fixed values)
 COHORTS = (
     ("amoxicillin_exact", "generic_name", "amoxicillin", 110),
     ("adapalene", "generic_name", "adapalene", 10),

@@ -175,6 +175,15 @@ def dataset_label(name: Column) -> Column:
     return F.substring_index(name, "_", 1)
 
 
+def display_label(name: Column) -> Column:
+    """The label as headings show it."""
+    return F.upper(dataset_label(name))
+
+
+def combined_text(drug: Column, description: Column) -> Column:
+    return F.concat(drug, F.lit(" "), description)
+
+
 def identifier(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", "_"))
 

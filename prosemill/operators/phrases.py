@@ -2,29 +2,105 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions import text as X
+from ..sources import shared
+from .keyfilter import KeyFilter
 
 TRIM = ",;:. "  # cut around a removed phrase
 
 
-def phrase_names(df: DataFrame, name: str, text: str, sizes: Sequence[int], least_bytes: int = 10) -> DataFrame:
-    """Distinct (n, phrase, name) for all n in one pass over the text."""
-    rows = df.filter(F.coalesce(F.col(text), F.lit("")) != "").select(F.lower(name).alias("name"), F.col(text).alias("text"))
-    by_n = F.explode(F.concat(*[_tagged(F.col("text"), n) for n in sizes]))
-    return rows.select("name", by_n.alias("x")).select("x.n", "x.phrase", "name").filter(F.octet_length("phrase") >= least_bytes).distinct()
+_U64 = np.uint64
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U64(32))) * _U64(0xD6E8FEB86659FD93)
+    return x ^ (x >> _U64(32))
+
+
+def _runs(texts: pa.Array, sizes: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+    """For each n: the hashes of all runs of n words, their rows and first words, and all words. Words stand
+    between single spaces."""
+    split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    cuts = split.offsets.to_numpy().astype(np.int64)
+    said = split.flatten()
+    coded = said.dictionary_encode()
+    known = [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in coded.dictionary.to_pylist()]
+    h = np.array(known, _U64)[coded.indices.to_numpy()] if len(known) else np.zeros(0, _U64)
+    row = np.repeat(np.arange(len(texts)), np.diff(cuts))
+    for n in sizes:
+        count = max(0, len(h) - n + 1)
+        at = np.flatnonzero(row[:count] == row[n - 1 :]) if count else np.zeros(0, np.int64)
+        runs = np.full(len(at), _U64(n))
+        for d in range(n):
+            runs = _mix(runs * _U64(0x9E3779B97F4A7C15) + h[at + d])
+        yield n, runs, row[at], at, said
+
+
+def _first_of_each(h: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Places of one of each different pair."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    _, code = np.unique(h, return_inverse=True)
+    return np.unique(code * (int(who.max()) + 1) + who, return_index=True)[1]
+
 
+def _rows(df: DataFrame, name: str, text: str) -> DataFrame:
+    """name (lowered) and text with single spaces between words, of the rows that have words."""
+    rows = df.filter(F.coalesce(F.col(text), F.lit("")) != "").select(F.lower(name).alias("name"), X.squeeze(F.col(text)).alias("text"))
+    return rows.filter(F.col("text") != "")
 
-def _tagged(c: Column, n: int) -> Column:
-    return F.transform(F.array_distinct(X.ngrams(c, n)), lambda p: F.struct(F.lit(n).alias("n"), p.alias("phrase")))
+
+def frequent_names(df: DataFrame, name: str, text: str, sizes: Sequence[int], least: int, least_bytes: int = 10) -> DataFrame:
+    """Distinct (n, phrase, name) of all phrases with at least `least` names and `least_bytes` bytes, and perhaps of
+    some with fewer names, which `frequent` and `dissimilar` count and drop.
+
+    A first pass over the text counts names per 64-bit hash of a phrase, so that no phrase is shuffled; a second
+    one writes out only the phrases whose hash reached the number.
+    A null name is a name; null and empty texts have no phrases.
+    """
+    spark = df.sparkSession
+    rows = _rows(df, name, text)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).dictionary_encode(null_encoding="encode")
+            who = names.indices.to_numpy().astype(np.int64)
+            for _, h, row, _, _ in _runs(batch.column(1), sizes):
+                once = _first_of_each(h, who[row])
+                yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), names.dictionary.take(pa.array(who[row[once]]))], names=["key", "name"])
+
+    per_hash = rows.mapInArrow(hashed, "key long, name string").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("names"))
+    held = KeyFilter(spark, per_hash.filter(F.col("names") >= least).select("key"))
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).dictionary_encode(null_encoding="encode")
+            who = names.indices.to_numpy().astype(np.int64)
+            for n, h, row, at, said in _runs(batch.column(1), sizes):
+                some = np.flatnonzero(held.has(h))
+                some = some[_first_of_each(h[some], who[row[some]])]
+                words = [said.take(pa.array(at[some] + d)) for d in range(n)]
+                phrase = pc.binary_join_element_wise(*words, " ")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n, np.int32)), phrase, names.dictionary.take(pa.array(who[row[some]]))], names=["n", "phrase", "name"])
+
+    return rows.mapInArrow(spelled, "n int, phrase string, name string").filter(F.octet_length("phrase") >= least_bytes).distinct()
+
+
+def phrase_names(df: DataFrame, name: str, text: str, sizes: Sequence[int], least_bytes: int = 10) -> DataFrame:
+    """Distinct (n, phrase, name) of all phrases."""
+    return frequent_names(df, name, text, sizes, 1, least_bytes)
 
 
 def frequent(names: DataFrame, least: int) -> DataFrame:
@@ -32,17 +108,41 @@ def frequent(names: DataFrame, least: int) -> DataFrame:
     return names.groupBy("n", "phrase").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") >= least)
 
 
+def _containing(names: DataFrame) -> DataFrame:
+    """(earlier, name): pairs of different names, the smaller first, of which one contains the other, both with
+    first words of 4 bytes or more. They meet by the first four characters of the shorter one (all, if fewer)."""
+    first = lambda c: F.coalesce(F.get(X.words(F.col(c)), F.lit(0)), F.lit(""))
+    some = names.select("name").distinct().filter(F.octet_length(first("name")) >= 4)
+    short = some.select(F.col("name").alias("part"), F.substring("name", 1, 4).alias("gram"))
+    sizes = ", ".join(f"transform(sequence(1, length(name)), i -> substring(name, i, {k}))" for k in range(1, 5))
+    long = some.select("name", F.explode(F.expr(f"array_distinct(concat({sizes}))")).alias("gram"))
+    pairs = short.join(long, "gram").filter((F.col("part") != F.col("name")) & F.contains("name", "part"))
+    return pairs.select(F.least("part", "name").alias("earlier"), F.greatest("part", "name").alias("name")).distinct()
+
+
 def dissimilar(names: DataFrame, least: int) -> DataFrame:
     """n, phrase, total, distinct_names: names count unless an earlier one is similar to them.
 
-    Only frequent phrases reach the self-join, which is an equi-join on the phrase.
+    Of the names of a phrase with the same first word only the smallest is not similar to an earlier one, which
+    is an aggregate; names that contain one another are found once for all phrases, among the distinct names, and
+    only those pairs meet the phrases. So a phrase that many names share makes no pairs of its names.
     """
+    path = shared.new_folder(names.sparkSession, "names")
+    names.write.parquet(path)
+    names = names.sparkSession.read.schema(names.schema).parquet(path)
     often = frequent(names, least)
-    kept = names.join(often, ["n", "phrase"])
-    other = names.join(often.select("n", "phrase"), ["n", "phrase"]).select("n", "phrase", F.col("name").alias("earlier"))
-    follows = kept.join(other, ["n", "phrase"]).filter((F.col("earlier") < F.col("name")) & X.similar_names(F.col("earlier"), F.col("name"))).select("n", "phrase", "name").distinct()
-    alone = kept.join(follows, ["n", "phrase", "name"], "left_anti")
-    return alone.groupBy("n", "phrase").agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("distinct_names")).filter(F.col("distinct_names") >= least)
+    kept = names.join(often, ["n", "phrase"]).filter(F.col("name").isNotNull())
+    first = F.coalesce(F.get(X.words(F.col("name")), F.lit(0)), F.lit(""))
+    # names without a first word are each similar to no earlier one
+    by = kept.withColumn("first", F.when(first != "", F.concat(F.lit("w"), first)).otherwise(F.concat(F.lit("n"), "name")))
+    lead = by.groupBy("n", "phrase", "first").agg(F.min("name").alias("name"), F.max("total").alias("total"))
+    pairs = _containing(kept)
+    after = lead.join(pairs, "name").select("n", "phrase", "name", "earlier")
+    after = after.join(kept.select("n", "phrase", F.col("name").alias("earlier")), ["n", "phrase", "earlier"]).select("n", "phrase", "name").distinct()
+    alone = lead.join(after, ["n", "phrase", "name"], "left_anti")
+    unnamed = names.filter(F.col("name").isNull()).join(often, ["n", "phrase"]).select("n", "phrase", F.col("total"))
+    counted = alone.select("n", "phrase", "total").unionByName(unnamed)
+    return counted.groupBy("n", "phrase").agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("distinct_names")).filter(F.col("distinct_names") >= least)
 
 
 def top_phrases(ranked: DataFrame, most: int) -> DataFrame:

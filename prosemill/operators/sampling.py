@@ -11,10 +11,16 @@ def cohort(df: DataFrame, column: str, part: str, columns: list[str]) -> DataFra
     return df.filter(F.col(column).contains(part)).select(*columns)
 
 
-def sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows without replacement, the same ones for the same seed."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+def sample(df: DataFrame, n: int, key: str | list[str], seed: int = 42) -> DataFrame:
+    """n rows without replacement, the same ones for the same seed; all rows if there are no more than n.
 
+    Rows go by the MD5 of seed and key, which any engine can repeat; rows of equal keys are interchangeable.
+    """
+    keys = [key] if isinstance(key, str) else key
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return df.orderBy(F.md5(text.cast("binary")), *keys).limit(n)
 
-def random_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    return df.orderBy(F.rand(seed)).limit(n)
+
+def random_rows(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """n rows at random; with a seed the same ones as long as the rows come in the same partitions."""
+    return df.orderBy(F.rand() if seed is None else F.rand(seed)).limit(n)

@@ -33,9 +33,15 @@ def pairs(items: DataFrame, cohort: str, item: str, vector: str) -> DataFrame:
     return a.join(b, "cohort").filter("i < j").select("cohort", "i", "j", clipped(dot).alias("sim"))
 
 
-def pair_stats(sims: DataFrame) -> DataFrame:
-    """n_pairs, mean, population deviation, smallest and largest, per cohort."""
-    return sims.groupBy("cohort").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("sim").alias("mean_sim"), F.stddev_pop("sim").alias("std_sim"), F.min("sim").alias("min_sim"), F.max("sim").alias("max_sim"))
+def pair_stats(sims: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """n_pairs, mean, population deviation, smallest and largest, per cohort. With `sizes` (cohort, size: the length
+    of each item's vector) also the range over the whole matrix, whose diagonal is 1, or 0 for vectors of length 0."""
+    out = sims.groupBy("cohort").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("sim").alias("mean_sim"), F.stddev_pop("sim").alias("std_sim"), F.min("sim").alias("min_sim"), F.max("sim").alias("max_sim"))
+    if sizes is None:
+        return out
+    self_sim = F.when(F.col("size") > 0, 1.0).otherwise(0.0)
+    own = sizes.groupBy("cohort").agg(F.min(self_sim).alias("low"), F.max(self_sim).alias("high"))
+    return out.join(own, "cohort").withColumns({"range_min": F.least("min_sim", "low"), "range_max": F.greatest("max_sim", "high")}).drop("low", "high")
 
 
 def ranked(sims: DataFrame) -> DataFrame:
@@ -54,6 +60,23 @@ def levels(sims: DataFrame, n: int | None = None) -> DataFrame:
     return bands[0].unionByName(bands[1]).unionByName(bands[2])
 
 
+def marked(banded: DataFrame) -> DataFrame:
+    """The first, middle and last pair of each band: cohort, band, mark, i, j, sim; one pair may have several marks.
+    The middle is place n / 2, n being the items of the cohort (as many as a whole band has pairs) or, in a band cut
+    short, its number of pairs."""
+    size = banded.groupBy("cohort", "band").agg(F.max("place").alias("last"))
+    at = {"top": F.lit(0), "middle": F.floor((F.col("last") + 1) / 2), "bottom": F.col("last")}
+    marks = F.filter(F.array(*[F.when(F.col("place") == p, F.lit(m)) for m, p in at.items()]), lambda m: m.isNotNull())
+    return banded.join(size, ["cohort", "band"]).select("cohort", "band", F.explode(marks).alias("mark"), "i", "j", "sim")
+
+
+def named_pairs(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs with `display` of both items in place of their numbers; names (cohort, item, display)."""
+    for side in ("i", "j"):
+        pairs = pairs.join(names.withColumnRenamed("item", side), ["cohort", side]).drop(side).withColumnRenamed("display", f"name_{side}")
+    return pairs
+
+
 def level_means(banded: DataFrame) -> DataFrame:
     return banded.groupBy("cohort", "band").agg(F.avg("sim").alias("mean_sim"), F.count(F.lit(1)).alias("n_pairs"))
 
@@ -90,22 +113,33 @@ def accuracy(predicted: DataFrame, actual: DataFrame, order: str) -> DataFrame:
     return out.select(F.col("n"), checked.alias("accuracy"))
 
 
-def hashing_encoder(dim: int = 64) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
-    """A deterministic encoder for use without a model: signed hashing of words, at length 1.
+def device(configured: str = "") -> str:
+    """The device for a model: a graphics card where a worker has one, else the configured one, else the CPU.
+    Called in the worker that loads the model; a library that tells is optional."""
+    try:
+        import torch
+    except ImportError:
+        return configured or "cpu"
+    return "cuda" if torch.cuda.is_available() else configured or "cpu"
+
+
+def hashing_encoder(dim: int = 64, configured: str = "") -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+    """A deterministic encoder for use without a model: signed hashing of words by MD5, at length 1.
 
-    Any function that makes a predict function for batches of texts can stand in its place; a model
-    would be loaded and its device chosen inside, once per worker.
+    Any function that makes a predict function for batches of texts can stand in its place; a model is loaded
+    inside, once per worker, on `device(configured)`, for which this encoder has no use. Words stand between the
+    white space of `str.split`.
     """
 
     def make() -> Callable[[np.ndarray], np.ndarray]:
-        import zlib
+        import hashlib
 
         def predict(texts: np.ndarray) -> np.ndarray:
             out = np.zeros((len(texts), dim), np.float32)
             for i, t in enumerate(texts):
                 for w in str(t).lower().split():
-                    h = zlib.crc32(w.encode())
-                    out[i, h % dim] += 1.0 if h >> 16 & 1 else -1.0
+                    h = hashlib.md5(w.encode()).digest()
+                    out[i, h[0] % dim] += 1.0 if h[1] & 1 else -1.0
             size = np.linalg.norm(out, axis=1, keepdims=True)
             return out / np.where(size > 0, size, 1)
 

@@ -1,9 +1,10 @@
-"""The stages as DataFrame -> DataFrame functions, and the whole run."""
+"""The stages as DataFrame -> DataFrame functions, and the whole runs over files."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+import sys
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,26 +12,49 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import text as X
 from ..operators import dedup, match, phrases, sampling, tfidf, vectors
-from ..sources import readers, writers
+from ..sources import readers, shared, writers
 
 
 @dataclass(frozen=True)
 class Config:
+    """Paths of the cleaning run. Without `phrases` they are detected in the same run."""
+
     products_csv: str
     knowledge_base_xml: str
     output: str
-    unboiled_output: str
-    phrases: Sequence[str] | None = C.PHRASES  # None: detect them in the same run
-    embed_description: bool = True
-    embed_atc: bool = True
-    model: str = "hashing"
-    extra: dict = field(default_factory=dict)
+    unboiled_output: str = "artifact/boiled.csv"
+    scraped_output: str = "data/scraped.csv"
+    phrases: Sequence[str] | None = C.PHRASES
 
     @classmethod
     def from_toml(cls, path: str) -> Config:
-        c = readers.config(path)
-        paths, emb = c["paths"], c.get("embeddings", {})
-        return cls(paths["products_csv"], paths["knowledge_base_xml"], paths.get("output_file", "enriched.csv"), paths.get("unboiled_output_file", "boiled.csv"), embed_description=emb.get("description", True), embed_atc=emb.get("atc", True), extra=c)
+        return cls.of(readers.config(path))
+
+    @classmethod
+    def of(cls, c: dict) -> Config:
+        paths, defaults = c["paths"], cls.__dataclass_fields__
+        return cls(paths["products_csv"], paths["knowledge_base_xml"], paths["output_file"], paths.get("unboiled_output_file", defaults["unboiled_output"].default), c.get("settings", {}).get("scraped_csv", defaults["scraped_output"].default))
+
+
+@dataclass(frozen=True)
+class EmbeddingConfig:
+    """The embedding run: model and device, input, what to embed, the store."""
+
+    model: str
+    csv_file: str
+    store: str
+    device: str = ""
+    description: bool = True
+    atc: bool = True
+
+    @classmethod
+    def from_toml(cls, path: str) -> EmbeddingConfig:
+        return cls.of(readers.config(path))
+
+    @classmethod
+    def of(cls, c: dict) -> EmbeddingConfig:
+        kinds = c.get("embeddings", {})
+        return cls(c["model"]["name"], c["data"]["csv_file"], c["output"]["store"], c["model"]["device"], kinds.get("description", True), kinds.get("atc", True))
 
 
 def scrape(raw: DataFrame) -> DataFrame:
@@ -45,7 +69,7 @@ def describe(products: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def find_phrases(enriched: DataFrame, least: int = 5, most: int = 20, sizes: Sequence[int] = (3, 4, 5)) -> DataFrame:
     """pos, phrase: a bounded report of at most most x len(sizes) rows."""
-    names = phrases.phrase_names(enriched, "generic_name", "description", sizes)
+    names = phrases.frequent_names(enriched, "generic_name", "description", sizes, least)
     return phrases.drop_overlaps(phrases.top_phrases(phrases.dissimilar(names, least), most))
 
 
@@ -53,48 +77,132 @@ def unboil(enriched: DataFrame, listed: Sequence[str]) -> DataFrame:
     return enriched.withColumn("description", phrases.remove_phrases(F.col("description"), listed))
 
 
-def embedding_rows(boiled: DataFrame, column: str, kind: str, make=None) -> DataFrame:
-    """embedding_type, drug_name (unique key), embedding, for non-blank texts."""
-    drug = X.brand_or_generic(F.col("generic_name"), F.col("drug_name"))
-    keyed = boiled.withColumn("drug_name", X.unique_key(F.col("generic_name"), drug))
+def named(rows: DataFrame, strict: bool) -> DataFrame:
+    """Rows with drug_name replaced by the generic name where it is none. Rows without any name are an error
+    if strict, else they are left out."""
+    blank = (X.strip(F.col("generic_name")) == "") & ~X.has_brand(F.col("drug_name"))
+    kept = rows.filter(F.when(blank & F.lit(strict), F.raise_error(F.lit("row without a name")).cast("boolean")).otherwise(~blank))
+    return kept.withColumn("drug_name", X.brand_or_generic(F.col("generic_name"), F.col("drug_name")))
+
+
+def embedding_rows(boiled: DataFrame, column: str, kind: str, make: Callable | None = None) -> DataFrame:
+    """embedding_type, drug_name (unique key), embedding, for non-blank texts; a row without a name is an error."""
+    keyed = named(boiled, strict=True).withColumn("drug_name", X.unique_key(F.col("generic_name"), F.col("drug_name")))
     texts = dedup.last_value_first_place(keyed.select("drug_name", column, "row_id"), "drug_name", column, "row_id")
     return texts.select(F.lit(kind).alias("embedding_type"), "drug_name", vectors.encode(F.col(column), make or vectors.hashing_encoder()).alias("embedding"))
 
 
+def embed(spark: SparkSession, config: EmbeddingConfig, make: Callable | None = None) -> DataFrame:
+    """Boiled CSV to embedding store, by the kinds that are asked for; returns the store's metadata."""
+    boiled = readers.boiled(spark, config.csv_file)
+    boiled = boiled.select(F.col("Generic Name").alias("generic_name"), F.col("Drug Name").alias("drug_name"), F.col("Description").alias("description"), F.col("ATC Codes").alias("atc_codes"), "row_id")
+    make = make or vectors.hashing_encoder(configured=config.device)
+    rows = embedding_rows(boiled.limit(0), "description", "description", make)
+    for wanted, column, kind in ((config.description, "description", "description"), (config.atc, "atc_codes", "atc")):
+        if wanted:
+            rows = rows.unionByName(embedding_rows(boiled, column, kind, make))
+    writers.embedding_store(rows, config.store, config.model)
+    return readers.store_metadata(spark, config.store)
+
+
+def reports(items: DataFrame, sims: DataFrame) -> dict[str, DataFrame]:
+    """Statistics, bands, their marked pairs and per-item means of items (dataset, item, display, size) and their
+    pairs; items are named by `display`."""
+    bands = vectors.levels(sims)
+    names = items.select(F.col("dataset").alias("cohort"), "item", "display")
+    means = vectors.per_item(items, "dataset", "item", sims).join(names, ["cohort", "item"])
+    return {
+        "pairs": sims, "stats": vectors.pair_stats(sims, items.select(F.col("dataset").alias("cohort"), "size")), "levels": bands, "level_means": vectors.level_means(bands),
+        "marked": vectors.named_pairs(vectors.marked(bands), names), "per_item": means.select("cohort", F.col("display").alias("item"), "avg_similarity"),
+    }
+
+
 def evaluate(cohort: DataFrame, store: DataFrame, dataset: str, strict: bool = False) -> dict[str, DataFrame]:
-    """Pairs, statistics, bands and per-item means of a cohort's stored vectors. Rows without any name
-    are skipped, or an error if strict."""
-    blank = (X.strip(F.col("generic_name")) == "") & ~X.has_brand(F.col("drug_name"))
-    rows = cohort.filter(F.when(blank & F.lit(strict), F.raise_error(F.lit("row without a name")).cast("boolean")).otherwise(~blank))
-    drug = X.brand_or_generic(F.col("generic_name"), F.col("drug_name"))
-    asked = rows.select(X.unique_key(F.col("generic_name"), drug).alias("drug_name"), F.lit(dataset).alias("dataset"))
-    found = vectors.lookup(asked, store.withColumn("seq", F.monotonically_increasing_id()), "drug_name", "seq").withColumn("item", F.monotonically_increasing_id())
+    """Reports over a cohort's stored vectors; of repeated keys the last row names the key. Rows without any
+    name are skipped, or an error if strict. Needs row_id in `cohort`; keys are requested as often as they stand there."""
+    rows = named(cohort, strict)
+    key = X.unique_key(F.col("generic_name"), F.col("drug_name"))
+    asked = rows.select("row_id", key.alias("drug_name"), X.display_name(F.col("generic_name"), F.col("drug_name")).alias("display"), F.lit(dataset).alias("dataset"))
+    shown = asked.groupBy("drug_name").agg(F.max_by("display", "row_id").alias("display"))
+    last = store.groupBy("drug_name").agg(F.max_by("embedding", F.xxhash64("embedding")).alias("embedding"))
+    found = asked.drop("display").join(shown, "drug_name").join(last, "drug_name").withColumnRenamed("row_id", "item")
     sims = vectors.pairs(found, "dataset", "item", "embedding")
-    return {"missing": vectors.missing(asked, store, "drug_name"), "pairs": sims, "stats": vectors.pair_stats(sims), "levels": (bands := vectors.levels(sims)), "level_means": vectors.level_means(bands), "per_item": vectors.per_item(found, "dataset", "item", sims)}
+    found = found.withColumn("size", vectors.norm(F.col("embedding").cast("array<double>")))
+    return {"missing": vectors.missing(asked, store, "drug_name").select("drug_name"), **reports(found, sims)}
+
+
+def fit_tfidf(boiled: DataFrame) -> DataFrame:
+    """The vocabulary of the descriptions of rows that have a generic name."""
+    return tfidf.vocabulary(boiled.filter(F.coalesce("generic_name", F.lit("")) != ""), "description")
 
 
-def evaluate_tfidf(cohort: DataFrame, corpus: DataFrame, dataset: str) -> dict[str, DataFrame]:
-    items = cohort.withColumn("item", F.monotonically_increasing_id())
-    sims = tfidf.pairs(items, "item", tfidf.weights(items, "item", "description", tfidf.vocabulary(corpus, "description")), dataset)
-    return {"pairs": sims, "stats": vectors.pair_stats(sims), "levels": (bands := vectors.levels(sims)), "level_means": vectors.level_means(bands), "per_item": vectors.per_item(items.withColumn("dataset", F.lit(dataset)), "dataset", "item", sims)}
+def evaluate_tfidf(cohort: DataFrame, vocabulary: DataFrame, dataset: str) -> dict[str, DataFrame]:
+    """Reports over the TF-IDF vectors of a cohort (with row_id); all rows count, a row without any name is an error."""
+    rows = named(cohort, strict=True)
+    items = rows.select(F.col("row_id").alias("item"), "description", X.display_name(F.col("generic_name"), F.col("drug_name")).alias("display"), F.lit(dataset).alias("dataset"))
+    weights = tfidf.weights(items, "item", "description", vocabulary)
+    sims = tfidf.pairs(items, "item", weights, dataset)
+    sized = items.join(weights.groupBy("item").agg(F.lit(1.0).alias("size")), "item", "left").withColumn("size", F.coalesce("size", F.lit(0.0)))
+    return reports(sized, sims)
 
 
 def cohorts(boiled: DataFrame, specs=C.COHORTS, seed: int = 42) -> dict[str, DataFrame]:
-    """The named cohorts, each cut to its sample size."""
-    columns = ["generic_name", "drug_name", "description"]
-    return {name: sampling.sample(sampling.cohort(boiled, column, part, columns), n, "drug_name", seed) for name, column, part, n in specs}
+    """The named cohorts, each cut to its sample size; ties of equal names go by all columns."""
+    columns = ["generic_name", "drug_name", "description", "row_id"]
+    return {name: sampling.sample(sampling.cohort(boiled, column, part, columns), n, columns, seed) for name, column, part, n in specs}
+
+
+def evaluate_files(spark: SparkSession, paths: Sequence[str], store: str, out: str, kind: str = "description", folder: str = "data") -> dict[str, str | None]:
+    """Per cohort file its report under `out`; a path is looked up as it is and then in `folder`. A file that is
+    missing or fails is reported and does not stop the others: path -> None or the error."""
+    vectors_of = readers.embedding_store(spark, store, kind)
+    done: dict[str, str | None] = {}
+    for path in paths:
+        at = next((p for p in (path, f"{folder}/{path}") if shared.exists(spark, p)), None)
+        try:
+            if at is None:
+                raise FileNotFoundError(f"CSV file not found: {path}")
+            dataset = at.rstrip("/").rsplit("/", 1)[-1].removesuffix(".csv").split("_")[0]
+            rows = evaluate(readers.cohort(spark, at, row_id=True), vectors_of, dataset)
+            writers.report(rows["per_item"], f"{out}/{dataset}_bert_sims.csv")
+            done[path] = None
+        except Exception as e:  # isolation is the contract: the error is returned and printed
+            done[path] = f"{type(e).__name__}: {str(e).splitlines()[0]}"
+            print(f"{path}: {done[path]}", file=sys.stderr)
+    return done
+
+
+def evaluate_cohorts(boiled: DataFrame, store: DataFrame, specs=C.COHORTS, seed: int = 42) -> DataFrame:
+    """All cohorts, sampled, under both kinds of vectors: dataset, means and deviations of both reports, difference."""
+    vocabulary = fit_tfidf(boiled)
+    sides: list[DataFrame | None] = [None, None]
+    for name, rows in cohorts(boiled, specs, seed).items():
+        dataset = name.split("_")[0]
+        for i, report in enumerate((evaluate(rows, store, dataset), evaluate_tfidf(rows, vocabulary, dataset))):
+            one = report["per_item"].select(F.lit(dataset).alias("dataset"), "avg_similarity")
+            sides[i] = one if sides[i] is None else sides[i].unionByName(one)
+    return vectors.compare(*sides)
 
 
 def run(spark: SparkSession, config: Config) -> DataFrame:
-    """Products and knowledge base to cleaned descriptions; writes both outputs, returns the last."""
-    products = scrape(readers.raw_products(spark, config.products_csv))
+    """Products and knowledge base to cleaned descriptions; writes the three outputs under their published column
+    names, returns the last. Missing inputs are an error before anything runs."""
+    shared.require(spark, config.products_csv, "product list")
+    shared.require(spark, config.knowledge_base_xml, "knowledge base")
+    work = shared.new_folder(spark, "stages")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+    products = written(scrape(readers.raw_products(spark, config.products_csv)), "scraped")
+    writers.stage(products, config.scraped_output, "row_id")
     enriched = describe(products, readers.knowledge_base(spark, config.knowledge_base_xml)).select("row_id", "generic_name", "drug_name", "description", "atc_codes")
-    enriched.write.mode("overwrite").parquet(config.output + ".parquet")
-    enriched = spark.read.parquet(config.output + ".parquet")
-    writers.csv(enriched, config.output, "row_id")
+    enriched = written(enriched, "enriched")
+    writers.stage(enriched, config.output, "row_id")
     listed = config.phrases
     if listed is None:
         listed = [r[0] for r in find_phrases(enriched).orderBy("pos").select("phrase").collect()]  # at most 60
     out = unboil(enriched, listed)
-    writers.csv(out, config.unboiled_output, "row_id")
+    writers.stage(out, config.unboiled_output, "row_id")
     return out

@@ -29,7 +29,7 @@ def register(name: str, build: Callable[[SparkSession, str], DataFrame], oracle:
 
 
 class Fixture:
-    """Invented rows for both engines."""
+    """Rows for both engines: invented ones and, in `TEXTS`, worked examples of the rules."""
 
     def __init__(self, schema: str, rows: list[tuple]):
         self.schema, self.rows = schema, rows
@@ -83,7 +83,6 @@ NAMES = Fixture("row_id bigint, generic_name string, drug_name string, descripti
 ])
 
 DOC_PHRASES = ("released under the mit license", "the of", "of the", "in the", "de la")
-SHOP_PHRASE_N = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,21 +138,54 @@ register(
 
 # match
 _K = O.key("generic_name")
-_PARTS = f"(SELECT row_id, pos, trim(component) AS component FROM (SELECT row_id, unnest(string_split(k, ' / ')) AS component, unnest(range(0, len(string_split(k, ' / ')))) AS pos FROM (SELECT row_id, {_K} AS k FROM {PRODUCTS.sql} AS f) WHERE contains(k, ' / ')) WHERE strlen(trim(component)) >= 4)"
-_M1 = f"SELECT row_id, name_key FROM (SELECT row_id, {_K} AS name_key FROM {PRODUCTS.sql} AS f) JOIN {DICTIONARY.sql} AS d USING (name_key)"
-_M2 = f"SELECT row_id, name_key FROM (SELECT row_id, {O.key('drug_name')} AS name_key FROM {PRODUCTS.sql} AS f) JOIN {DICTIONARY.sql} AS d USING (name_key) WHERE name_key NOT IN ('', 'none')"
-_M3 = f"SELECT row_id, CAST(pos AS INT) AS pos, name_key FROM {_PARTS} AS c JOIN {DICTIONARY.sql} AS d ON component = name_key"
-_M4 = f"SELECT row_id, CAST(pos AS INT) AS pos, name_key FROM {_PARTS} AS c JOIN {DICTIONARY.sql} AS d ON strlen(name_key) >= 4 AND (contains(component, name_key) OR contains(name_key, component))"
-_CASCADE = f"""(SELECT p.*, coalesce(level, 0) AS level, name_key FROM {PRODUCTS.sql} AS p LEFT JOIN (
+
+
+def _match_sql(p: str, d: str) -> tuple[str, str, str, str, str]:
+    """The four steps and the cascade, over products and a dictionary; steps 3 and 4 meet distinct components."""
+    parts = f"(SELECT row_id, pos, trim(component) AS component FROM (SELECT row_id, unnest(string_split(k, ' / ')) AS component, unnest(range(0, len(string_split(k, ' / ')))) AS pos FROM (SELECT row_id, {_K} AS k FROM {p} AS f) WHERE contains(k, ' / ')) WHERE strlen(trim(component)) >= 4)"
+    m1 = f"SELECT row_id, name_key FROM (SELECT row_id, {_K} AS name_key FROM {p} AS f) JOIN {d} AS d USING (name_key)"
+    m2 = f"SELECT row_id, name_key FROM (SELECT row_id, {O.key('drug_name')} AS name_key FROM {p} AS f) JOIN {d} AS d USING (name_key) WHERE name_key NOT IN ('', 'none')"
+    m3 = f"SELECT row_id, CAST(pos AS INT) AS pos, name_key FROM {parts} AS c JOIN {d} AS d ON component = name_key"
+    near = f"(SELECT component, name_key FROM (SELECT DISTINCT component FROM {parts}) AS c JOIN {d} AS d ON strlen(name_key) >= 4 AND (contains(component, name_key) OR contains(name_key, component)))"
+    m4 = f"SELECT row_id, CAST(pos AS INT) AS pos, name_key FROM {parts} AS c JOIN {near} AS d USING (component)"
+    cascade = f"""(SELECT p.*, coalesce(level, 0) AS level, name_key FROM {p} AS p LEFT JOIN (
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY least(level, 3), pos, level, -length(name_key), name_key) AS r FROM (
-SELECT row_id, name_key, 1 AS level, 0 AS pos FROM ({_M1}) UNION ALL SELECT row_id, name_key, 2, 0 FROM ({_M2})
-UNION ALL SELECT row_id, name_key, 3, pos FROM ({_M3}) UNION ALL SELECT row_id, name_key, 4, pos FROM ({_M4}))) WHERE r = 1) AS m USING (row_id))"""
+SELECT row_id, name_key, 1 AS level, 0 AS pos FROM ({m1}) UNION ALL SELECT row_id, name_key, 2, 0 FROM ({m2})
+UNION ALL SELECT row_id, name_key, 3, pos FROM ({m3}) UNION ALL SELECT row_id, name_key, 4, pos FROM ({m4}))) WHERE r = 1) AS m USING (row_id))"""
+    return m1, m2, m3, m4, cascade
+
+
+_M1, _M2, _M3, _M4, _CASCADE = _match_sql(PRODUCTS.sql, DICTIONARY.sql)
 for _name, _fn, _sql in (("match_exact", match.exact, _M1), ("match_brand", match.brand, _M2), ("match_component", match.component_exact, _M3), ("match_substring", match.component_substring, _M4)):
     register(_name, lambda s, d, fn=_fn: fn(PRODUCTS.df(s), DICTIONARY.df(s)), _sql)
 register("match_cascade", lambda s, d: match.cascade(PRODUCTS.df(s), DICTIONARY.df(s)), f"SELECT row_id, generic_name, drug_name, category, level, name_key FROM {_CASCADE}")
+
+
+# the same at size: products of part's names, some combined, against words of all documents and part's names
+def _listed(s: SparkSession, d: str) -> DataFrame:
+    name, kind = F.col("p_name"), F.pmod("p_partkey", F.lit(4))
+    swapped = F.concat(F.substring_index(name, " ", -1), F.lit(" / "), F.substring_index(name, " ", 1))
+    generic = F.when(kind == 0, name).when(kind == 1, F.concat(F.lit("x"), name)).when(kind == 2, swapped).otherwise(F.concat(name, F.lit("ed / "), F.substring_index(name, " ", -1)))
+    return table(s, d, "part").select(F.col("p_partkey").alias("row_id"), generic.alias("generic_name"), F.lower("p_brand").alias("drug_name"), F.col("p_type").alias("category"))
+
+
+def _known(s: SparkSession, d: str) -> DataFrame:
+    names = table(s, d, "part").filter("p_size % 2 = 0").select(F.col("p_name").alias("name_key"))
+    brands = table(s, d, "part").filter("p_size % 3 = 0").select(F.lower("p_brand").alias("name_key"))
+    said = table(s, d, "documents").select(F.explode(X.words(F.lower(F.coalesce("text", F.lit(""))))).alias("name_key"))
+    return names.unionByName(brands).unionByName(said).distinct()
+
+
+_LISTED = "(SELECT p_partkey AS row_id, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'x' || p_name WHEN 2 THEN string_split(p_name, ' ')[-1] || ' / ' || string_split(p_name, ' ')[1] ELSE p_name || 'ed / ' || string_split(p_name, ' ')[-1] END AS generic_name, lower(p_brand) AS drug_name, p_type AS category FROM part)"
+_KNOWN = f"(SELECT DISTINCT name_key FROM (SELECT p_name AS name_key FROM part WHERE p_size % 2 = 0 UNION ALL SELECT lower(p_brand) FROM part WHERE p_size % 3 = 0 UNION ALL SELECT unnest({O.words("lower(coalesce(text, ''))")}) FROM documents))"
+register("match_tables", lambda s, d: match.cascade(_listed(s, d), _known(s, d)), f"SELECT row_id, generic_name, drug_name, category, level, name_key FROM {_match_sql(_LISTED, _KNOWN)[4]}")
 _WHOLE = "CASE WHEN description <> '' THEN description || ' ' ELSE '' END || CASE WHEN indication <> '' THEN 'Used for: ' || indication ELSE '' END"
-_ENRICHED = f"""(SELECT row_id, generic_name, drug_name, concat_ws('; ', nullif(lower(category), ''), nullif(entity, '')) AS description, coalesce(array_to_string(atc_codes, '; '), '') AS atc_codes, name_key IS NOT NULL AS matched, entity <> '' AS cleaned
-FROM (SELECT c.*, d.atc_codes, coalesce(CASE WHEN d.name_key IS NOT NULL THEN info END, '') AS entity FROM {_CASCADE} AS c LEFT JOIN (SELECT *, {O.information('whole')} AS info FROM (SELECT *, {_WHOLE} AS whole FROM {DICTIONARY.sql} AS x)) AS d USING (name_key)))"""
+def _enriched_sql(cascade: str, dictionary: str) -> str:
+    return f"""(SELECT row_id, generic_name, drug_name, concat_ws('; ', nullif(lower(category), ''), nullif(entity, '')) AS description, coalesce(array_to_string(atc_codes, '; '), '') AS atc_codes, name_key IS NOT NULL AS matched, entity <> '' AS cleaned
+FROM (SELECT c.*, d.atc_codes, coalesce(CASE WHEN d.name_key IS NOT NULL THEN info END, '') AS entity FROM {cascade} AS c LEFT JOIN (SELECT *, {O.information('whole')} AS info FROM (SELECT *, {_WHOLE} AS whole FROM {dictionary} AS x)) AS d USING (name_key)))"""
+
+
+_ENRICHED = _enriched_sql(_CASCADE, DICTIONARY.sql)
 
 
 def _enriched(s: SparkSession) -> DataFrame:
@@ -181,46 +213,42 @@ register(
     f"SELECT doc_id, {O.fallback('text', _DOC_WORDS)} AS result FROM documents",
 )
 
-_XML = [
-    (1, "<drug><name>Alpha</name><description>First</description><atc-codes><atc-code code='A1'>x</atc-code><atc-code code='A2'>y</atc-code></atc-codes></drug>"),
-    (2, "<drug><name> Álpha </name><description/><indication>Second\nline</indication></drug>"),
-    (3, "<drug><name>Empty</name></drug>"),
-    (4, "<drug><description>No name</description></drug>"),
-]
-
-
-def _xml(s: SparkSession, d: str) -> DataFrame:
-    rows = s.createDataFrame(_XML, "seq bigint, xml string").select("seq", F.from_xml("xml", readers.ENTITY).alias("x")).select("seq", "x.*")
-    return readers.dictionary_rows(readers.parse_entities(rows))
+# phrases
+PHRASE_SIZES, PHRASE_LEAST, PHRASE_TOP, PHRASE_SHOWN = (3, 4, 5), 5, 20, 50
+_NAMES_SQL = "(" + " UNION ALL ".join(O.phrase_names("(SELECT source AS name, text FROM documents WHERE coalesce(text, '') <> '')", n)[1:-1] for n in PHRASE_SIZES) + ")"
 
 
-register("xml_scan", _xml)
+def _phrase_names(s: SparkSession, d: str) -> DataFrame:
+    return phrases.frequent_names(table(s, d, "documents"), "source", "text", PHRASE_SIZES, PHRASE_LEAST)
 
-# phrases
-_NAMES_SQL = {n: O.phrase_names("(SELECT source AS name, text FROM documents WHERE coalesce(text, '') <> '')", n) for n in (3, 4, 5)}
 
+def _ranked(s: SparkSession, d: str, most: int) -> DataFrame:
+    return phrases.top_phrases(phrases.dissimilar(_phrase_names(s, d), PHRASE_LEAST), most)
 
-def _phrase_names(s: SparkSession, d: str, sizes=(SHOP_PHRASE_N,)) -> DataFrame:
-    return phrases.phrase_names(table(s, d, "documents"), "source", "text", sizes)
 
-
-for _n in (3, 4, 5):
+for _n in PHRASE_SIZES:
     register(
         f"ngrams_{_n}",
-        lambda s, d, n=_n: table(s, d, "benchmark").select("item_id", F.posexplode(X.ngrams(F.coalesce(F.col("text"), F.lit("")), n)).alias("pos", "phrase")),
-        f"SELECT item_id, CAST(i - 1 AS INT) AS pos, array_to_string(w[i:i + {_n - 1}], ' ') AS phrase FROM (SELECT item_id, w, unnest(range(1, len(w) - {_n - 2})) AS i FROM (SELECT item_id, {O.words('text')} AS w FROM benchmark))",
+        lambda s, d, n=_n: table(s, d, "documents").select("doc_id", F.posexplode(X.ngrams(F.coalesce(F.col("text"), F.lit("")), n)).alias("pos", "phrase")),
+        f"SELECT doc_id, CAST(i - 1 AS INT) AS pos, array_to_string(w[i:i + {_n - 1}], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) - {_n - 2})) AS i FROM (SELECT doc_id, {O.words("coalesce(text, '')")} AS w FROM documents))",
     )
-_OFTEN = f"(SELECT n, phrase, count(*) AS total FROM {_NAMES_SQL[5]} GROUP BY 1, 2 HAVING count(*) >= 5)"
-_DISSIMILAR = f"""(WITH k AS (SELECT * FROM {_NAMES_SQL[5]} JOIN {_OFTEN} USING (n, phrase))
-SELECT n, phrase, max(total) AS total, count(*) AS distinct_names FROM k WHERE NOT EXISTS (SELECT 1 FROM k AS e WHERE e.phrase = k.phrase AND e.name < k.name AND {O.similar('e.name', 'k.name')}) GROUP BY 1, 2 HAVING count(*) >= 5)"""
-_TOP = f"(SELECT n, phrase, total, distinct_names, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY distinct_names DESC, total DESC, phrase) AS rank FROM {_DISSIMILAR}) WHERE rank <= 50)"
-register("phrase_freq", lambda s, d: phrases.frequent(_phrase_names(s, d), 5), f"SELECT n, phrase, total FROM {_OFTEN}")
-register("phrase_dissimilar", lambda s, d: phrases.dissimilar(_phrase_names(s, d), 5), f"SELECT n, phrase, total, distinct_names FROM {_DISSIMILAR}")
-register("phrase_topk", lambda s, d: phrases.top_phrases(phrases.dissimilar(_phrase_names(s, d), 5), 50), f"SELECT * FROM {_TOP}")
+_OFTEN = f"(SELECT n, phrase, count(*) AS total FROM {_NAMES_SQL} GROUP BY 1, 2 HAVING count(*) >= {PHRASE_LEAST})"
+_DISSIMILAR = f"""(WITH k AS (SELECT * FROM {_NAMES_SQL} JOIN {_OFTEN} USING (n, phrase)),
+s AS (SELECT e.name AS earlier, l.name AS name FROM (SELECT DISTINCT name FROM k) AS e JOIN (SELECT DISTINCT name FROM k) AS l ON e.name < l.name AND {O.similar('e.name', 'l.name')})
+SELECT n, phrase, max(total) AS total, count(*) AS distinct_names FROM k WHERE NOT EXISTS (SELECT 1 FROM k AS e JOIN s ON s.earlier = e.name WHERE e.n = k.n AND e.phrase = k.phrase AND s.name = k.name) GROUP BY 1, 2 HAVING count(*) >= {PHRASE_LEAST})"""
+
+
+def _top(most: int) -> str:
+    return f"(SELECT n, phrase, total, distinct_names, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY distinct_names DESC, total DESC, phrase) AS rank FROM {_DISSIMILAR}) WHERE rank <= {most})"
+
+
+register("phrase_freq", lambda s, d: phrases.frequent(_phrase_names(s, d), PHRASE_LEAST), f"SELECT n, phrase, total FROM {_OFTEN}")
+register("phrase_dissimilar", lambda s, d: phrases.dissimilar(_phrase_names(s, d), PHRASE_LEAST), f"SELECT n, phrase, total, distinct_names FROM {_DISSIMILAR}")
+register("phrase_topk", lambda s, d: _ranked(s, d, PHRASE_SHOWN), f"SELECT * FROM {_top(PHRASE_SHOWN)}")
 register(
     "phrase_overlap_dedup",
-    lambda s, d: phrases.drop_overlaps(phrases.top_phrases(phrases.dissimilar(_phrase_names(s, d), 5), 50)),
-    f"""WITH RECURSIVE t AS (SELECT list(phrase ORDER BY n, rank) AS l FROM {_TOP}),
+    lambda s, d: phrases.drop_overlaps(_ranked(s, d, PHRASE_TOP)),
+    f"""WITH RECURSIVE t AS (SELECT list(phrase ORDER BY n, rank) AS l FROM {_top(PHRASE_TOP)}),
 f AS (SELECT l, 1 AS i, CAST([] AS VARCHAR[]) AS k FROM t UNION ALL
 SELECT l, i + 1, CASE WHEN len(list_filter(k, lambda q: contains(q, l[i]) OR contains(l[i], q))) > 0 THEN k ELSE list_append(k, l[i]) END FROM f WHERE i <= len(l))
 SELECT CAST(p - 1 AS INT) AS pos, k[p] AS phrase FROM (SELECT k, unnest(range(1, len(k) + 1)) AS p FROM f WHERE i = len(l) + 1)""",
@@ -245,7 +273,20 @@ _fixture("display_name", NAMES, "row_id", lambda: X.display_name(F.col("generic_
 for _name, _col, _part, _ in C.COHORTS:
     register(f"cohort_{_name}", lambda s, d, c=_col, p=_part: sampling.cohort(NAMES.df(s), c, p, ["generic_name", "drug_name", "description"]), f"SELECT generic_name, drug_name, description FROM {NAMES.sql} AS f WHERE {_col} LIKE '%{_part}%'")
 register("cohort_documents", lambda s, d: sampling.cohort(table(s, d, "documents"), "text", "stupid", ["doc_id", "source", "lang"]), "SELECT doc_id, source, lang FROM documents WHERE text LIKE '%stupid%'")
-register("sample_seeded", lambda s, d: sampling.sample(table(s, d, "documents").select("doc_id"), 110, "doc_id"))
+register("sample_seeded", lambda s, d: sampling.sample(table(s, d, "documents").select("doc_id"), 110, "doc_id"), "SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 110")
+register("sample_random", lambda s, d: sampling.random_rows(table(s, d, "documents").select("doc_id"), 10).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("doc_id").alias("n_different")), "SELECT least(10, count(*)) AS n_rows, least(10, count(*)) AS n_different FROM documents")
+_fixture("combined_text", NAMES, "row_id", lambda: X.combined_text(_brand(), F.col("description")), f"{_BRAND} || ' ' || description")
+_fixture("display_label", NAMES, "row_id", lambda: X.display_label(F.col("drug_name")), "upper(string_split(drug_name, '_')[1])")
+register(
+    "display_lookup",  # of repeated keys the last row names the key
+    lambda s, d: NAMES.df(s).select(X.unique_key(F.col("generic_name"), _brand()).alias("key"), X.display_name(F.col("generic_name"), _brand()).alias("display"), "row_id").groupBy("key").agg(F.max_by("display", "row_id").alias("display")),
+    f"SELECT key, arg_max(display, row_id) AS display FROM (SELECT row_id, lower({O.strip('generic_name')}) || '|' || lower({O.strip(_BRAND)}) AS key, generic_name || '/' || {_BRAND} AS display FROM {NAMES.sql} AS f) GROUP BY key",
+)
+register(
+    "named_rows",
+    lambda s, d: pipeline.named(NAMES.df(s).unionByName(s.createDataFrame([(20, " ", "none", "x"), (21, "", "Brand", "y"), (22, "", "", "z")], NAMES.schema)), strict=False).select("row_id", "drug_name"),
+    f"SELECT row_id, {_BRAND} AS drug_name FROM {NAMES.sql} AS f UNION ALL SELECT 21, 'Brand'",
+)
 
 
 # vectors
@@ -283,6 +324,16 @@ r AS (SELECT s.*, n, row_number() OVER (PARTITION BY cohort ORDER BY round(sim,
 SELECT cohort, band, place - start AS place, i, j, sim FROM (SELECT *, unnest(['top', 'middle', 'bottom']) AS band, unnest([0, total // 2, greatest(0, total - n)]) AS start FROM r) WHERE place >= start AND place < start + n)"""
 register("cosine_item_levels", lambda s, d: _rounded(vectors.levels(_sims(s, d)), "sim"), f"SELECT cohort, band, place, i, j, round(sim, 6) AS sim FROM {_ITEM_BANDS}")
 register("cosine_item_level_means", lambda s, d: _rounded(vectors.level_means(vectors.levels(_sims(s, d))), "mean_sim"), f"SELECT cohort, band, round(avg(sim), 6) AS mean_sim, count(*) AS n_pairs FROM {_ITEM_BANDS} GROUP BY 1, 2")
+register(
+    "cosine_range",
+    lambda s, d: _rounded(vectors.pair_stats(_sims(s, d), _items(s, d).select(F.col("label").alias("cohort"), vectors.norm(F.col("embedding").cast("array<double>")).alias("size"))).select("cohort", "range_min", "range_max"), "range_min", "range_max"),
+    f"SELECT cohort, round(min(sim), 6) AS range_min, round(max(sim), 6) AS range_max FROM (SELECT cohort, sim FROM {_SIMS} UNION ALL SELECT label, CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0 THEN 1.0 ELSE 0.0 END FROM embeddings WHERE label IN (SELECT cohort FROM {_SIMS})) GROUP BY cohort",
+)
+register(
+    "cosine_marks",
+    lambda s, d: _rounded(vectors.marked(vectors.levels(_steady(s, d))), "sim"),
+    f"WITH b AS (SELECT *, count(*) OVER (PARTITION BY cohort, band) AS n FROM {_ITEM_BANDS}) SELECT cohort, band, mark, i, j, round(sim, 6) AS sim FROM (SELECT *, unnest(['top', 'middle', 'bottom']) AS mark, unnest([0, n // 2, n - 1]) AS spot FROM b) WHERE place = spot",
+)
 _PER_ITEM = f"(SELECT label AS cohort, vec_id AS item, coalesce(a, 0.0) AS avg_similarity FROM embeddings LEFT JOIN (SELECT item, avg(sim) AS a FROM (SELECT i AS item, sim FROM {_SIMS} UNION ALL SELECT j, sim FROM {_SIMS}) GROUP BY item) ON item = vec_id)"
 register("cosine_per_item", lambda s, d: _rounded(vectors.per_item(_items(s, d), "label", "vec_id", _sims(s, d)), "avg_similarity"), f"SELECT cohort, item, round(avg_similarity, 6) AS avg_similarity FROM {_PER_ITEM}")
 register(
@@ -295,10 +346,12 @@ register("embedding_missing", lambda s, d: vectors.missing(table(s, d, "document
 
 def _encoded(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "benchmark").select(F.lit("description").alias("embedding_type"), F.col("item_id").cast("string").alias("drug_name"), vectors.encode(F.coalesce("text", F.lit("")), vectors.hashing_encoder()).alias("embedding"))
-    return rows.select("embedding_type", "drug_name", F.size("embedding").alias("dim"), F.round(vectors.norm(F.col("embedding").cast("array<double>")), 4).alias("size"))
+    return rows.select("embedding_type", "drug_name", F.posexplode("embedding").alias("place", "value")).filter("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 4) + 0.0)
 
 
-register("encode_store", _encoded)
+_BUCKETS = f"(SELECT item_id, CAST('0x' || substr(h, 1, 2) AS INT) % 64 AS place, sum(CASE WHEN CAST('0x' || substr(h, 3, 2) AS INT) % 2 = 1 THEN 1.0 ELSE -1.0 END) AS v FROM (SELECT item_id, md5(w) AS h FROM (SELECT item_id, unnest({O.words("lower(coalesce(text, ''))")}) AS w FROM benchmark)) GROUP BY 1, 2)"
+register("encode_store", _encoded, f"SELECT 'description' AS embedding_type, CAST(item_id AS VARCHAR) AS drug_name, CAST(place AS INT) AS place, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 4) AS value FROM {_BUCKETS} WHERE v <> 0")
+register("device_choice", lambda s, d: s.createDataFrame([(c, vectors.device(c)) for c in ("npu", "")], "configured string, device string"), "SELECT * FROM (VALUES ('npu', 'npu'), ('', 'cpu')) AS v(configured, device)")
 
 # TF-IDF
 _VOCAB = f"(SELECT term, count(*) AS df, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM (SELECT unnest(list_distinct({O.tokens('''coalesce(text, '')''')})) AS term FROM documents) GROUP BY term)"
@@ -315,6 +368,12 @@ def _tpairs(s: SparkSession, d: str) -> DataFrame:
 
 
 register("tfidf_vocab", lambda s, d: _rounded(tfidf.vocabulary(table(s, d, "documents"), "text"), "idf"), f"SELECT term, df, round(idf, 6) AS idf FROM {_VOCAB}")
+_SOURCED = lambda s, d: table(s, d, "documents").select(F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("source")).alias("generic_name"), F.col("text").alias("description"))
+register(
+    "tfidf_training",  # rows without a generic name are not learnt from
+    lambda s, d: _rounded(pipeline.fit_tfidf(_SOURCED(s, d)), "idf"),
+    f"WITH documents AS (SELECT text FROM main.documents WHERE doc_id % 5 <> 0 AND coalesce(source, '') <> '') SELECT term, df, round(idf, 6) AS idf FROM {_VOCAB}",
+)
 register("tfidf_weights", lambda s, d: _rounded(_weights(s, d), "weight"), f"SELECT item, term, round(weight, 6) AS weight FROM {_WEIGHTS}")
 register("tfidf_pairs", lambda s, d: _rounded(_tpairs(s, d), "sim"), f"WITH w AS {_WEIGHTS} SELECT cohort, i, j, round(sim, 6) AS sim FROM {_TPAIRS}")
 register("tfidf_stats", lambda s, d: _rounded(vectors.pair_stats(_tpairs(s, d)), *_STAT_COLUMNS), f"WITH w AS {_WEIGHTS} SELECT cohort, {_STATS} FROM {_TPAIRS} GROUP BY cohort")
@@ -352,7 +411,7 @@ _FOLDED = O.fold("coalesce(text, '')")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded documents to ranked phrases that many sources share."""
     docs = table(spark, sf_dir, "documents").select("source", X.fold_ascii(F.coalesce("text", F.lit(""))).alias("text"))
-    return phrases.frequent(phrases.phrase_names(docs, "source", "text", (5,)), 5)
+    return phrases.frequent(phrases.frequent_names(docs, "source", "text", (5,), 5), 5)
 
 
 register(

@@ -4,25 +4,47 @@ from __future__ import annotations
 
 import tomllib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as X
+from .shared import require
 
 ENTITY = "name array<string>, description array<string>, indication array<string>, `atc-codes` struct<`atc-code`: array<struct<_code: string>>>, `atc-code` array<struct<_code: string>>"
 
 
-def csv(spark: SparkSession, path: str, columns: list[str] | None = None, row_id: bool = True) -> DataFrame:
-    """All columns as strings, empty cells as '', malformed rows fail; optionally some columns and the row order."""
-    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, mode="FAILFAST").fillna("")
+def numbered(df: DataFrame) -> DataFrame:
+    """Rows just read from files, with row_id: 0, 1, ... in the order of the files' paths and of the rows in each.
+
+    Spark packs file splits into tasks by size, so its own row numbers follow no file. Rows are counted per split,
+    and the splits, one row each, are summed up in order.
+    """
+    places = {"_row_file": F.col("_metadata.file_path"), "_row_start": F.col("_metadata.file_block_start"), "_row_seq": F.monotonically_increasing_id()}
+    rows = df.select("*", *[c.alias(n) for n, c in places.items()])
+    splits = rows.groupBy("_row_file", "_row_start").agg(F.min("_row_seq").alias("_row_first"), F.count(F.lit(1)).alias("_row_count"))
+    before = F.sum("_row_count").over(Window.orderBy("_row_file", "_row_start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("_row_file", "_row_start", "_row_first", F.coalesce(before, F.lit(0)).alias("_row_before"))
+    row_id = (F.col("_row_before") + F.col("_row_seq") - F.col("_row_first")).alias("row_id")
+    return rows.join(splits, ["_row_file", "_row_start"]).select(*df.columns, row_id)
+
+
+def csv(spark: SparkSession, path: str, columns: list[str] | None = None, row_id: bool = True, multi_line: bool = False) -> DataFrame:
+    """All columns as strings, empty cells as '', malformed rows fail; optionally some columns and the row order.
+
+    Files are split among tasks; cells with line breaks need `multi_line`, which reads each file in one task, and
+    fail without it.
+    """
+    require(spark, path, "CSV file")
+    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line, mode="FAILFAST")
+    df = numbered(df) if row_id else df
     if columns:
-        df = df.select(*[F.col(f"`{c}`") for c in columns])
-    return df.withColumn("row_id", F.monotonically_increasing_id()) if row_id else df
+        df = df.select(*[F.col(f"`{c}`") for c in columns], *(["row_id"] if row_id else []))
+    return df.fillna("")
 
 
-def raw_products(spark: SparkSession, path: str) -> DataFrame:
-    return csv(spark, path, ["Generic Name", "Brand Name", "Pharmacologic Category"])
+def raw_products(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return csv(spark, path, ["Generic Name", "Brand Name", "Pharmacologic Category"], multi_line=multi_line)
 
 
 def scraped(spark: SparkSession, path: str) -> DataFrame:
@@ -45,23 +67,24 @@ def boiled(spark: SparkSession, path: str) -> DataFrame:
     return df if "ATC Codes" in df.columns else df.withColumn("ATC Codes", F.lit(""))
 
 
-def cohort(spark: SparkSession, path: str) -> DataFrame:
+def cohort(spark: SparkSession, path: str, row_id: bool = False) -> DataFrame:
     """Three columns renamed by position; any other number is an error."""
-    df = csv(spark, path, row_id=False)
-    if len(df.columns) != 3:
-        raise ValueError(f"{path}: expected 3 columns, found {len(df.columns)}")
-    return df.toDF("generic_name", "drug_name", "description")
+    df = csv(spark, path, row_id=row_id)
+    if len(df.columns) != 3 + row_id:
+        raise ValueError(f"{path}: expected 3 columns, found {len(df.columns) - row_id}")
+    return df.toDF("generic_name", "drug_name", "description", *(["row_id"] if row_id else []))
 
 
 def truth(spark: SparkSession, path: str) -> DataFrame:
-    """First column of a file without header, with its positions."""
-    return spark.read.csv(path, header=False).select(F.col("_c0").alias("actual")).withColumn("row_id", F.monotonically_increasing_id())
+    """First column of a file without header, with its positions from 0."""
+    rows = spark.read.csv(require(spark, path, "truth file"), header=False)
+    return numbered(rows).select(F.col("_c0").alias("actual"), "row_id")
 
 
 def reports(spark: SparkSession, glob: str) -> DataFrame:
     """Per-item reports of a folder, with the dataset taken from each file's name."""
     df = spark.read.schema("item string, avg_similarity double").csv(glob, header=True)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+_sims\.csv)(?:/[^/]+)?$", 1)
     return df.withColumn("dataset", X.dataset_label(name))
 
 
@@ -84,15 +107,23 @@ def parse_entities(rows: DataFrame) -> DataFrame:
 
 def knowledge_base(spark: SparkSession, path: str, row_tag: str = "drug") -> DataFrame:
     """The entity dictionary of an XML file. Files are read whole elements at a time, in order."""
+    require(spark, path, "knowledge base")
     rows = spark.read.format("xml").option("rowTag", row_tag).schema(ENTITY).load(path)
-    return dictionary_rows(parse_entities(rows.withColumn("seq", F.monotonically_increasing_id())))
+    return dictionary_rows(parse_entities(numbered(rows).withColumnRenamed("row_id", "seq")))
 
 
 def embedding_store(spark: SparkSession, path: str, kind: str = "description") -> DataFrame:
-    """drug_name, embedding of one kind; only its partition is read."""
+    """drug_name, embedding of one kind; only its partition is read. A missing store or kind is an error."""
+    require(spark, f"{path}/vectors", "embedding store")
+    require(spark, f"{path}/vectors/embedding_type={kind}", f"embeddings of type {kind}")
     return spark.read.parquet(f"{path}/vectors").filter(F.col("embedding_type") == kind)
 
 
+def store_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """One row per kind of embeddings, each with the totals of the store."""
+    return spark.read.parquet(require(spark, f"{path}/metadata", "embedding store"))
+
+
 def config(path: str) -> dict:
     with open(path, "rb") as f:
         return tomllib.load(f)

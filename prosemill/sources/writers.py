@@ -8,25 +8,41 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def csv(df: DataFrame, path: str, order: str | None = None) -> None:
-    """One header, minimal quoting, rows in order. A single file is asked for by the format's users;
-    range-sorted parts keep the write parallel, and their names keep the order."""
+#: published names of the stages' columns (fixed values)
+HEADERS = {"generic_name": "Generic Name", "drug_name": "Drug Name", "category": "Pharmacologic Category", "description": "Description", "atc_codes": "ATC Codes"}
+
+
+def csv(df: DataFrame, path: str, order: str | None = None, single: bool = False) -> None:
+    """Minimal quoting, rows in order: range-sorted parts, each with the header, whose names keep the order, so
+    the write is parallel. `single` asks for one part, in one task, for programs that take one file."""
     out = df.orderBy(order).drop(order) if order else df
+    out = out.coalesce(1) if single else out
     out.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
+def stage(df: DataFrame, path: str, order: str | None = None, single: bool = False) -> None:
+    """A stage's output under its published column names, which the readers take."""
+    csv(df.select(*[F.col(c).alias(HEADERS.get(c, c)) for c in df.columns]), path, order, single)
+
+
 def report(df: DataFrame, path: str) -> None:
-    """item, avg_similarity, highest first."""
-    out = df.select("item", "avg_similarity").orderBy(F.desc("avg_similarity"), "item")
+    """Drug, Avg_Similarity, highest first, ties by name."""
+    out = df.select(F.col("item").alias("Drug"), F.col("avg_similarity").alias("Avg_Similarity")).orderBy(F.desc("Avg_Similarity"), "Drug")
     out.write.mode("overwrite").csv(path, header=True)
 
 
-def embedding_store(df: DataFrame, path: str, model: str, description: str = "") -> None:
-    """Rows (embedding_type, drug_name, embedding) by type, as float32, and one row of metadata per type."""
+def embedding_store(df: DataFrame, path: str, model: str, description: str = "Drug embeddings: separate mappings for descriptions and ATC codes") -> None:
+    """Rows (embedding_type, drug_name, embedding) by type, as float32, and one row of metadata per type, with the
+    totals of the store. Vectors of unlike lengths in one type are an error; a store without vectors has no types."""
     out = df.select("embedding_type", "drug_name", F.col("embedding").cast("array<float>"))
     out.write.mode("overwrite").partitionBy("embedding_type").option("compression", "gzip").parquet(f"{path}/vectors")
-    stored = df.sparkSession.read.parquet(f"{path}/vectors")
-    meta = stored.groupBy("embedding_type").agg(F.count(F.lit(1)).alias("num_drugs"), F.max(F.size("embedding")).alias("embedding_dim"))
+    stored = df.sparkSession.read.schema("drug_name string, embedding array<float>, embedding_type string").parquet(f"{path}/vectors")
+    kinds = stored.groupBy("embedding_type").agg(F.count(F.lit(1)).alias("num_drugs"), F.max(F.size("embedding")).alias("embedding_dim"), F.min(F.size("embedding")).alias("least"))
+    same = F.when(F.col("least") == F.col("embedding_dim"), F.col("embedding_dim")).otherwise(F.raise_error(F.lit("vectors of unlike lengths")).cast("int"))
+    kinds = kinds.select("embedding_type", "num_drugs", same.alias("embedding_dim"))
+    total = lambda kind: F.coalesce(F.sum(F.when(F.col("embedding_type") == kind, F.col("num_drugs"))), F.lit(0)).alias(f"total_drugs_with_{kind}")
+    totals = kinds.agg(total("description"), total("atc")).withColumnRenamed("total_drugs_with_description", "total_drugs_with_descriptions")
+    meta = totals.join(kinds, F.lit(True), "left")  # one row each side but for the kinds, which are two
     meta.withColumn("model_name", F.lit(model)).withColumn("description", F.lit(description)).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
