@@ -18,6 +18,8 @@ from ..functions import text as X
 from ..sources import shared
 from .keyfilter import KeyFilter
 
+#: Unicode white space
+WHITE = r"[\x09-\x0D\x20\x{85}\p{Z}]+"
 TRIM = ",;:. "  # cut around a removed phrase
 
 
@@ -31,14 +33,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _runs(texts: pa.Array, sizes: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
     """For each n: the hashes of all runs of n words, their rows and first words, and all words. Words stand
-    between single spaces."""
-    split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    between runs of Unicode white space."""
+    plain = pc.utf8_trim(pc.replace_substring_regex(pc.fill_null(texts, ""), WHITE, " "), " ")
+    split = pc.split_pattern(plain, " ")
     cuts = split.offsets.to_numpy().astype(np.int64)
     said = split.flatten()
     coded = said.dictionary_encode()
     known = [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in coded.dictionary.to_pylist()]
     h = np.array(known, _U64)[coded.indices.to_numpy()] if len(known) else np.zeros(0, _U64)
     row = np.repeat(np.arange(len(texts)), np.diff(cuts))
+    if pc.any(pc.equal(plain, "")).as_py():  # splits into one empty word
+        solid = np.flatnonzero(~pc.equal(said, "").to_numpy(zero_copy_only=False))
+        h, row, said = h[solid], row[solid], said.take(pa.array(solid))
     for n in sizes:
         count = max(0, len(h) - n + 1)
         at = np.flatnonzero(row[:count] == row[n - 1 :]) if count else np.zeros(0, np.int64)
@@ -56,10 +62,15 @@ def _first_of_each(h: np.ndarray, who: np.ndarray) -> np.ndarray:
     return np.unique(code * (int(who.max()) + 1) + who, return_index=True)[1]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to as many tasks as there are cores where the scan has fewer; otherwise as they are."""
+    few = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(few) if df.rdd.getNumPartitions() < few else df
+
+
 def _rows(df: DataFrame, name: str, text: str) -> DataFrame:
-    """name (lowered) and text with single spaces between words, of the rows that have words."""
-    rows = df.filter(F.coalesce(F.col(text), F.lit("")) != "").select(F.lower(name).alias("name"), X.squeeze(F.col(text)).alias("text"))
-    return rows.filter(F.col("text") != "")
+    """name (lowered) and text."""
+    return spread(df.select(F.lower(name).alias("name"), F.col(text).cast("string").alias("text")))
 
 
 def frequent_names(df: DataFrame, name: str, text: str, sizes: Sequence[int], least: int, least_bytes: int = 10) -> DataFrame:

@@ -410,7 +410,7 @@ _FOLDED = O.fold("coalesce(text, '')")
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded documents to ranked phrases that many sources share."""
-    docs = table(spark, sf_dir, "documents").select("source", X.fold_ascii(F.coalesce("text", F.lit(""))).alias("text"))
+    docs = phrases.spread(table(spark, sf_dir, "documents").select("source", "text")).select("source", X.fold_ascii(F.coalesce("text", F.lit(""))).alias("text"))
     return phrases.frequent(phrases.frequent_names(docs, "source", "text", (5,), 5), 5)
 
 
