@@ -54,6 +54,15 @@ def prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """span_hash() of all runs of k values."""
+    pre, n = prefix(values), len(values) - k + 1
+    raw = pre[k:] - pre[:n]
+    raw *= _power(_INV, n)
+    raw += U64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+    return mix(raw)
+
+
 def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of values[start:end], equal for equal spans wherever they stand."""
     raw = (pre[end] - pre[start]) * _power(_INV, len(pre))[start]
@@ -99,22 +108,46 @@ def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE):
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
+def single_spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """The words with one space after each, and their new starts and ends."""
+    size = ends - starts
+    end = np.cumsum(size + 1) - 1
+    flat = np.full(int(end[-1]) + 1 if len(end) else 0, 0x20, np.uint8)
+    place = np.ones(len(flat), bool)
+    place[end] = False
+    flat[place] = data[~SPACE[data]]
+    return flat, end - size, end
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return span_hash(prefix(data.astype(U64) + U64(1)), starts, ends)
 
 
+#: bits of a packed value that hold the position; a run of so many positions is worked on at once
+_PLACE = 22
+
+
 def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
-    """Position of the leftmost smallest value of each window h[i:i+w]."""
+    """Position of the smallest value of each window h[i:i+w], by its upper bits, the leftmost of equal ones.
+
+    A value's lower `_PLACE` bits are replaced by its position, so one minimum finds both; the choice in a
+    window depends on its own values only, wherever it stands.
+    """
     n = len(h) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    value, at, span = h, np.arange(len(h), dtype=np.int64 if len(h) > 2**31 else np.int32), 1
-    while span < w:
-        step = min(span, w - span)
-        right = value[step:] < value[:-step]
-        value, at = np.where(right, value[step:], value[:-step]), np.where(right, at[step:], at[:-step])
-        span += step
-    return at[:n]
+    low, step = U64((1 << _PLACE) - 1), (1 << _PLACE) - w
+    out = np.empty(n, np.int64)
+    for lo in range(0, n, step):
+        part = h[lo : lo + step + w - 1]
+        v = (part & ~low) | np.arange(len(part), dtype=U64)
+        span = 1
+        while span < w:
+            by = min(span, w - span)
+            v = np.minimum(v[:-by], v[by:])
+            span += by
+        out[lo : lo + step] = (v & low).astype(np.int64) + lo
+    return out
 
 
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -150,8 +183,8 @@ def anchored(h: np.ndarray, cuts: np.ndarray, window: int, k: int):
     none = np.zeros(0, np.int64)
     if n < window:
         return np.zeros(0, U64), none, none, none
-    grams = span_hash(prefix(h), np.arange(n - k + 1), np.arange(k, n + 1))
-    at = sliding_argmin(grams, window - k + 1).astype(np.int64)
+    grams = gram_hashes(h, k)
+    at = sliding_argmin(grams, window - k + 1)
     fits = np.maximum(np.diff(cuts) - window + 1, 0)
     starts = spread(cuts[:-1], fits)
     if not len(starts):

@@ -6,12 +6,12 @@ Every intermediate that is read twice is written to the folder that the session
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.keyfilter import KeyFilter as KeyFilter
+from ..sources import shared
+
 #: Arrow batches of the Python operators: rows and, where Spark knows the setting, bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -19,21 +19,12 @@ WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="prosemill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 class Scratch:
     """Written tables of one query, each in a folder of its own under the shared folder."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.base = f"{shared_dir(spark)}/prosemill-{uuid.uuid4().hex}"
+        self.base = shared.new_folder(spark, "prosemill")
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -6,8 +6,10 @@ place, so every shared span of that length shares a fingerprint. Training and te
 joined, and each hit is extended word by word to the left and right; words decide, hashes do not.
 Items of fewer words are one window, found by the hash of all their words.
 
-Documents emit only fingerprints that a bit filter of fixed size (`FILTER_BITS`) may hold, so the join
-is as large as the overlap, not as the corpus; the join itself is shuffled, whatever the benchmark's size.
+Documents emit only fingerprints that a filter of bounded size may hold, so the join is as large as the
+overlap, not as the corpus. It carries no item lists: windows carry the number of their set of items, and sets are
+joined once a document and set. Spark broadcasts the fingerprints of the benchmark below its own threshold; above it
+the join is a sort-merge join, whose partitions AQE splits where many documents share a passage.
 
 Defined results: null and empty texts have no words and no hits; repeated rows have a result each;
 repeated items count once each by their identifier, and those without one as one item that has no name in
@@ -24,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import U64, blocks, prefix, sliding_argmin, span_hash, spread, word_hashes, words
-from .common import KEY, Scratch, table, with_key
+from .bytesops import blocks, gram_hashes, prefix, sliding_argmin, span_hash, spread, word_hashes, words
+from .common import KEY, KeyFilter, Scratch, table, with_key
 
-WINDOW, K, FILTER_BITS, CONTAMINATED = 8, 4, 1 << 22, 2
+WINDOW, K, CONTAMINATED = 8, 4, 2
 #: consecutive words of one item that make a leak by themselves
 LONG = 13
 
@@ -46,10 +48,9 @@ def _fingerprints(h: np.ndarray, cuts: np.ndarray, short: tuple[int, ...]):
     n = np.diff(cuts)
     pre = prefix(h)
     if len(h) >= WINDOW:
-        at = np.arange(len(h) - K + 1)
-        grams = span_hash(pre, at, at + K)
+        grams = gram_hashes(h, K)
         chosen = sliding_argmin(grams, WINDOW - K + 1)[spread(cuts[:-1], np.maximum(n - WINDOW + 1, 0))]
-        chosen = np.unique(chosen).astype(np.int64)
+        chosen = np.unique(chosen)
         out.append((chosen, grams[chosen], K, WINDOW))
     for size in short:
         at = spread(cuts[:-1], np.maximum(n - size + 1, 0))
@@ -57,7 +58,7 @@ def _fingerprints(h: np.ndarray, cuts: np.ndarray, short: tuple[int, ...]):
     return out
 
 
-def _hits(texts: pa.Array, short: tuple[int, ...], held: np.ndarray | None, only_short: bool = False):
+def _hits(texts: pa.Array, short: tuple[int, ...], held: KeyFilter | None):
     """Per row: number of words and the fingerprints that `held` may contain (all, if None)."""
     counts, found = np.zeros(len(texts), np.int64), [[] for _ in range(len(texts))]
     for lo, hi, data, offsets in blocks(texts):
@@ -67,7 +68,7 @@ def _hits(texts: pa.Array, short: tuple[int, ...], held: np.ndarray | None, only
         raw = data.tobytes()
         for at, fps, size, window in _fingerprints(word_hashes(data, starts, ends), cuts, short):
             if held is not None:
-                some = np.flatnonzero(held[(fps & U64(FILTER_BITS - 1)).astype(np.int64)])
+                some = np.flatnonzero(held.has(fps))
                 at, fps = at[some], fps[some]
             row = np.searchsorted(cuts, at, "right") - 1
             for p, fp, r in zip(at.tolist(), fps.view(np.int64).tolist(), row.tolist(), strict=True):
@@ -102,7 +103,7 @@ def benchmark_fingerprints(benchmark: DataFrame, id_col: str, text_col: str) ->
 
     rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
     flat = rows.mapInArrow(emit, f"id string, n_words long, hits array<{_HIT}>").select("id", "n_words", F.explode("hits").alias("h")).select("id", "n_words", "h.*")
-    return flat.groupBy("fp", "size", "left", "around").agg(F.collect_set(F.struct("id", "n_words")).alias("items"))
+    return flat.groupBy("fp", "size", "left", "around").agg(F.sort_array(F.collect_set(F.struct("id", "n_words"))).alias("items"))
 
 
 def _matched(doc_at: str, item_at: str, steps: int) -> str:
@@ -110,18 +111,17 @@ def _matched(doc_at: str, item_at: str, steps: int) -> str:
     return f"aggregate(transform(sequence(0, {steps - 1}), j -> coalesce(get(d_around, {doc_at}) = get(i_around, {item_at}), false)), named_struct('on', true, 'n', 0), (a, e) -> named_struct('on', a.on and e, 'n', a.n + cast(a.on and e as int)), a -> a.n)"
 
 
-def shared_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The rows of `docs` (rid, id, n_words), and the spans (rid, a, b, items) of words they share with items."""
+def shared_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of `docs` (rid, id, n_words); the spans (rid, a, b, set) of words they share with items; the
+    sets (set, items) of items, structs of id and n_words."""
     scratch = Scratch(spark)
-    tests = scratch.write(benchmark_fingerprints(benchmark, item_col, item_text), "tests")
-    short = tuple(sorted(r[0] for r in tests.filter(F.col("size") < WINDOW).select("size").distinct().collect()))
-    # at most FILTER_BITS numbers, however large the benchmark
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[[r[0] for r in tests.select(F.col("fp").bitwiseAND(FILTER_BITS - 1)).distinct().collect()]] = True
-    packed = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
+    found = scratch.write(benchmark_fingerprints(benchmark, item_col, item_text), "found")
+    sets = scratch.write(found.select("items").distinct().select(F.monotonically_increasing_id().alias("set"), "items"), "sets")
+    tests = scratch.write(found.join(sets, "items").select("fp", "size", F.col("left").alias("i_left"), F.col("around").alias("i_around"), "set"), "tests")
+    short = tuple(sorted(r[0] for r in tests.filter(F.col("size") < WINDOW).select("size").distinct().collect()))  # at most WINDOW - 1
+    held = KeyFilter(spark, tests.select(F.col("fp").alias("key")))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(np.frombuffer(packed.value, np.uint8)).astype(bool)
         for batch in batches:
             yield _table_of(batch, *_hits(batch.column(1), short, held))
 
@@ -129,20 +129,21 @@ def shared_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, hits array<{_HIT}>"
     seen = scratch.write(rows.mapInArrow(emit, schema).withColumn("rid", F.monotonically_increasing_id()), "seen")
     pairs = seen.select("rid", F.explode("hits").alias("h")).select("rid", "h.pos", "h.fp", "h.size", F.col("h.left").alias("d_left"), F.col("h.around").alias("d_around"))
-    pairs = pairs.join(tests.select("fp", "size", F.col("left").alias("i_left"), F.col("around").alias("i_around"), "items"), ["fp", "size"])
+    pairs = pairs.join(tests, ["fp", "size"])
     core = F.when(F.col("size") < WINDOW, F.col("size")).otherwise(K)
     pairs = pairs.withColumn("core", core).withColumn("before", F.expr(_matched("d_left - 1 - j", "i_left - 1 - j", WINDOW - K))).withColumn("from_core", F.expr(_matched("d_left + j", "i_left + j", WINDOW)))
     whole = (F.col("from_core") >= F.col("core")) & (F.col("before") + F.col("from_core") >= F.col("size"))
-    spans = pairs.filter(whole).select("rid", (F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("from_core") - 1).alias("b"), "items")
-    return seen.select("rid", "id", "n_words"), spans
+    spans = pairs.filter(whole).select("rid", (F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("from_core") - 1).alias("b"), "set")
+    return seen.select("rid", "id", "n_words"), scratch.write(spans, "spans"), sets
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_words, n_hit, items (sorted array)."""
-    seen, spans = shared_spans(spark, docs, benchmark, id_col, text_col, item_col, item_text)
-    items = F.transform(F.flatten(F.collect_set("items")), lambda x: x["id"])
-    per_doc = spans.groupBy("rid").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("a", "b"))))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(items)).alias("items"))
-    return seen.join(per_doc, "rid", "left").select("id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    seen, spans, sets = shared_spans(spark, docs, benchmark, id_col, text_col, item_col, item_text)
+    hit = spans.groupBy("rid").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("a", "b"))))).cast("long").alias("n_hit"))
+    items = F.transform(F.flatten(F.collect_list("items")), lambda x: x["id"])
+    whose = spans.select("rid", "set").distinct().join(sets, "set").groupBy("rid").agg(F.array_sort(F.array_distinct(items)).alias("items"))
+    return seen.join(hit.join(whose, "rid"), "rid", "left").select("id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 #: SQL: the most consecutive numbers in the sorted array `at`
@@ -152,8 +153,8 @@ _RUN = "aggregate(at, named_struct('last', -2, 'run', 0, 'most', 0), (s, p) -> n
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id of the rows of `docs` with windows of `CONTAMINATED` items, with half their words or more inside windows,
     or with a run of words inside windows of one item that has `LONG` words, or `WINDOW` words and half of the item."""
-    seen, spans = shared_spans(spark, docs, benchmark, id_col)
-    per_item = spans.select("rid", F.sequence("a", "b").alias("at"), F.explode("items").alias("item"))
+    seen, spans, sets = shared_spans(spark, docs, benchmark, id_col)
+    per_item = spans.join(sets, "set").select("rid", F.sequence("a", "b").alias("at"), F.explode("items").alias("item"))
     per_item = per_item.groupBy("rid", F.col("item.id").alias("item")).agg(F.min("item.n_words").alias("item_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("at"))
     run = F.expr(_RUN)
     long = (run >= LONG) | ((run >= WINDOW) & (2 * run >= F.col("item_words")))

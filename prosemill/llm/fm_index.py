@@ -1,11 +1,12 @@
 """Substring dedup over word windows with a compressed FM-index per shard.
 
-Shards come from `repeats`. A shard's index is the Burrows-Wheeler transform of its segments'
-words in a wavelet matrix of packed bits with block ranks. Segments are streamed against it by
+Shards come from `repeats`, which routes segments of documents by content; copies of a segment are one row
+with a multiplicity. A shard's index is the Burrows-Wheeler transform of its segments'
+words in a wavelet matrix of packed bits with block ranks. All segments are streamed against it by
 backward search, many in lock step: the right end of a segment is extended to the left while the
 match occurs twice, and where it fails the remaining windows are searched from their own right ends.
 These matching statistics, cut at the window, are all that is asked for: a window repeats if its
-match reaches `WINDOW` words while the interval still holds two suffixes.
+match reaches `WINDOW` words while the suffixes of the interval count two or more. Words are compared as bytes.
 
 Defined results: null and empty texts have no words; texts shorter than a window are kept whole but
 for white space, which becomes single spaces; repeated rows repeat each other, so both lose their
@@ -17,10 +18,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import word_hashes, words
 from .common import table
 from .repeats import remove_repeats
 
@@ -54,9 +55,9 @@ class WaveletMatrix:
 
 class FmIndex:
     """FM-index of a sequence of symbols from 1; 0 separates segments. Suffixes are sorted by at
-    least `depth` symbols, which is exact for patterns up to that length."""
+    least `depth` symbols, which is exact for patterns up to that length. A suffix counts `times`."""
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, depth: int, times: np.ndarray):
         rank, span = text.astype(np.int64), 1
         while True:
             nxt = np.zeros_like(rank)
@@ -73,6 +74,7 @@ class FmIndex:
                 break
         sigma = int(text.max()) + 1
         self.n = len(text)
+        self.upto = np.concatenate([[0], np.cumsum(times[order])])
         self.wavelet = WaveletMatrix(text[order - 1], sigma)
         every = np.arange(sigma)
         self.shift = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])[:-1] - self.wavelet.place(every, np.zeros(sigma, np.int64))
@@ -91,7 +93,7 @@ class FmIndex:
         while len(active):
             active = active[at[active] > floor[active]]
             a, b = self.extend(text[at[active] - 1], lo[active], hi[active])
-            twice = b - a >= 2
+            twice = self.upto[b] - self.upto[a] >= 2
             active = active[twice]
             lo[active], hi[active] = a[twice], b[twice]
             at[active] -= 1
@@ -99,29 +101,24 @@ class FmIndex:
 
 
 def repeated_windows(shard: list[dict]) -> Iterator[tuple[int, np.ndarray]]:
-    """Masks of the windows of single segments (m = 1) that occur elsewhere in the shard."""
-    sizes = np.array([len(x["text"]) for x in shard])
-    data = np.frombuffer(b"".join(x["text"] for x in shard), np.uint8)
-    starts, ends, cuts = words(data, np.concatenate([[0], np.cumsum(sizes)]))
-    _, symbol = np.unique(word_hashes(data, starts, ends), return_inverse=True)
+    """Places of segments, and masks of their windows that occur twice in the shard; a segment counts `m` times."""
+    said = b" ".join(x["text"] for x in shard).split(b" ")
+    symbol = pa.array(said, pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
+    n = np.array([x["n"] for x in shard])
+    count = n + WINDOW - 1
     # one separator before each segment
-    seg = np.repeat(np.arange(len(shard)), np.diff(cuts))
+    seg = np.repeat(np.arange(len(shard)), count)
     text = np.zeros(len(symbol) + len(shard) + 1, np.int64)
     text[np.arange(len(symbol)) + seg + 1] = symbol + 1
-    first = cuts[:-1] + np.arange(len(shard)) + 1
-    n = np.array([x["n"] for x in shard])
-    ask = np.flatnonzero(np.array([x["m"] for x in shard]) == 1)
-    if not len(ask):
-        return
-    index = FmIndex(text, 2 * WINDOW)
+    first = np.cumsum(count + 1) - count
+    times = np.ones(len(text), np.int64)
+    times[first[0] :] = np.append(np.repeat(np.array([x["m"] for x in shard]), count + 1), 1)[: len(text) - first[0]]
+    index = FmIndex(text, int(count.max()) + 1, times)
     # the longest repeated tail of each segment
-    begin, last = first[ask], first[ask] + n[ask] - 1
-    tail = index.leftmost(text, last + WINDOW - 1, begin)
-    masks = {int(i): np.zeros(n[i], bool) for i in ask}
-    for i, b, t, e in zip(ask.tolist(), begin.tolist(), tail.tolist(), last.tolist(), strict=True):
-        if t <= e:
-            masks[i][t - b :] = True
-    at, end = begin.copy(), np.minimum(tail, last) - 1  # windows at..end are still open
+    last = first + n - 1
+    tail = index.leftmost(text, last + WINDOW - 1, first)
+    masks = [np.arange(size) >= t - b for size, t, b in zip(n.tolist(), tail.tolist(), first.tolist(), strict=True)]
+    at, end = first.copy(), np.minimum(tail, last + 1) - 1  # windows at..end are still open
     while True:
         live = np.flatnonzero(at <= end)
         if not len(live):
@@ -129,12 +126,12 @@ def repeated_windows(shard: list[dict]) -> Iterator[tuple[int, np.ndarray]]:
         got = index.leftmost(text, at[live] + WINDOW - 1, at[live])
         hit = got == at[live]
         for j in live[hit].tolist():
-            masks[int(ask[j])][at[j] - begin[j]] = True
+            masks[j][at[j] - first[j]] = True
         # a window that fails at position got - 1 takes all windows that start there or before along
         at[live] = np.where(hit, at[live] + 1, got)
-    for i, mask in masks.items():
+    for i, mask in enumerate(masks):
         if mask.any():
-            yield shard[i]["seg"], mask
+            yield i, mask
 
 
 def remove_repeated_windows(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,8 +3,9 @@
 Every source gets a target number of words; a document of it is owed target / source size copies.
 The whole copies are given, and the fractional rest of all documents is rounded together: two
 documents at a time, words move at random from one to the other until one of the two fractions is 0
-or 1, in the direction chosen so that expectations hold. The moves keep the words of the pair, so
-only the last document that is still fractional can miss the target.
+or 1, in the direction chosen so that expectations hold. The moves keep the words of the pair, so a
+source's words come to its target but for the last document that is still fractional; that one takes the
+words of its fraction instead of a whole copy, so the source misses its target by half a word at most.
 
 Documents of a source are dealt over leaves by a hash of their identifiers; each leaf is rounded in
 one task and leaves one fractional document, and these residuals go up a tree of fan-in `FAN_IN`, so
@@ -56,7 +57,7 @@ def _round(level: int, last: bool):
         rows = rows.sort_values(["size", "place"], ascending=[False, True], kind="stable")
         size, part = rows["size"].to_numpy(np.float64), rows["part"].to_numpy(np.float64).copy()
         rng = np.random.default_rng([SEED, level, int(rows["rank"].iat[0]), int(rows["node"].iat[0])])
-        draw = rng.random(len(rows) + 1)
+        draw = rng.random(len(rows))
         held = -1  # the one row that is still fractional
         for i in np.flatnonzero((part > 0) & (part < 1) & (size > 0)).tolist():
             if held < 0:
@@ -70,17 +71,16 @@ def _round(level: int, last: bool):
             for j in (i, held):
                 part[j] = 0.0 if part[j] < 1e-9 else 1.0 if part[j] > 1 - 1e-9 else part[j]
             held = i if 0 < part[i] < 1 else held if 0 < part[held] < 1 else -1
-        if held >= 0 and last:
-            part[held] = float(draw[-1] < part[held])
         rows["part"] = part
-        rows["done"] = (part == 0) | (part == 1) | (size == 0)
+        rows["done"] = (part == 0) | (part == 1) | (size == 0) | last
         return rows
 
     return node
 
 
 def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One row per row of `docs`: id, size, source_size, target, copies, taken."""
+    """One row per row of `docs`: id, size, source_size, target, copies (whole ones), taken (words, those of
+    the copies and of a last part)."""
     scratch = Scratch(spark)
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = scratch.write(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
@@ -105,8 +105,9 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
         if leaves == 1:
             break
         state, leaves, level = rounded.filter("not done").withColumn("node", F.expr(f"node div {FAN_IN}")), -(-leaves // FAN_IN), level + 1
-    copies = (F.col("whole") + F.col("part")).cast("long")
-    return decided.select("id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    copies = (F.col("whole") + F.floor("part")).cast("long")
+    rest = F.round((F.col("part") - F.floor("part")) * F.col("size")).cast("long")
+    return decided.select("id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size") + rest).alias("taken"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

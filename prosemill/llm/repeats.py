@@ -6,18 +6,25 @@ offsets, so all occurrences of a window meet under one key. Windows of a documen
 anchor form one segment. Then:
 
 1. count segments per key; keys that occur once hold no repeated window and end here;
-2. emit the segments of the other keys, with their text where a key has different segments;
-3. collapse equal segments to one row each with a count (map-side first, so a group of copies or a
-   common passage is one row whatever its size): all windows of a segment that stands twice repeat;
-4. keys with different segments go to shards, each shard builds its index and decides which
-   windows of its single segments occur elsewhere;
-5. the decisions are joined back to the segments and documents.
-
-Every table that is read twice is written; filters that tasks hold have a fixed size.
+2. emit the segments of the other keys; a task sends the text of a segment once;
+3. group equal segments by their bytes into one row with a multiplicity (map-side first, so a group of
+   copies or a common passage is one row a task whatever its size);
+4. a key with over `HOT` different segments is split: the windows whose anchor lies in the right half of the
+   possible offsets share more text before it, the others more text behind it, and that longer shared text is
+   their new key; halves that are still hot are split again, down to whole windows, which no longer differ;
+5. keys go to shards whole; each shard builds its index and decides which windows of its segments occur
+   twice, multiplicities counted;
+6. the decisions are joined back to the segments and documents.
+
+Hashes only route: segments are one if their bytes are equal, and indexes compare texts. Segments are named by
+128-bit BLAKE2 digests of their bytes; two texts of one name end the job. Every table that is read twice is
+written; filters that tasks hold are bounded in size, and what they let through by mistake only costs work.
 """
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,43 +32,91 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import U64, anchored, blocks, mix, prefix, span_hash, word_hashes, words
-from .common import Scratch, heavy_left_join
+from .bytesops import U64, anchored, blocks, mix, single_spaced, word_hashes, words
+from .common import KeyFilter, Scratch, heavy_left_join
 
-FILTER_BITS = 1 << 26
 #: units of text that a shard's index holds, but for a key that has more by itself
 SHARD_UNITS = 1 << 18
+#: different segments of a key that go to one shard
+HOT = 256
+
+_BYTE = mix(np.arange(256, dtype=U64) + U64(77))
+_RUNS = "array<struct<a:int,b:int>>"
+_SHARD = "key long, seg binary, text binary, n int, anchor int, low int, high int, m long"
 
 
 def units(data: np.ndarray, offsets: np.ndarray, by_word: bool):
-    """Hash, start and end byte of each unit, and the first unit of each document."""
+    """Start and end byte of each unit, and the first unit of each document and the end."""
     if by_word:
-        starts, ends, cuts = words(data, offsets)
-        return word_hashes(data, starts, ends), starts, ends, cuts
+        return words(data, offsets)
     at = np.arange(len(data))
-    return mix(data.astype(U64) + U64(77)), at, at + 1, offsets
+    return at, at + 1, offsets
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray, by_word: bool, window: int, k: int):
-    h, starts, ends, cuts = units(data, offsets, by_word)
-    key, first, count, anchor = anchored(h, cuts, window, k)
-    seg = span_hash(prefix(h), first, first + count + window - 1) ^ mix(anchor.astype(U64)) if len(first) else key
-    return key, seg, first, count, anchor, starts, ends, cuts
+    """Key, first window, windows and anchor's offset of each segment; bytes with single spaces, unit starts, ends, cuts."""
+    starts, ends, cuts = units(data, offsets, by_word)
+    h = word_hashes(data, starts, ends) if by_word else _BYTE[data]
+    if by_word:
+        data, starts, ends = single_spaced(data, starts, ends)
+    return *anchored(h, cuts, window, k), data, starts, ends, cuts
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """The fixed-size filter of the column `key`, packed; at most 2,048 rows of 4 KB."""
-    at = F.col("key").bitwiseAND(FILTER_BITS - 1)
-    rows = keys.select(F.shiftright(at, 15).alias("part"), at.bitwiseAND(32767).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for part, bits in rows:
-        out[part << 12 : (part << 12) + 4096] = np.frombuffer(bits, np.uint8)
-    return out
+def _name(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
+def _split(x: dict, by_word: bool, window: int) -> Iterator[dict]:
+    """The one or two parts of a segment under the two new keys."""
+    low, high = x["low"], x["high"]
+    middle = (low + high + 1) // 2
+    text = x["text"]
+    if by_word:
+        end = [i for i, c in enumerate(text) if c == 0x20] + [len(text)]
+        cut = lambda a, b: text[end[a - 1] + 1 if a else 0 : end[b - 1]]
+    else:
+        cut = lambda a, b: text[a:b]
+    anchor, n = x["anchor"], x["n"]
+    for lo, hi in ((middle, high), (low, middle - 1)):
+        # windows start from `anchor` - hi to `anchor` - lo; all share the units from the last start to the first end
+        first, last = max(0, anchor - hi), min(n - 1, anchor - lo)
+        if first <= last:
+            part = cut(first, last + window)
+            shared = cut(anchor - lo, anchor - hi + window)
+            key = hashlib.blake2b(struct.pack("<ii", lo, hi) + shared, digest_size=8).digest()
+            yield {"parent": x["seg"], "off": first, "key": int.from_bytes(key, "little", signed=True), "seg": _name(struct.pack("<ii", lo, hi) + part), "text": part, "n": last - first + 1, "anchor": anchor - first, "low": lo, "high": hi, "m": x["m"]}
 
 
-def _held(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = (keys & U64(FILTER_BITS - 1)).astype(np.int64)
-    return (packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+def _decided(spark: SparkSession, scratch: Scratch, segments: DataFrame, level: int, by_word: bool, window: int, index: Callable) -> DataFrame:
+    """seg, m, runs of windows that occur twice, of different segments (_SHARD)."""
+    crowded = segments.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") > HOT).select("key")
+    hot = KeyFilter(spark, crowded) if crowded.limit(1).count() else None
+
+    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.flatnonzero(~hot.has(batch.column(0).to_numpy()) | (batch.column(5).to_numpy() >= batch.column(6).to_numpy()))
+            yield batch.take(pa.array(keep))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = np.flatnonzero(hot.has(batch.column(0).to_numpy()) & (batch.column(5).to_numpy() < batch.column(6).to_numpy()))
+            for lo in range(0, len(some), 500):
+                rows = [y for x in batch.take(pa.array(some[lo : lo + 500])).to_pylist() for y in _split(x, by_word, window)]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("parent", pa.binary()), ("off", pa.int32()), ("key", pa.int64()), ("seg", pa.binary()), ("text", pa.binary()), ("n", pa.int32()), ("anchor", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("m", pa.int64())]))
+
+    here = segments.mapInArrow(cold, _SHARD) if hot else segments
+    found = here.repartition("key").sortWithinPartitions("key", "seg").mapInArrow(index, f"seg binary, m long, runs {_RUNS}")
+    if not hot:
+        return found
+    split = scratch.write(segments.mapInArrow(parts, f"parent binary, off int, {_SHARD}"), f"split{level}")
+    below = scratch.write(split.groupBy("key", "seg", "text", "n", "anchor", "low", "high").agg(F.sum("m").alias("m")), f"below{level}")
+    runs = scratch.write(_decided(spark, scratch, below, level + 1, by_word, window, index), f"runs{level}")
+    shared = split.groupBy("seg").agg(F.count(F.lit(1)).alias("parents"))
+    back = heavy_left_join(split.select("seg", "parent", "off", F.col("m").alias("own")), scratch.write(runs.select("seg", "runs").join(shared, "seg"), f"shared{level}"), "seg", "parents", split.count()).filter("runs is not null")
+    back = back.select("parent", "own", F.transform("runs", lambda r: F.struct((F.col("off") + r["a"]).alias("a"), (F.col("off") + r["b"]).alias("b"))).alias("runs"))
+    # at most `window` parts a segment
+    back = back.groupBy(F.col("parent").alias("seg")).agg(F.max("own").alias("m"), F.flatten(F.collect_list("runs")).alias("runs"))
+    return found.unionByName(back)
 
 
 def remove_repeats(
@@ -76,8 +131,10 @@ def remove_repeats(
 ) -> DataFrame:
     """One row per row of `docs`: id, n_units, n_removed, n_spans, kept (binary).
 
-    `resolve` gets a shard (dicts with key, seg, m, n, anchor, text; keys are whole) and yields, for
-    segments with m = 1, the segment and a mask of its windows that occur elsewhere in the shard.
+    `resolve` gets a shard, dicts with key, seg, m, n, anchor, text (words joined by one space), keys whole; it
+    yields places in that list and masks of the windows that occur twice, segments counted `m` times.
+    Null texts are empty; an empty table gives an empty result; rows of equal identifier and text get equal
+    results; other columns are not read.
     """
     scratch = Scratch(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -88,67 +145,76 @@ def remove_repeats(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
-                key, seg, *_ = _segments(data, offsets, by_word, window, k)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(seg.view(np.int64))], names=["key", "seg"])
+                key, *_ = _segments(data, offsets, by_word, window, k)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
 
-    keys = rows.select("text").mapInArrow(count, "key long, seg long").groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b"))
-    keys = scratch.write(keys.filter("c > 1").select("key", (F.col("a") != F.col("b")).alias("differ")), "keys")
-    repeated, differing = (spark.sparkContext.broadcast(_bitmap(x)) for x in (keys, keys.filter("differ")))
+    keys = rows.select("text").mapInArrow(count, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    repeated = KeyFilter(spark, scratch.write(keys.filter("c > 1").select("key"), "keys"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, _, data, offsets in blocks(batch.column(2)):
-                key, seg, first, n, anchor, starts, ends, cuts = _segments(data, offsets, by_word, window, k)
-                some = np.flatnonzero(_held(repeated.value, key))
-                key, seg, first, n, anchor = key[some], seg[some], first[some], n[some], anchor[some]
+                key, first, n, anchor, data, starts, ends, cuts = _segments(data, offsets, by_word, window, k)
+                some = np.flatnonzero(repeated.has(key))
+                key, first, n, anchor = key[some], first[some], n[some], anchor[some]
                 row = np.searchsorted(cuts, first, "right") - 1
-                content = [None] * len(key)
-                _, once = np.unique(seg, return_index=True)
-                for i in once[_held(differing.value, key[once])].tolist():
-                    content[i] = data[starts[first[i]] : ends[first[i] + n[i] + window - 2]].tobytes()
+                raw, seg, m, content, seen = data.tobytes(), [], [], [], {}
+                for a, b in zip(starts[first].tolist(), ends[first + n + window - 2].tolist(), strict=True):
+                    part = raw[a:b]
+                    name = _name(part)
+                    at = seen.setdefault(name, len(seg))
+                    seg.append(name)
+                    m.append(1 if at == len(m) else 0)
+                    content.append(part if at == len(content) else None)
+                    if at != len(m) - 1:
+                        m[at] += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[lo + row]), pa.array(k2[lo + row]), pa.array((first - cuts[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(content, pa.binary())],
-                    names=["k1", "k2", "at", "n", "anchor", "key", "seg", "text"],
+                    [pa.array(k1[lo + row]), pa.array(k2[lo + row]), pa.array((first - cuts[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(seg, pa.binary()), pa.array(m, pa.int64()), pa.array(content, pa.binary())],
+                    names=["k1", "k2", "at", "n", "anchor", "key", "seg", "m", "text"],
                 )
 
-    schema = "k1 long, k2 long, at int, n int, anchor int, key long, seg long, text binary"
+    schema = "k1 long, k2 long, at int, n int, anchor int, key long, seg binary, m long, text binary"
     segments = scratch.write(named.select("k1", "k2", "text").mapInArrow(emit, schema), "segments")
-    distinct = scratch.write(segments.groupBy("seg").agg(F.max("key").alias("key"), F.count(F.lit(1)).alias("m"), F.max("n").alias("n"), F.max("anchor").alias("anchor")), "distinct")
-    mixed = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter("d > 1")
-    texts = segments.filter("text is not null").groupBy("seg").agg(F.any_value("text").alias("text"))
-    shards = distinct.join(mixed, "key", "left_semi").join(texts, "seg").select("key", "seg", "m", "n", "anchor", "text")
+    distinct = segments.filter("text is not null").groupBy("key", "seg", "text", "n", "anchor").agg(F.sum("m").alias("m"))
+    distinct = scratch.write(distinct.select("key", "seg", "text", "n", "anchor", F.lit(0).alias("low"), F.lit(window - k).alias("high"), "m"), "distinct")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by key; cut into shards at key changes."""
+        """Rows (_SHARD) sorted by key and name; cut into shards at key changes."""
 
         def decided(shard: list[dict]) -> pa.RecordBatch:
-            segs, runs = [], []
-            for seg, mask in resolve(shard):
+            segs, m, runs = [], [], []
+            for at, mask in resolve(shard):
                 edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
-                segs.append(seg)
+                segs.append(shard[at]["seg"])
+                m.append(shard[at]["m"])
                 runs.append([{"a": int(a), "b": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1, strict=True)])
-            return pa.RecordBatch.from_arrays([pa.array(segs, pa.int64()), pa.array(runs, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["seg", "runs"])
+            return pa.RecordBatch.from_arrays([pa.array(segs, pa.binary()), pa.array(m, pa.int64()), pa.array(runs, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["seg", "m", "runs"])
 
-        shard, held = [], 0
+        shard, held, own = [], 0, 0  # own: segments of the last key
         for batch in batches:
             for x in batch.to_pylist():
-                if held >= SHARD_UNITS and x["key"] != shard[-1]["key"]:
-                    yield decided(shard)
-                    shard, held = [], 0
+                if shard and x["key"] != shard[-1]["key"]:
+                    if own == 1 and shard[-1]["m"] == 1:  # let through by the filter only
+                        held -= shard.pop()["n"] + window
+                    own = 0
+                    if held >= SHARD_UNITS:
+                        yield decided(shard)
+                        shard, held = [], 0
+                elif shard and x["seg"] == shard[-1]["seg"]:
+                    raise ValueError("two texts of one digest")
                 shard.append(x)
+                own += 1
                 held += x["n"] + window
         if shard:
             yield decided(shard)
 
-    runs_type = "array<struct<a:int,b:int>>"
-    found = shards.repartition("key").sortWithinPartitions("key").mapInArrow(index, f"seg long, runs {runs_type}").select("seg", F.lit(1).cast("long").alias("m"), "runs")
-    whole = distinct.filter("m > 1").select("seg", "m", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))).alias("runs"))
-    runs = scratch.write(whole.unionByName(found), "runs")
+    runs = scratch.write(_decided(spark, scratch, distinct, 0, by_word, window, index), "runs")
     placed = heavy_left_join(segments.select("k1", "k2", "at", "seg"), runs, "seg", "m", segments.count()).filter("runs is not null")
     placed = placed.select("k1", "k2", F.transform("runs", lambda r: F.struct((F.col("at") + r["a"]).alias("a"), (F.col("at") + r["b"]).alias("b"))).alias("runs"))
-    marks = scratch.write(placed.groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs")), "marks")
-    scratch.drop("keys", "segments", "distinct", "runs")
+    # rows of equal identifier and text have equal runs, which a set keeps once
+    marks = scratch.write(placed.groupBy("k1", "k2").agg(F.flatten(F.collect_set("runs")).alias("runs")), "marks")
+    scratch.drop("keys", "segments", "distinct", "runs", *(f"{x}{i}" for x in ("split", "below", "runs", "shared") for i in range(window.bit_length() + 1)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +224,7 @@ def remove_repeats(
             flat = ranges.flatten()
             a, b = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64)
             for lo, hi, data, offsets in blocks(batch.column(1)):
-                _, starts, ends, cuts = units(data, offsets, by_word)
+                starts, ends, cuts = units(data, offsets, by_word)
                 part = slice(begins[lo], begins[hi])
                 base = np.repeat(cuts[:-1], np.diff(begins[lo : hi + 1]))
                 delta = np.zeros(len(starts) + 1, np.int64)
@@ -192,5 +258,5 @@ def remove_repeats(
             if kept:
                 yield pa.RecordBatch.from_arrays([batch.column(0), join(n_units), join(n_removed), join(n_spans), pa.concat_arrays(kept)], names=["id", "n_units", "n_removed", "n_spans", "kept"])
 
-    marked = named.join(marks.hint("shuffle_hash"), ["k1", "k2"], "left").select("id", "text", F.coalesce("runs", F.array().cast(runs_type)).alias("runs"))
+    marked = named.join(marks, ["k1", "k2"], "left").select("id", "text", F.coalesce("runs", F.array().cast(_RUNS)).alias("runs"))
     return marked.mapInArrow(cut, f"id {rows.schema['id'].dataType.simpleString()}, n_units long, n_removed long, n_spans long, kept binary")

@@ -10,8 +10,10 @@ meets at the home of either one, where home and replicated fingerprints are comp
 
 Equal fingerprints are one row before that. An anchor sends only a spanning forest of the links it
 finds, at most one row per fingerprint it holds; links between different fingerprints are never lost, since
-components, not pairs, are what counts. Anchors with many homes are split into blocks of homes, each
-compared with all that is replicated there. Components come from alternating large-star and
+components, not pairs, are what counts. An anchor with over `HOMES` homes is covered once more by the other two
+pieces: the pair differs by at most 2 bits in one (anchors within 3 + 2), or by at most 1, or 2, in the other, so rows
+grow by a constant factor while an anchor holds a thousandth of the homes. Only an anchor that is crowded in two
+pieces is split into blocks of homes times blocks of all that is replicated there. Components come from alternating large-star and
 small-star steps over written tables; no links or labels reach the driver.
 
 Defined results: null and empty texts have fingerprint zero and link like others; repeated rows have
@@ -30,12 +32,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytesops import SPACE, blocks, words
+from .bytesops import blocks, single_spaced, words
 from .common import KEY, Scratch, heavy_left_join, table, with_key
 
 SHINGLE, NEAR, SEED = 4, 4, 42
-#: homes of one anchor that one task compares at most
-HOMES = 8192
+#: homes, and all rows, of one anchor or block that one task compares, about
+HOMES, ROWS = 8192, 1 << 17
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -49,17 +51,8 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
         starts, ends, cuts = words(data, offsets)
         if not len(starts):
             continue
-        # words of a document joined by one space: keep the words and the first gap byte after each
-        solid = ~SPACE[data]
-        gap = ~solid
-        gap[1:] &= solid[:-1]
-        gap[:1] = False
-        first = offsets[:-1][offsets[:-1] < len(data)]
-        gap[first] = False
-        keep = solid | gap
-        flat = np.where(gap, np.uint8(0x20), _LOWER[data])[keep].tobytes()
-        place = np.cumsum(keep) - 1
-        starts, ends = place[starts], place[ends - 1] + 1
+        flat, starts, ends = single_spaced(_LOWER[data], starts, ends)
+        flat = flat.tobytes()
         n = np.diff(cuts)
         count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
         row = np.repeat(np.arange(hi - lo), count)
@@ -82,7 +75,13 @@ def fingerprint(texts: pa.Array) -> pa.Array:
 # ---- anchors -----------------------------------------------------------------------------------
 
 _GOLAY = 0xAE3  # generator polynomial of the binary Golay code of length 23 (fixed value)
-_golay: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+_golay: tuple[np.ndarray, dict[int, np.ndarray]] | None = None
+
+#: lowest bit and number of bits of the pieces
+PIECES = ((0, 23), (23, 23), (46, 18))
+#: bits in which a linked pair differs at most in a piece, at first and, for the pieces besides it, inside a crowded anchor
+FIRST = (1, 1, 0)
+WITHIN = {0: ((1, 2), (2, 1)), 1: ((0, 2), (2, 1)), 2: ((0, 2), (1, 2))}
 
 
 def _remainder(word: int) -> int:
@@ -92,56 +91,79 @@ def _remainder(word: int) -> int:
     return word
 
 
-def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Syndromes of the 23 bits; per syndrome the error pattern of the nearest codeword, and the
-    differences to the five further codewords within distance 4 (for errors of weight 3)."""
+def golay() -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Syndromes of the 23 bits; for the radii 3 to 5 and each syndrome all error patterns of at most so many bits
+    that have it, the lightest first, then -1."""
     global _golay
     if _golay is None:
         from itertools import combinations
 
         syndromes = np.array([_remainder(1 << i) for i in range(23)], np.int64)
-        code = np.zeros(1, np.int64)
-        for shift in range(12):
-            code = np.concatenate([code, code ^ (_GOLAY << shift)])
-        sevens = code[np.bitwise_count(code) == 7]
-        leader, others = np.zeros(2048, np.int64), np.full((2048, 5), -1, np.int64)
-        for weight in range(4):
+        errors, radius = [[] for _ in range(2048)], {}
+        for weight in range(6):
             for places in combinations(range(23), weight):
-                error = sum(1 << p for p in places)
                 s = int(np.bitwise_xor.reduce(syndromes[list(places)])) if places else 0
-                leader[s] = error
-                if weight == 3:
-                    others[s] = sevens[(sevens & error) == error]
-        _golay = syndromes, leader, others
+                errors[s].append(sum(1 << p for p in places))
+            if weight >= 3:
+                radius[weight] = np.full((2048, max(map(len, errors))), -1, np.int64)
+                for s, found in enumerate(errors):
+                    radius[weight][s, : len(found)] = found
+        _golay = syndromes, radius
     return _golay
 
 
-def anchors(values: np.ndarray):
-    """For 23-bit words: the home anchor, and the up to five other anchors within distance 4 (or -1)."""
-    syndromes, leader, others = golay()
+def anchors(values: np.ndarray, threshold: int = 1):
+    """For 23-bit words: the home anchor, and the other anchors within covering radius plus threshold (or -1)."""
+    syndromes, radius = golay()
     s = np.zeros(len(values), np.int64)
     for i in range(23):
         s ^= np.where(values >> i & 1, syndromes[i], 0)
-    home = values ^ leader[s]
-    return home, np.where(others[s] >= 0, home[:, None] ^ others[s], -1)
+    found = radius[3 + threshold][s]
+    return values ^ found[:, 0], np.where(found[:, 1:] >= 0, values[:, None] ^ found[:, 1:], -1)
+
+
+def _covering(u: np.ndarray, piece: int, threshold: int):
+    """The home anchor of each fingerprint in a piece, and the others within covering radius plus threshold (or -1)."""
+    shift, bits = PIECES[piece]
+    value = (u >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    if bits == 23:
+        return anchors(value, threshold)
+    flips = np.array([1 << i for i in range(bits)] if threshold else [], np.int64)
+    return value, value[:, None] ^ flips[None, :]
 
 
 def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, home, fp); the piece is in the top bits of the anchor."""
+    """Rows (anchor, within, home, fp) of fingerprints; the piece is in the top bits of the anchor, `within` is 0."""
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False)
-        u = fp.view(np.uint64)
         at, home, what = [], [], []
-        for piece, shift in ((0, 0), (1, 23)):
-            own, more = anchors((u >> np.uint64(shift) & np.uint64(0x7FFFFF)).astype(np.int64))
+        for piece, threshold in enumerate(FIRST):
+            own, more = _covering(fp.view(np.uint64), piece, threshold)
             row, col = np.nonzero(more >= 0)
             at += [own | piece << 32, more[row, col] | piece << 32]
             home += [np.ones(len(fp), bool), np.zeros(len(row), bool)]
             what += [fp, fp[row]]
-        at.append((u >> np.uint64(46)).astype(np.int64) | 2 << 32)
-        home.append(np.ones(len(fp), bool))
-        what.append(fp)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (at, home, what)], names=["anchor", "home", "fp"])
+        at = np.concatenate(at)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(at), np.int64)), pa.array(np.concatenate(home)), pa.array(np.concatenate(what))], names=["anchor", "within", "home", "fp"])
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, within, home, fp) of crowded anchors, covered in a second piece. A home has one home there
+    and is replicated like all others; `within` is above 0."""
+    for batch in batches:
+        for lo in range(0, len(batch), 2000):
+            part = batch.slice(lo, 2000)
+            anchor, home, fp = part.column(0).to_numpy(), part.column(2).to_numpy(zero_copy_only=False), part.column(3).to_numpy()
+            out = [[], [], [], []]
+            for piece, others in WITHIN.items():
+                rows = np.flatnonzero(anchor >> 32 == piece)
+                for other, threshold in others:
+                    own, more = _covering(fp[rows].view(np.uint64), other, threshold)
+                    i, col = np.nonzero(more >= 0)
+                    for to, which, here in ((own, rows, home[rows]), (more[i, col], rows[i], np.zeros(len(i), bool))):
+                        for column, values in zip(out, (anchor[which], to | (other + 1) << 32, here, fp[which]), strict=True):
+                            column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["anchor", "within", "home", "fp"])
 
 
 def forest(home: np.ndarray, other: np.ndarray):
@@ -172,7 +194,7 @@ def forest(home: np.ndarray, other: np.ndarray):
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, block, home, fp), those of an anchor and block together; yields links."""
+    """Rows (anchor, within, block, home, fp), those of an anchor and block together; yields links."""
 
     def links(home: list, fps: list) -> pa.RecordBatch | None:
         h, f = np.concatenate(home), np.concatenate(fps).view(np.uint64)
@@ -183,13 +205,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     last, homes, fps, out, rows = None, [], [], [], 0
     for batch in batches:
-        anchor, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        home, fp = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+        anchor, within, block = (batch.column(i).to_numpy() for i in range(3))
+        home, fp = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy()
         if not len(fp):
             continue
-        cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1])) + 1
+        cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (within[1:] != within[:-1]) | (block[1:] != block[:-1])) + 1
         for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(fp)], strict=True):
-            key = (anchor[lo], block[lo])
+            key = (anchor[lo], within[lo], block[lo])
             if key != last and homes:
                 if (done := links(homes, fps)) is not None:
                     out.append(done)
@@ -208,17 +230,29 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_links(spark: SparkSession, distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) that connect exactly the components of the distinct fingerprints `fp`."""
-    spread = distinct.select("fp").mapInArrow(_replicate, "anchor long, home boolean, fp long")
-    spread = scratch.write(spread, "replicated")
+    kind = "anchor long, within long, home boolean, fp long"
+    spread = scratch.write(distinct.select("fp").mapInArrow(_replicate, kind), "replicated")
+
+    def crowds(df: DataFrame) -> DataFrame:
+        """Anchors of too many rows, with the number of their blocks of homes (0 without homes) and of other rows."""
+        size = df.groupBy("anchor", "within").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("rows"))
+        size = size.filter((F.col("homes") > HOMES) | (F.col("rows") > ROWS))
+        return size.select("anchor", "within", F.expr(f"cast(ceil(homes / {HOMES}) as int)").alias("tall"), F.expr(f"cast(ceil(rows / {ROWS}) as int)").alias("wide"))
+
     # at most as many rows as there are anchors: 2 x 4,096 + 262,144
-    crowded = spread.filter("home").groupBy("anchor").agg(F.expr(f"ceil(count(*) / {HOMES})").cast("int").alias("parts")).filter("parts > 1")
-    parts = F.coalesce("parts", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    dealt = spread.join(F.broadcast(crowded), "anchor", "left")
-    # homes go to their own block and, as replicated ones, to the others
-    block = F.explode(F.sequence(F.lit(0), parts - 1))
-    dealt = dealt.withColumn("block", block).select("anchor", "block", (F.col("home") & (F.col("block") == own)).alias("home"), "fp")
-    dealt = dealt.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
+    crowded = scratch.write(crowds(spread), "crowded")
+    dealt = spread.withColumn("block", F.lit(0))
+    if crowded.limit(1).count():
+        inner = spread.join(F.broadcast(crowded.filter("tall > 0").select("anchor")), "anchor").select("anchor", "within", "home", "fp")
+        inner = scratch.write(inner.mapInArrow(_again, kind), "inner")
+        sized = inner.join(crowds(inner), ["anchor", "within"], "left").filter("tall is null or tall > 0").withColumns({"tall": F.coalesce("tall", F.lit(1)), "wide": F.coalesce("wide", F.lit(1))})
+        # each block of homes meets each block of rows: homes go along their row of blocks and, as other rows, down their column
+        sized = sized.withColumns({"i": F.expr("cast(pmod(xxhash64(fp), tall) as int)"), "j": F.expr("cast(pmod(xxhash64(1, fp), wide) as int)")})
+        along = "if(home, transform(sequence(0, wide - 1), x -> named_struct('block', i * wide + x, 'home', true)), array())"
+        down = "transform(filter(sequence(0, tall - 1), x -> not home or x <> i), x -> named_struct('block', x * wide + j, 'home', false))"
+        blocked = sized.select("anchor", "within", "fp", F.explode(F.expr(f"concat({along}, {down})")).alias("x")).select("anchor", "within", "x.home", "fp", "x.block")
+        dealt = dealt.join(F.broadcast(crowded.select("anchor")), "anchor", "left_anti").select(*dealt.columns).unionByName(blocked)
+    dealt = dealt.select("anchor", "within", "block", "home", "fp").repartition("anchor", "within", "block").sortWithinPartitions("anchor", "within", "block")
     return scratch.write(dealt.mapInArrow(_compare, "a long, b long").distinct(), "links")
 
 

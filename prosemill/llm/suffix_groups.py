@@ -12,7 +12,8 @@ these symbols is built in two phases:
   along the pointers, at the next free place of their groups.
 
 No names are assigned again and nothing recurses. Runs of neighbours in the array that share all whole
-blocks of a window are then split by the bytes at both edges, so the decision is exact to the byte.
+blocks of a window are then split by the bytes at both edges. Blocks and edges are compared as bytes, so the
+decision is exact to the byte; copies of a segment are one row with a multiplicity, which counts.
 
 Defined results: null and empty texts have no bytes; repeated rows repeat each other, so both lose
 their windows; what is kept may end inside a UTF-8 character and is binary; an empty table gives
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import U64, mix, prefix, span_hash, spread
+from .bytesops import U64, spread
 from .common import table
 from .repeats import remove_repeats
 
@@ -62,7 +63,7 @@ def suffix_array(text: list[int]) -> list[int]:
         order.append(g)
         for i in own:
             done[i] = 1
-        led: list[tuple[int, int]] = []  # positions in lower groups and how many members each leads
+        led: dict[int, list[int]] = {}  # by number of members they lead: positions in lower groups
         last, count = -1, 0
         for i in own:
             j = i - 1
@@ -74,16 +75,13 @@ def suffix_array(text: list[int]) -> list[int]:
                     count += 1
                 else:
                     if last >= 0:
-                        led.append((last, count))
+                        led.setdefault(count, []).append(last)
                     last, count = j, 1
         if last >= 0:
-            led.append((last, count))
-        counts = {c for _, c in led}
-        for c in sorted(counts, reverse=True):
+            led.setdefault(count, []).append(last)
+        for c in sorted(led, reverse=True):  # few: different numbers sum to the size of the group at most
             made: dict[int, int] = {}
-            for p, k in led:
-                if k != c:
-                    continue
+            for p in led[c]:
                 old = group[p]
                 new = made.get(old)
                 if new is None:
@@ -118,22 +116,37 @@ def suffix_array(text: list[int]) -> list[int]:
     return out[1:]
 
 
+def _ranks(*columns: np.ndarray) -> np.ndarray:
+    """Numbers from 0 that are equal for equal rows only."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _sixteen(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 16 bytes at each place, as two numbers."""
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+    return tuple(eight[at + d].copy().view(U64)[:, 0] for d in (0, 8))
+
+
 def repeated_windows(shard: list[dict]) -> Iterator[tuple[int, np.ndarray]]:
-    """Masks of the windows of single segments (m = 1) that occur elsewhere in the shard."""
-    single = np.array([x["m"] for x in shard]) == 1
-    if not single.any():
-        return
+    """Places of segments, and masks of their windows that occur twice in the shard; a segment counts `m` times."""
     n = np.array([x["n"] for x in shard], np.int64)
-    data = np.frombuffer(b"".join(x["text"] for x in shard), np.uint8)
-    size = np.array([len(x["text"]) for x in shard], np.int64)
+    times = np.array([x["m"] for x in shard], np.int64)
+    data = np.frombuffer(b"".join(x["text"] for x in shard) + bytes(BLOCK), np.uint8)
+    size = n + WINDOW - 1
     first = np.cumsum(size) - size
-    pre = prefix(data.astype(U64) + U64(1))
     # whole blocks on the grid through the anchor
     grid = np.array([x["anchor"] for x in shard], np.int64) % BLOCK
     whole = (size - grid) // BLOCK
     owner = np.repeat(np.arange(len(shard)), whole)
     start = spread(np.zeros(len(shard), np.int64), whole) * BLOCK + np.repeat(first + grid, whole)
-    _, symbol = np.unique(span_hash(pre, start, start + BLOCK), return_inverse=True)
+    symbol = _ranks(*_sixteen(data, start))
     # symbols from 1, a separator after each segment
     place = np.arange(len(symbol)) + owner
     text = np.zeros(len(symbol) + len(shard), np.int64)
@@ -147,29 +160,36 @@ def repeated_windows(shard: list[dict]) -> Iterator[tuple[int, np.ndarray]]:
     block = source[order[long]]
     enough = block + inside <= np.repeat(np.cumsum(whole), whole)[block]
     block = block[enough]
-    if len(block) < 2:
+    if not len(block):
         return
     same = np.ones(len(block) - 1, bool)
     for d in range(inside):
         same &= symbol[block[1:] + d] == symbol[block[:-1] + d]
     run = np.concatenate([[0], np.cumsum(~same)])
-    crowd = np.bincount(run)[run] > 1
+    crowd = np.bincount(run, weights=times[owner[block]])[run] > 1
     block, run = block[crowd], run[crowd]
     # windows whose first whole block it is: they start up to BLOCK - 1 bytes before it
     begin = start[block]
-    lead = np.arange(BLOCK)
-    at = begin[:, None] - lead[None, :]
-    relative = at - first[owner[block]][:, None]
-    real = (relative >= 0) & (relative < n[owner[block]][:, None])
-    i, p = np.nonzero(real)
-    at = at[i, p]
-    edge = span_hash(pre, at, begin[i]) + U64(3) * mix(span_hash(pre, begin[i] + inside * BLOCK, at + WINDOW)) + run[i].astype(U64) * U64(0x9E3779B97F4A7C15)
-    edge = mix(edge + p.astype(U64))
-    _, kind, total = np.unique(edge, return_inverse=True, return_counts=True)
-    twice = total[kind] > 1
-    who, where = owner[block][i[twice]], relative[i, p][twice]
-    mine = single[who]
-    who, where = who[mine], where[mine]
+    relative = (begin - first[owner[block]])[:, None] - np.arange(BLOCK)[None, :]
+    i, p = np.nonzero((relative >= 0) & (relative < n[owner[block]][:, None]))
+    if not len(i):
+        return
+    # the BLOCK bytes of the window outside the shared blocks: p before them, the rest behind
+    front = _sixteen(data, begin[i] - p)
+    back = _sixteen(data, begin[i] + inside * BLOCK)
+    edge = []
+    for half in (0, 8):
+        kept = np.clip(p - half, 0, 8).astype(U64) * U64(8)
+        mask = np.where(kept >= 64, ~U64(0), (U64(1) << np.minimum(kept, 63)) - U64(1))
+        edge.append(front[half // 8] & mask)
+    for half in (0, 8):
+        kept = np.clip(BLOCK - p - half, 0, 8).astype(U64) * U64(8)
+        mask = np.where(kept >= 64, ~U64(0), (U64(1) << np.minimum(kept, 63)) - U64(1))
+        edge.append(back[half // 8] & mask)
+    kind = _ranks(run[i], p, *edge)
+    who, where = owner[block][i], relative[i, p]
+    twice = np.bincount(kind, weights=times[who])[kind] > 1
+    who, where = who[twice], where[twice]
     by = np.argsort(who, kind="stable")
     who, where = who[by], where[by]
     cut = np.flatnonzero(np.diff(who)) + 1
@@ -177,7 +197,7 @@ def repeated_windows(shard: list[dict]) -> Iterator[tuple[int, np.ndarray]]:
         if len(s):
             mask = np.zeros(n[s[0]], bool)
             mask[w] = True
-            yield shard[int(s[0])]["seg"], mask
+            yield int(s[0]), mask
 
 
 def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
