@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .vectors import in_blocks
 
 
 def vocabulary(docs: DataFrame, text: str) -> DataFrame:
@@ -23,10 +27,49 @@ def weights(docs: DataFrame, item: str, text: str, vocab: DataFrame) -> DataFram
     return raw.join(size, "item").select("item", "term", (F.col("w") / F.col("size")).alias("weight"))
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cohort, x, y, left, item, terms, weights), those of a cell together and its left items first: the dot
+    products of each left item with each later right item."""
+    last, left, index = None, [], None
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        for cohort, x, y, is_left, item, terms, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (cohort, x, y) != last:
+                last, left, index = (cohort, x, y), [], None
+            if is_left:
+                left.append((item, terms, weights))
+                continue
+            if not left:
+                continue
+            if index is None:
+                index = {}
+                for at, (_, own, w) in enumerate(left):
+                    for t, v in zip(own, w, strict=True):
+                        index.setdefault(t, []).append((at, v))
+            dots = [0.0] * len(left)
+            for t, v in zip(terms, weights, strict=True):
+                for at, w in index.get(t, ()):
+                    dots[at] += v * w
+            for (other, _, _), dot in zip(left, dots, strict=True):
+                if other < item:
+                    for column, value in zip(out, (cohort, other, item, dot), strict=True):
+                        column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], batch.schema.field(4).type), pa.array(out[2], batch.schema.field(4).type), pa.array(out[3], pa.float64())], names=["cohort", "i", "j", "dot"])
+
+
 def pairs(docs: DataFrame, item: str, w: DataFrame, cohort: str = "all") -> DataFrame:
-    """cohort, i, j, sim for all i < j; pairs without a common term have 0."""
-    items = docs.select(F.lit(cohort).alias("cohort"), F.col(item).alias("item"))
-    every = items.toDF("cohort", "i").join(items.toDF("cohort", "j"), "cohort").filter("i < j")
-    a, b = w.toDF("i", "term", "wi"), w.toDF("j", "term", "wj")
-    dots = a.join(b, "term").filter("i < j").groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"))
-    return every.join(dots, ["i", "j"], "left").select("cohort", "i", "j", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("dot", F.lit(0.0)))).alias("sim"))
+    """cohort, i, j, sim for all i < j; pairs without a common term have 0.
+
+    Items meet in the cells of a grid of blocks, where a term that many of them have is one list of the cell; terms
+    are not joined, so a term of all items makes no rows.
+    """
+    bags = w.groupBy("item").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
+    items = docs.select(F.lit(cohort).alias("cohort"), F.col(item).alias("item")).join(bags, "item", "left")
+    none = F.array()
+    items = items.select("cohort", "item", F.coalesce("terms", none.cast("array<string>")).alias("terms"), F.coalesce("weights", none.cast("array<double>")).alias("weights"))
+    placed = in_blocks(items)
+    side = lambda left, x, y: placed.select("cohort", F.col(x).alias("x"), F.col(y).alias("y"), F.lit(left).alias("left"), "item", "terms", "weights")
+    cells = side(True, "own", "other").unionByName(side(False, "other", "own")).repartition("cohort", "x", "y").sortWithinPartitions("cohort", "x", "y", F.desc("left"))
+    kind = items.schema["item"].dataType.simpleString()
+    dots = cells.mapInArrow(_cells, f"cohort string, i {kind}, j {kind}, dot double")
+    return dots.select("cohort", "i", "j", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("dot"))).alias("sim"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import shared
 
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
@@ -25,12 +26,24 @@ def clipped(c: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
 
 
+#: items of a cohort that one block of pairs takes from either side, about
+BLOCK = 256
+
+
+def in_blocks(items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """`items` (cohort, item, ...) with `own` and `other`: a row per block of the cohort, so that pairs of items meet
+    in the cell (own, other) of a grid and a large cohort is spread over as many tasks as it has cells."""
+    sizes = items.groupBy("cohort").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = items.join(sizes, "cohort").withColumn("own", F.expr("cast(pmod(xxhash64(item), blocks) as int)"))
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+
 def pairs(items: DataFrame, cohort: str, item: str, vector: str) -> DataFrame:
-    """cohort, i, j, sim for i < j within each cohort: an equi-join on the cohort."""
-    u = items.select(F.col(cohort).alias("cohort"), F.col(item).alias("item"), unit(F.col(vector)).alias("v"))
-    a, b = u.toDF("cohort", "i", "vi"), u.toDF("cohort", "j", "vj")
+    """cohort, i, j, sim for i < j within each cohort: an equi-join on the cohort and a cell of its grid of blocks."""
+    u = in_blocks(items.select(F.col(cohort).alias("cohort"), F.col(item).alias("item"), unit(F.col(vector)).alias("v")))
+    a, b = u.toDF("cohort", "i", "vi", "x", "y"), u.toDF("cohort", "j", "vj", "y", "x")
     dot = F.aggregate(F.zip_with("vi", "vj", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, "cohort").filter("i < j").select("cohort", "i", "j", clipped(dot).alias("sim"))
+    return a.join(b, ["cohort", "x", "y"]).filter("i < j").select("cohort", "i", "j", clipped(dot).alias("sim"))
 
 
 def pair_stats(sims: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
@@ -45,9 +58,22 @@ def pair_stats(sims: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
 
 
 def ranked(sims: DataFrame) -> DataFrame:
-    """Pairs with their place (from 0) by similarity to nine places, ties by (i, j), and their number."""
-    w = Window.partitionBy("cohort").orderBy(F.desc(F.round("sim", 9)), "i", "j")
-    return sims.withColumn("place", F.row_number().over(w) - 1).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("cohort")))
+    """Pairs with their place (from 0) by similarity to nine places, ties by (i, j), and their number.
+
+    Pairs are range-partitioned in that order and written; places follow from the number of pairs of each cohort and
+    partition, so a cohort of many pairs is no single task.
+    """
+    spark, path = sims.sparkSession, shared.new_folder(sims.sparkSession, "ranked")
+    order = ["cohort", "down", "i", "j"]
+    rows = sims.withColumn("down", -F.round("sim", 9)).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.withColumns({"part": F.spark_partition_id(), "seq": F.monotonically_increasing_id()})
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    counts = rows.groupBy("cohort", "part").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("cohort")
+    before = F.coalesce(F.sum("n").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("cohort", "part", (before - F.col("first")).alias("shift"), F.sum("n").over(w).alias("total"))
+    return rows.join(counts, ["cohort", "part"]).withColumn("place", F.col("seq") + F.col("shift")).select(*sims.columns, "place", "total")
 
 
 def levels(sims: DataFrame, n: int | None = None) -> DataFrame:
