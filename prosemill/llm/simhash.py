@@ -292,6 +292,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     rows = scratch.write(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col).cast("string")).alias("fp")), "fingerprints")
     distinct = scratch.write(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     stars = components(spark, near_links(spark, distinct, scratch), scratch)
+    scratch.drop("replicated", "crowded", "inner", "links")
     return named_components(rows, distinct, stars, scratch)
 
 
