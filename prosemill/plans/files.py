@@ -221,7 +221,7 @@ register("evaluation_missing", lambda s, d: pipeline.evaluate(*_cohort_of(s, d),
 register("evaluation_per_item", lambda s, d: Q._rounded(pipeline.evaluate(*_cohort_of(s, d), "three")["per_item"], "avg_similarity"), f"{_HELD} SELECT 'three' AS cohort, 'g' || item || '/g' || item AS item, round(avg_similarity, 6) AS avg_similarity FROM {Q._PER_ITEM}")
 register(
     "evaluation_tfidf",
-    lambda s, d: Q._rounded(pipeline.evaluate_tfidf(table(s, d, "benchmark").select(F.lit("g").alias("generic_name"), F.lit("").alias("drug_name"), F.col("text").alias("description"), F.col("item_id").alias("row_id")), pipeline.fit_tfidf(table(s, d, "documents").select(F.lit("g").alias("generic_name"), F.col("text").alias("description"))), "all")["stats"].drop("range_min", "range_max"), *Q._STAT_COLUMNS),
+    lambda s, d: Q._rounded(pipeline.evaluate_tfidf(table(s, d, "benchmark").select(F.lit("g").alias("generic_name"), F.lit("").alias("drug_name"), F.col("text").alias("description"), F.col("item_id").alias("row_id")), table(s, d, "documents").select(F.lit("g").alias("generic_name"), F.col("text").alias("description")), "all")["stats"].drop("range_min", "range_max"), *Q._STAT_COLUMNS),
     Q.ORACLES["tfidf_stats"],
 )
 

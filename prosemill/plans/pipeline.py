@@ -117,10 +117,19 @@ def reports(items: DataFrame, sims: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _with_rows(df: DataFrame) -> DataFrame:
+    """`df` with row_id; rows without are numbered and written, so that each later scan sees the same numbers."""
+    if "row_id" in df.columns:
+        return df
+    path, numbered = shared.new_folder(df.sparkSession, "rows"), df.withColumn("row_id", F.monotonically_increasing_id())
+    numbered.write.parquet(path)
+    return df.sparkSession.read.schema(numbered.schema).parquet(path)
+
+
 def evaluate(cohort: DataFrame, store: DataFrame, dataset: str, strict: bool = False) -> dict[str, DataFrame]:
-    """Reports over a cohort's stored vectors; of repeated keys the last row names the key. Rows without any
-    name are skipped, or an error if strict. Needs row_id in `cohort`; keys are requested as often as they stand there."""
-    rows = named(cohort, strict)
+    """Reports over a cohort's stored vectors; of repeated keys the last row (row_id) names the key. Rows without any
+    name are skipped, or an error if strict. Keys are requested as often as they stand in the cohort."""
+    rows = named(_with_rows(cohort), strict)
     key = X.unique_key(F.col("generic_name"), F.col("drug_name"))
     asked = rows.select("row_id", key.alias("drug_name"), X.display_name(F.col("generic_name"), F.col("drug_name")).alias("display"), F.lit(dataset).alias("dataset"))
     shown = asked.groupBy("drug_name").agg(F.max_by("display", "row_id").alias("display"))
@@ -136,9 +145,11 @@ def fit_tfidf(boiled: DataFrame) -> DataFrame:
     return tfidf.vocabulary(boiled.filter(F.coalesce("generic_name", F.lit("")) != ""), "description")
 
 
-def evaluate_tfidf(cohort: DataFrame, vocabulary: DataFrame, dataset: str) -> dict[str, DataFrame]:
-    """Reports over the TF-IDF vectors of a cohort (with row_id); all rows count, a row without any name is an error."""
-    rows = named(cohort, strict=True)
+def evaluate_tfidf(cohort: DataFrame, corpus: DataFrame, dataset: str, vocabulary: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Reports over the TF-IDF vectors of a cohort; all rows count, a row without any name is an error. The vocabulary
+    is that of `corpus`, unless it is given."""
+    rows = named(_with_rows(cohort), strict=True)
+    vocabulary = fit_tfidf(corpus) if vocabulary is None else vocabulary
     items = rows.select(F.col("row_id").alias("item"), "description", X.display_name(F.col("generic_name"), F.col("drug_name")).alias("display"), F.lit(dataset).alias("dataset"))
     weights = tfidf.weights(items, "item", "description", vocabulary)
     sims = tfidf.pairs(items, "item", weights, dataset)
@@ -178,7 +189,7 @@ def evaluate_cohorts(boiled: DataFrame, store: DataFrame, specs=C.COHORTS, seed:
     sides: list[DataFrame | None] = [None, None]
     for name, rows in cohorts(boiled, specs, seed).items():
         dataset = name.split("_")[0]
-        for i, report in enumerate((evaluate(rows, store, dataset), evaluate_tfidf(rows, vocabulary, dataset))):
+        for i, report in enumerate((evaluate(rows, store, dataset), evaluate_tfidf(rows, boiled, dataset, vocabulary))):
             one = report["per_item"].select(F.lit(dataset).alias("dataset"), "avg_similarity")
             sides[i] = one if sides[i] is None else sides[i].unionByName(one)
     return vectors.compare(*sides)
