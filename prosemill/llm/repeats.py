@@ -9,9 +9,9 @@ anchor form one segment. Then:
 2. emit the segments of the other keys; a task sends the text of a segment once;
 3. group equal segments by their bytes into one row with a multiplicity (map-side first, so a group of
    copies or a common passage is one row a task whatever its size);
-4. a key with over `HOT` different segments is split: the windows whose anchor lies in the right half of the
-   possible offsets share more text before it, the others more text behind it, and that longer shared text is
-   their new key; halves that are still hot are split again, down to whole windows, which no longer differ;
+4. a key with over `HOT` different segments is split by the place of the anchor in the window: windows whose anchor
+   lies in the same quarter of the possible offsets share more text before and behind it, and that longer shared
+   text is their new key; quarters that are still hot are split again, down to whole windows, which no longer differ;
 5. keys go to shards whole; each shard builds its index and decides which windows of its segments occur
    twice, multiplicities counted;
 6. the decisions are joined back to the segments and documents.
@@ -37,8 +37,8 @@ from .common import KeyFilter, Scratch, heavy_left_join
 
 #: units of text that a shard's index holds, but for a key that has more by itself
 SHARD_UNITS = 1 << 18
-#: different segments of a key that go to one shard
-HOT = 256
+#: different segments of a key that go to one shard, and the parts that a key with more is split into
+HOT, PARTS = 256, 4
 
 _BYTE = mix(np.arange(256, dtype=U64) + U64(77))
 _RUNS = "array<struct<a:int,b:int>>"
@@ -67,9 +67,8 @@ def _name(text: bytes) -> bytes:
 
 
 def _split(x: dict, by_word: bool, window: int) -> Iterator[dict]:
-    """The one or two parts of a segment under the two new keys."""
+    """The parts of a segment under the new keys, `PARTS` at most."""
     low, high = x["low"], x["high"]
-    middle = (low + high + 1) // 2
     text = x["text"]
     if by_word:
         end = [i for i, c in enumerate(text) if c == 0x20] + [len(text)]
@@ -77,7 +76,9 @@ def _split(x: dict, by_word: bool, window: int) -> Iterator[dict]:
     else:
         cut = lambda a, b: text[a:b]
     anchor, n = x["anchor"], x["n"]
-    for lo, hi in ((middle, high), (low, middle - 1)):
+    each = -(-(high - low + 1) // PARTS)
+    for lo in range(low, high + 1, each):
+        hi = min(lo + each - 1, high)
         # windows start from `anchor` - hi to `anchor` - lo; all share the units from the last start to the first end
         first, last = max(0, anchor - hi), min(n - 1, anchor - lo)
         if first <= last:
