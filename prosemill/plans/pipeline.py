@@ -17,13 +17,14 @@ from ..sources import readers, shared, writers
 
 @dataclass(frozen=True)
 class Config:
-    """Paths of the cleaning run. Without `phrases` they are detected in the same run."""
+    """Paths of the cleaning run; cleaned products are written where a path is given. Without `phrases` they are
+    detected in the same run."""
 
     products_csv: str
     knowledge_base_xml: str
     output: str
     unboiled_output: str = "artifact/boiled.csv"
-    scraped_output: str = "data/scraped.csv"
+    scraped_output: str | None = None
     phrases: Sequence[str] | None = C.PHRASES
 
     @classmethod
@@ -33,7 +34,7 @@ class Config:
     @classmethod
     def of(cls, c: dict) -> Config:
         paths, defaults = c["paths"], cls.__dataclass_fields__
-        return cls(paths["products_csv"], paths["knowledge_base_xml"], paths["output_file"], paths.get("unboiled_output_file", defaults["unboiled_output"].default), c.get("settings", {}).get("scraped_csv", defaults["scraped_output"].default))
+        return cls(paths["products_csv"], paths["knowledge_base_xml"], paths["output_file"], paths.get("unboiled_output_file", defaults["unboiled_output"].default), c.get("settings", {}).get("scraped_csv", "data/scraped.csv"))
 
 
 @dataclass(frozen=True)
@@ -207,7 +208,8 @@ def run(spark: SparkSession, config: Config) -> DataFrame:
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
     products = written(scrape(readers.raw_products(spark, config.products_csv)), "scraped")
-    writers.stage(products, config.scraped_output, "row_id")
+    if config.scraped_output:
+        writers.stage(products, config.scraped_output, "row_id")
     enriched = describe(products, readers.knowledge_base(spark, config.knowledge_base_xml)).select("row_id", "generic_name", "drug_name", "description", "atc_codes")
     enriched = written(enriched, "enriched")
     writers.stage(enriched, config.output, "row_id")
