@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+#: the text that describes a store in its metadata (fixed value)
+STORE_DESCRIPTION = "Drug embeddings: separate mappings for descriptions and ATC codes"
+
 #: published names of the stages' columns (fixed values)
 HEADERS = {"generic_name": "Generic Name", "drug_name": "Drug Name", "category": "Pharmacologic Category", "description": "Description", "atc_codes": "ATC Codes"}
 
@@ -31,7 +34,7 @@ def report(df: DataFrame, path: str) -> None:
     out.write.mode("overwrite").csv(path, header=True)
 
 
-def embedding_store(df: DataFrame, path: str, model: str, description: str = "Drug embeddings: separate mappings for descriptions and ATC codes") -> None:
+def embedding_store(df: DataFrame, path: str, model: str, description: str = STORE_DESCRIPTION) -> None:
     """Rows (embedding_type, drug_name, embedding) by type, as float32, and one row of metadata per type, with the
     totals of the store. Vectors of unlike lengths in one type are an error; a store without vectors has no types."""
     out = df.select("embedding_type", "drug_name", F.col("embedding").cast("array<float>"))
