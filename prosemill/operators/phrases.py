@@ -62,6 +62,13 @@ def _first_of_each(h: np.ndarray, who: np.ndarray) -> np.ndarray:
     return np.unique(code * (int(who.max()) + 1) + who, return_index=True)[1]
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written in the shared folder and read back, for tables that are read more than once."""
+    path = shared.new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out to as many tasks as there are cores where the scan has fewer; otherwise as they are."""
     few = df.sparkSession.sparkContext.defaultParallelism
@@ -93,7 +100,7 @@ def frequent_names(df: DataFrame, name: str, text: str, sizes: Sequence[int], le
                 yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), names.dictionary.take(pa.array(who[row[once]]))], names=["key", "name"])
 
     per_hash = rows.mapInArrow(hashed, "key long, name string").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("names"))
-    held = KeyFilter(spark, per_hash.filter(F.col("names") >= least).select("key"))
+    held = KeyFilter(spark, stored(per_hash.filter(F.col("names") >= least).select("key"), "hashes"))
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,9 +145,7 @@ def dissimilar(names: DataFrame, least: int) -> DataFrame:
     is an aggregate; names that contain one another are found once for all phrases, among the distinct names, and
     only those pairs meet the phrases. So a phrase that many names share makes no pairs of its names.
     """
-    path = shared.new_folder(names.sparkSession, "names")
-    names.write.parquet(path)
-    names = names.sparkSession.read.schema(names.schema).parquet(path)
+    names = stored(names, "names")
     often = frequent(names, least)
     kept = names.join(often, ["n", "phrase"]).filter(F.col("name").isNotNull())
     first = F.coalesce(F.get(X.words(F.col("name")), F.lit(0)), F.lit(""))

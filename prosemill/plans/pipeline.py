@@ -122,9 +122,7 @@ def _with_rows(df: DataFrame) -> DataFrame:
     """`df` with row_id; rows without are numbered and written, so that each later scan sees the same numbers."""
     if "row_id" in df.columns:
         return df
-    path, numbered = shared.new_folder(df.sparkSession, "rows"), df.withColumn("row_id", F.monotonically_increasing_id())
-    numbered.write.parquet(path)
-    return df.sparkSession.read.schema(numbered.schema).parquet(path)
+    return phrases.stored(df.withColumn("row_id", F.monotonically_increasing_id()), "rows")
 
 
 def evaluate(cohort: DataFrame, store: DataFrame, dataset: str, strict: bool = False) -> dict[str, DataFrame]:
@@ -201,17 +199,11 @@ def run(spark: SparkSession, config: Config) -> DataFrame:
     names, returns the last. Missing inputs are an error before anything runs."""
     shared.require(spark, config.products_csv, "product list")
     shared.require(spark, config.knowledge_base_xml, "knowledge base")
-    work = shared.new_folder(spark, "stages")
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{work}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
-
-    products = written(scrape(readers.raw_products(spark, config.products_csv)), "scraped")
+    products = phrases.stored(scrape(readers.raw_products(spark, config.products_csv)), "scraped")
     if config.scraped_output:
         writers.stage(products, config.scraped_output, "row_id")
     enriched = describe(products, readers.knowledge_base(spark, config.knowledge_base_xml)).select("row_id", "generic_name", "drug_name", "description", "atc_codes")
-    enriched = written(enriched, "enriched")
+    enriched = phrases.stored(enriched, "enriched")
     writers.stage(enriched, config.output, "row_id")
     listed = config.phrases
     if listed is None:
