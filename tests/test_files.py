@@ -18,7 +18,7 @@ from .test_core import SF, _rows
 
 @pytest.mark.parametrize(
     "name",
-    ["read_products", "scraped_file", "enriched_file", "descriptions_file", "boiled_file", "boiled_missing_values", "cohort_file", "truth_file", "report_files", "store_metadata", "store_metadata_one_kind", "xml_scan", "run_files", "embedding_run", "evaluation_stats", "evaluation_per_item", "evaluation_files", "existence_guards", "compare_files", "match_tables", "encode_store", "sample_seeded", "phrase_dissimilar", "cosine_marks", "cosine_range"],
+    ["read_products", "scraped_file", "enriched_file", "boiled_missing_values", "cohort_file", "truth_file", "report_files", "store_metadata_one_kind", "xml_scan", "run_files", "embedding_run", "evaluation_per_item", "evaluation_files", "existence_guards", "compare_files", "match_tables", "encode_store", "sample_seeded", "phrase_dissimilar", "cosine_marks", "cosine_range"],
 )
 def test_oracle(spark, name):
     db = duckdb.connect()
