@@ -398,3 +398,32 @@ def test_digest_columns(spark):
     for r in out:
         if not r.n_removed:
             assert r.kept_sha256 == hashlib.sha256(" ".join(WORD.findall(texts[r.doc_id] or "")).encode()).hexdigest()
+
+
+def test_crowded_anchors_lose_no_link(spark, monkeypatch):
+    """Fingerprints that share whole pieces crowd their anchors; components are those of all pairs."""
+    monkeypatch.setattr(simhash, "HOMES", 3)
+    monkeypatch.setattr(simhash, "ROWS", 12)
+    rng = random.Random(6)
+    fps = set()
+    for _ in range(12):
+        centre = rng.getrandbits(64)
+        if rng.random() < 0.7:
+            centre = centre & ~0x7FFFFF | 0x155555  # one word in the first piece
+        if rng.random() < 0.5:
+            centre = centre & (1 << 46) - 1 | 5 << 46  # and in the last
+        for _ in range(10):
+            x = centre
+            for _ in range(rng.randrange(5)):
+                x ^= 1 << rng.randrange(64)
+            fps.add(x)
+    fps = sorted(fps)
+    name = list(range(len(fps)))
+    near = [[j for j, b in enumerate(fps) if (a ^ b).bit_count() <= 4] for a in fps]
+    for _ in name:
+        name = [min(name[j] for j in near[i]) for i in range(len(fps))]
+    rows = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    scratch = common.Scratch(spark)
+    stars = {r.v % 2**64: r.root % 2**64 for r in simhash.components(spark, simhash.near_links(spark, rows, scratch), scratch).collect()}
+    got = [stars.get(x, x) for x in fps]
+    assert len(set(zip(got, name))) == len(set(got)) == len(set(name)) < len(fps)
