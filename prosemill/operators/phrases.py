@@ -70,14 +70,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to as many tasks as there are cores where the scan has fewer; otherwise as they are."""
+    """Rows of a scan dealt out to as many tasks as there are cores where the scan has fewer; otherwise as they are.
+    Not for tables that are computed: asking for their partitions runs their shuffles."""
     few = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(few) if df.rdd.getNumPartitions() < few else df
 
 
 def _rows(df: DataFrame, name: str, text: str) -> DataFrame:
     """name (lowered) and text."""
-    return spread(df.select(F.lower(name).alias("name"), F.col(text).cast("string").alias("text")))
+    return df.select(F.lower(name).alias("name"), F.col(text).cast("string").alias("text"))
 
 
 def frequent_names(df: DataFrame, name: str, text: str, sizes: Sequence[int], least: int, least_bytes: int = 10) -> DataFrame:

@@ -219,7 +219,7 @@ _NAMES_SQL = "(" + " UNION ALL ".join(O.phrase_names("(SELECT source AS name, te
 
 
 def _phrase_names(s: SparkSession, d: str) -> DataFrame:
-    return phrases.frequent_names(table(s, d, "documents"), "source", "text", PHRASE_SIZES, PHRASE_LEAST)
+    return phrases.frequent_names(phrases.spread(table(s, d, "documents").select("source", "text")), "source", "text", PHRASE_SIZES, PHRASE_LEAST)
 
 
 def _ranked(s: SparkSession, d: str, most: int) -> DataFrame:
