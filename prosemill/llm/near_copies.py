@@ -1,13 +1,21 @@
-"""Near copies by word shingles: MinHash bands find candidates, the whole shingle sets decide.
+"""Near copies by word shingles: SimHash with anchor points finds candidates, the whole shingle sets decide.
 
 A text is the set of its runs of `SHINGLE` lower-cased words (all words, if fewer); texts link at a Jaccard
-similarity of `SIMILAR_PERCENT` or more. Equal sets are one row at first. Each set has `BANDS` keys of `ROWS` minima;
-a pair at similarity j shares no key with chance (1 - j**ROWS)**BANDS, 3e-6 at 0.8 and less above.
-
-All pairs that share a key are candidates. Each set is first compared with the centre of its keys, the set that
-meets most others, which joins most of a large group by as many comparisons as it has sets. Where the sets of a
-key are then still in several components, those outside its largest component are compared with all sets of the
-key, in blocks of at most `LEAST` by `MOST` sets; a block is a task's work and sends a spanning forest of its links,
+similarity of `SIMILAR_PERCENT` or more. Equal sets are one row at first. The fingerprint is operator 8's, the majority
+of each bit of the shingle hashes, with `WORDS` words of 64 bits: at similarity 0.8 a bit differs with chance 0.15, so
+one word with a bound of 4 bits, which operator 8's contract asks for, would miss most such pairs.
+
+The bits are cut into `PIECES` pieces of 23. As in operator 8, a fingerprint is at home at the nearest word of the binary
+Golay code and is replicated to those within covering radius plus one (5.3 anchors a piece in all), and homes are
+compared with all that is at their anchor. They link if the three words from the piece's own on differ in `NEAR` or
+fewer of 192 bits, and an anchor sends a forest of its links. What the first `FIRST` pieces have connected is one in the
+others, so a large group sends few links. A pair at similarity 0.8 meets in a piece with chance 0.39 and in none of them
+with chance 2e-5; sets of unrelated texts differ in 96 bits.
+
+The components of these links are the candidates. Each set is compared with the centre of its component, the set with
+most links, which joins most of a large group by as many comparisons as it has sets. Where the sets of a
+component are then still apart, those outside its largest part are compared with all its sets,
+in blocks of at most `LEAST` by `MOST` sets; a block is a task's work and sends a spanning forest of its links,
 at most a row a set. So components are those of all candidates, and no pairs are written.
 
 Defined results: null and empty texts have the empty set, which links with itself only; otherwise as in
@@ -26,16 +34,23 @@ from pyspark.sql import functions as F
 
 from .bytesops import U64, blocks, mix, prefix, span_hash, spread, word_hashes, words
 from .common import KEY, BitFilter, Scratch, heavy_left_join, with_key
-from .simhash import components, named_components
-
-SHINGLE, SIMILAR_PERCENT, BANDS, ROWS = 5, 80, 24, 4
-#: sets outside the largest component, and all sets of a key, that one block compares, about
+from .simhash import anchors, components, named_components
+
+SHINGLE, SIMILAR_PERCENT = 5, 80
+WORDS, NEAR = 8, 46
+PIECES, BITS, ANCHORS = 22, 23, 1 << 12
+#: pieces of the first round; in the second, what they have connected is one
+FIRST = 2
+#: homes, and all rows, of one anchor or block that one task compares, about
+HOMES, ROWS = 8192, 1 << 17
+#: anchors are counted on every so manieth set, to size their blocks
+COUNTED = 16
+#: sets outside the largest part, and all sets of a component, that one block compares, about
 LEAST, MOST = 1024, 8192
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
-_BAND = mix(np.arange(1001, 1001 + BANDS, dtype=U64))
+_SALTS = mix(np.arange(1, WORDS + 1, dtype=U64))
 
 
 def shingles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -55,29 +70,202 @@ def sets(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for _, h, cuts in shingles(texts) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def bands(texts: pa.Array) -> np.ndarray:
-    """The band keys of each text; those of texts without words are not used."""
-    out = np.zeros((len(texts), BANDS), U64)
-    for lo, h, cuts in shingles(texts):
-        some = np.flatnonzero(np.diff(cuts))
-        if len(some):
-            least = np.stack([np.minimum.reduceat(h * salt, cuts[some]) for salt in _SALTS], axis=1)
-            key = np.tile(_BAND, (len(some), 1))
-            for i in range(ROWS):
-                key = mix(key ^ least[:, i::ROWS])
-            out[lo + some] = key
-    return out
+def fingerprints(found: list[np.ndarray]) -> np.ndarray:
+    """A row of `WORDS` words of 64 bits for each set of hashes; a bit is 1 if set in over half of them."""
+    count = np.array([len(x) for x in found], np.int64)
+    totals = np.zeros((len(found), 64 * WORDS), np.int32)
+    flat, row = np.concatenate([np.zeros(0, U64), *found]), np.repeat(np.arange(len(found)), count)
+    for lo in range(0, len(flat), 1 << 15):
+        h, own = flat[lo : lo + (1 << 15)], row[lo : lo + (1 << 15)]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        for w, salt in enumerate(_SALTS):
+            # four sums of 16 bits a number
+            x = mix(h ^ salt)
+            lanes = np.stack([np.add.reduceat(x >> U64(i) & U64(0x0001000100010001), first) for i in range(16)], axis=1)
+            for lane in range(4):
+                at = 64 * w + 16 * lane
+                totals[own[first], at : at + 16] += (lanes >> U64(16 * lane) & U64(0xFFFF)).astype(np.int32)
+    return np.packbits(2 * totals > count[:, None], axis=1, bitorder="little").view(U64).reshape(-1, WORDS)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1)
-        found = sets(texts)
+        found = sets(batch.column(1))
         fp = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) if len(x) else 0 for x in found], U64).view(np.int64)
         size = np.array([len(x) for x in found], np.int64)
-        keys = bands(texts).view(np.int64)
-        keys = [k if n else [] for k, n in zip(keys, size.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(size), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "size", "keys"])
+        bits = pa.FixedSizeListArray.from_arrays(pa.array(fingerprints(found).view(np.int64).ravel()), WORDS).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(size), bits], names=["id", "fp", "size", "bits"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The columns fp and bits of a batch, the latter as a row of words each."""
+    return batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().view(U64).reshape(-1, WORDS)
+
+
+def _anchored(bits: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the home anchor of each row; row and number of the other anchors of rows). A word of the code is known by
+    its upper 12 bits."""
+    word, shift = divmod(BITS * piece, 64)
+    value = bits[:, word] >> U64(shift)
+    if shift > 64 - BITS:
+        value |= bits[:, word + 1] << U64(64 - shift)
+    own, more = anchors((value & U64((1 << BITS) - 1)).astype(np.int64))
+    row, col = np.nonzero(more >= 0)
+    return own >> 11 | piece << 12, row, more[row, col] >> 11 | piece << 12
+
+
+def _counts(pieces: range):
+    """How many homes and rows there are at each anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        homes, rows = np.zeros((2, PIECES * ANCHORS), np.int64)
+        for batch in batches:
+            _, bits = _unpacked(batch)
+            for piece in pieces:
+                own, _, more = _anchored(bits, piece)
+                np.add.at(homes, own, 1)
+                np.add.at(rows, own, 1)
+                np.add.at(rows, more, 1)
+        at = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(homes[at]), pa.array(rows[at])], names=["anchor", "homes", "rows"])
+
+    return run
+
+
+def _replicate(pieces: range, tall: dict[int, int], wide: dict[int, int]):
+    """Rows (key, fp, x, y, z) of fingerprints: key is the anchor, its block and, in the lowest bit, 0 for homes; x to z are the
+    words compared. In an anchor of tall by wide blocks homes go along their row of blocks and, as other rows, all go down their column."""
+    across, down = np.ones((2, PIECES * ANCHORS), np.int64)
+    across[list(wide)], down[list(tall)] = list(wide.values()), list(tall.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, bits = _unpacked(batch)
+            dealt, every = np.zeros(len(fp), U64), np.arange(len(fp))
+            for word in range(WORDS):
+                dealt = mix(dealt ^ bits[:, word])
+            line, column = (dealt >> U64(32)).astype(np.int64), (dealt & U64(0xFFFFFFFF)).astype(np.int64)
+            for piece in pieces:
+                own, more_row, more = _anchored(bits, piece)
+                line_of = line % down[own]
+                # homes along their line
+                home_row = np.repeat(every, across[own])
+                home_block = line_of[home_row] * across[own][home_row] + spread(np.zeros(len(own), np.int64), across[own])
+                # all rows down their column, homes not in the block where they are homes
+                row, anchor = np.concatenate([every, more_row]), np.concatenate([own, more])
+                times = down[anchor]
+                which = np.repeat(np.arange(len(row)), times)
+                level = spread(np.zeros(len(row), np.int64), times)
+                keep = (which >= len(fp)) | (level != line_of[np.minimum(which, len(fp) - 1)])
+                which, level = which[keep], level[keep]
+                other_block = level * across[anchor[which]] + column[row[which]] % across[anchor[which]]
+                key = np.concatenate([own[home_row] << 33 | home_block << 1, anchor[which] << 33 | other_block << 1 | 1])
+                row = np.concatenate([home_row, row[which]])
+                word = BITS * piece // 64
+                three = [pa.array(bits[row, (word + i) % WORDS].view(np.int64)) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), *three], names=["key", "fp", "x", "y", "z"])
+
+    return run
+
+
+def forest(fp: np.ndarray, bits: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b, n) between different fps, b being the smallest of a part, and n the links that `a` was seen to have. The parts
+    are what links within `NEAR` bits of one of the first `homes` rows make of all; rows of one fp are one part.
+
+    Homes of the largest part are compared only with rows outside it, so a large group costs as many comparisons as it has rows.
+    """
+    n = len(bits)
+    fps, first, part = np.unique(fp, return_index=True, return_inverse=True)
+    part, links = first[part], np.zeros(n, np.int64)
+    step = max(16, min(256, (1 << 20) // n))
+    for lo in range(0, homes, step):
+        chunk = np.arange(lo, min(lo + step, homes))
+        main = np.bincount(part).argmax()
+        outside = np.flatnonzero(part != main)
+        if not len(outside):
+            break
+        inner = part[chunk] == main
+        for mine, against in ((chunk[inner], outside), (chunk[~inner], np.arange(n))):
+            if not len(mine) or not len(against):
+                continue
+            apart = sum(np.bitwise_count(bits[mine, None, w] ^ bits[None, against, w]) for w in range(3))
+            i, j = np.nonzero(apart <= NEAR)
+            i, j = mine[i], against[j]
+            i, j = i[i != j], j[i != j]
+            links += np.bincount(i, minlength=n)
+            while len(i):
+                a, b = part[i], part[j]
+                differ = a != b
+                i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+                if not len(i):
+                    break
+                # hang larger labels under smaller ones, then flatten all paths
+                np.minimum.at(part, np.maximum(a, b), np.minimum(a, b))
+                while (part[part] != part).any():
+                    part = part[part]
+    # the same few hubs at all anchors of a large group, so few different links; fps ascend
+    hub = np.full(n, len(fps))
+    np.minimum.at(hub, part[first], np.arange(len(fps)))
+    hub = hub[part[first]]
+    moved = np.flatnonzero(hub != np.arange(len(fps)))
+    return fps[moved], fps[hub[moved]], links[first[moved]]
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, x, y, z) in the order of keys; yields links (a, b, n), where `a` was seen to have n links."""
+
+    def done(parts: list) -> Iterator[pa.RecordBatch]:
+        """The whole groups in `parts`."""
+        key, fp, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
+        edge = np.flatnonzero(np.diff(key >> 1, prepend=-1))
+        homes = np.add.reduceat((key & 1) == 0, edge, dtype=np.int64)
+        size = np.diff(np.append(edge, len(key)))
+        out: tuple[list, ...] = tuple([np.zeros(0, np.int64)] for _ in range(3))
+        for g in np.flatnonzero((homes > 0) & (size > 1)).tolist():
+            lo, hi = edge[g], edge[g] + size[g]
+            for column, values in zip(out, forest(fp[lo:hi], bits[lo:hi], homes[g]), strict=True):
+                column.append(values)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["a", "b", "n"])
+
+    held: list = []
+    for batch in batches:
+        key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(key):
+            continue
+        bits = np.stack([batch.column(c).to_numpy().view(U64) for c in (2, 3, 4)], axis=1)
+        # the last group may go on in the next batch
+        whole = int(np.searchsorted(key >> 1, key[-1] >> 1))
+        if held and (whole or held[-1][0][-1] >> 1 != key[0] >> 1):
+            yield from done([*held, (key[:whole], fp[:whole], bits[:whole])])
+            held = []
+        elif whole:
+            yield from done([(key[:whole], fp[:whole], bits[:whole])])
+        held.append((key[whole:], fp[whole:], bits[whole:]))
+    if held:
+        yield from done(held)
+
+
+def near_links(sets: DataFrame, pieces: range, scratch: Scratch, name: str) -> DataFrame:
+    """Links (a, b, n) that connect the `fp` of fingerprints `bits` that meet at an anchor and are near; n sums up the links
+    that `a` was seen to have where it has this one. Rows of one fp are connected already."""
+    # at most as many rows as there are anchors: 22 x 4,096
+    counts = sets.filter(F.pmod(F.xxhash64("bits"), F.lit(COUNTED)) == 0).mapInArrow(_counts(pieces), "anchor long, homes long, rows long")
+    counts = counts.groupBy("anchor").agg((COUNTED * F.sum("homes")).alias("homes"), (COUNTED * F.sum("rows")).alias("rows"))
+    crowded = counts.filter((F.col("homes") > HOMES) | (F.col("rows") > ROWS)).collect()
+    deal = _replicate(pieces, {r.anchor: max(1, -(-r.homes // HOMES)) for r in crowded}, {r.anchor: -(-r.rows // ROWS) for r in crowded})
+    dealt = sets.mapInArrow(deal, "key long, fp long, x long, y long, z long").repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+    return scratch.write(dealt.mapInArrow(_compare, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), name)
+
+
+def candidates(spark: SparkSession, distinct: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The components (v, root) of near fingerprints, for every set that is not its root, and the links (a, b, n) behind them."""
+    some = distinct.filter("size > 0").select("fp", "bits")
+    near = near_links(some, range(FIRST), scratch, "near")
+    stars = components(spark, near, Scratch(spark))
+    joined = some.join(stars.withColumnRenamed("v", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("fp"), "bits")
+    rest = near_links(scratch.write(joined, "joined"), range(FIRST, PIECES), scratch, "near_rest")
+    known = stars.select(F.col("v").alias("a"), F.col("root").alias("b"))
+    return components(spark, known.unionByName(rest.select("a", "b")), Scratch(spark)), near.unionByName(rest)
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,27 +402,29 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """One row per row of `docs`: id, fp (hash of the shingle set), component (smallest identifier reachable)."""
     scratch = Scratch(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = scratch.write(texts.mapInArrow(_sketch, f"id {texts.schema['id'].dataType.simpleString()}, fp long, size long, keys array<long>"), "sketches")
+    sketched = scratch.write(texts.mapInArrow(_sketch, f"id {texts.schema['id'].dataType.simpleString()}, fp long, size long, bits array<long>"), "sketches")
     rows = sketched.select("id", "fp")
-    distinct = scratch.write(sketched.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")), "distinct")
-    spread_out = distinct.select("fp", "size", F.explode("keys").alias("key"))
-    total = BANDS * distinct.count()
-    held = scratch.write(spread_out.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "held")
-    shared = scratch.write(heavy_left_join(spread_out, held, "key", "held", total).filter("held is not null"), "shared")
-    # the set that meets most others is the centre of its keys
-    met = shared.groupBy("fp").agg(F.sum("held").alias("met"))
-    centres = shared.join(met, "fp").groupBy("key").agg(F.max_by(F.struct("fp", "size"), F.struct("met", "fp")).alias("centre"), F.max("held").alias("held"))
-    starred = heavy_left_join(shared.drop("held"), scratch.write(centres, "centres"), "key", "held", total).filter(F.col("fp") != F.col("centre.fp"))
+    distinct = scratch.write(sketched.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bits").alias("bits")), "distinct")
+    stars, near = candidates(spark, distinct, scratch)
+    # key: the set that names its component of near fingerprints
+    stars = stars.select(F.col("root").alias("key"), F.col("v").alias("fp"))
+    members = stars.unionByName(stars.select("key", F.col("key").alias("fp")).distinct())
+    met = near.groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("met"))
+    shared = scratch.write(members.join(distinct.select("fp", "size", "least"), "fp").join(met, "fp", "left"), "shared")
+    total = shared.count()
+    # the set with most links is the centre of its component
+    centres = shared.groupBy("key").agg(F.max_by(F.struct("fp", "size"), F.struct("met", "fp")).alias("centre"), F.count(F.lit(1)).alias("held"))
+    starred = heavy_left_join(shared, scratch.write(centres, "centres"), "key", "held", total).filter(F.col("fp") != F.col("centre.fp"))
     # sets of other sizes cannot be similar: the smaller one is all they can share
     fits = F.least("size", "centre.size") * 100 >= F.greatest("size", "centre.size") * SIMILAR_PERCENT
-    tried = scratch.write(starred.filter(fits).select(F.least("centre.fp", "fp").alias("a"), F.greatest("centre.fp", "fp").alias("b")).distinct(), "tried")
-    # shingle sets of the sets that share a key, from one text of each
-    asked = scratch.write(shared.select("fp").distinct().join(distinct.select("fp", "least"), "fp").withColumnRenamed("least", "id"), "asked")
+    tried = scratch.write(starred.filter(fits).select(F.least("centre.fp", "fp").alias("a"), F.greatest("centre.fp", "fp").alias("b")), "tried")
+    # shingle sets of the candidates, from one text of each
+    asked = scratch.write(shared.select("fp", F.col("least").alias("id")), "asked")
     whole = BitFilter(asked, F.col("id")).keep(texts, F.col("id")).dropDuplicates(["id"]).join(asked, "id")
     grams = scratch.write(whole.select("fp", "text").mapInArrow(_grams, "fp long, grams array<long>"), "grams")
     links = _similar(tried, grams, scratch, "similar")
     links = scratch.write(links.unionByName(_rest(shared.select("key", "fp"), links, grams, spark, scratch)), "links")
-    scratch.drop("held", "shared", "centres", "tried", "asked", "grams", "similar", "similar_a", "similar_b", "labelled", "mixed", "blocks", "more")
+    scratch.drop("near", "joined", "near_rest", "shared", "centres", "tried", "asked", "grams", "similar", "similar_a", "similar_b", "labelled", "mixed", "blocks", "more")
     return named_components(rows, distinct.select("fp", "least", "n"), components(spark, links, Scratch(spark)), scratch)
 
 
