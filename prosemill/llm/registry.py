@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, fm_index, mixing, secrets, simhash, suffix_groups, token_counts, toxicity
+from . import chat, decontaminate, exact_dedup, fm_index, importance, mixing, quality_gam, secrets, simhash, suffix_groups, token_align, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_token_alignment": token_align.op11_token_alignment,
+    "op12_importance": importance.op12_importance,
+    "op13_quality": quality_gam.op13_quality,
 }
 
 ORACLES = {
@@ -22,4 +25,5 @@ ORACLES = {
     "op2_chat_format": chat.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
     "op10_secret_scan": secrets.ORACLE,
+    "op12_importance": importance.ORACLE,
 }
