@@ -119,12 +119,18 @@ def weigh(spark: SparkSession, source: DataFrame, target: DataFrame, id_col: str
     other = encode(target, target_id, target_text, grams).withColumn("id", F.lit(None).cast(f"array<{kind}>")).withColumn("target", F.lit(True))
     all_blocks = scratch.write(own.unionByName(other).withColumn("block", F.monotonically_increasing_id()), "blocks")
 
-    said = all_blocks.select("block", F.posexplode("words").alias("at", "word"))
+    # the first tuples of a block are its single words, in order
+    alone = F.posexplode(F.arrays_zip("words", F.slice("numbers", F.lit(1), F.size("words")).alias("number")))
+    said = all_blocks.select("block", "target", alone.alias("at", "x")).select("block", "target", "at", F.col("x.words").alias("word"), F.col("x.number").alias("number"))
     dictionary = scratch.write(said.select("word").distinct().withColumn("word_id", F.monotonically_increasing_id()), "dictionary")
-    known = _ordered(said.join(dictionary, "word"), "at", "word_id")
-    in_ids = all_blocks.select("block", "target", "tuples", "numbers").join(known, "block")
-    in_ids = in_ids.withColumn("tuples", F.transform("tuples", lambda t: F.transform(t, lambda i: F.col("word_id")[i])))
-    tuples = scratch.write(in_ids.select("block", "target", F.posexplode(F.arrays_zip("tuples", "numbers")).alias("at", "x")).select("block", "target", "at", F.col("x.tuples").alias("tuple"), F.col("x.numbers").alias("number")), "tuples")
+    in_ids = said.join(dictionary, "word").select("block", "target", "at", F.array("word_id").alias("tuple"), "number")
+    if grams > 1:
+        known = _ordered(said.join(dictionary, "word"), "at", "word_id")
+        longer = all_blocks.select("block", "target", F.size("words").alias("first"), "tuples", "numbers").join(known, "block")
+        longer = longer.withColumn("tuples", F.transform("tuples", lambda t: F.transform(t, lambda i: F.col("word_id")[i])))
+        longer = longer.select("block", "target", "first", F.posexplode(F.arrays_zip("tuples", "numbers")).alias("at", "x")).filter("at >= first")
+        in_ids = in_ids.unionByName(longer.select("block", "target", "at", F.col("x.tuples").alias("tuple"), F.col("x.numbers").alias("number")))
+    tuples = scratch.write(in_ids, "tuples")
 
     side = lambda is_target: F.sum(F.when(F.col("target") == is_target, F.col("number")).otherwise(0))
     counted = tuples.groupBy("tuple").agg(side(False).alias("s"), side(True).alias("t"))
