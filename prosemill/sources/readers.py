@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as X
+from . import records
+from .publish import current
 from .shared import require
 
 ENTITY = "name array<string>, description array<string>, indication array<string>, `atc-codes` struct<`atc-code`: array<struct<_code: string>>>, `atc-code` array<struct<_code: string>>"
@@ -29,22 +31,49 @@ def numbered(df: DataFrame) -> DataFrame:
     return rows.join(splits, ["_row_file", "_row_start"]).select(*df.columns, row_id)
 
 
-def csv(spark: SparkSession, path: str, columns: list[str] | None = None, row_id: bool = True, multi_line: bool = False) -> DataFrame:
+CSV = {"quote": '"', "escape": '"', "mode": "FAILFAST"}
+
+
+def csv(spark: SparkSession, path: str, columns: list[str] | None = None, row_id: bool = True, header: bool = True) -> DataFrame:
     """All columns as strings, empty cells as '', malformed rows fail; optionally some columns and the row order.
 
-    Files are split among tasks; cells with line breaks need `multi_line`, which reads each file in one task, and
-    fail without it.
+    Cells may hold line breaks: files are split among tasks wherever they have them. A first scan counts quotes; only
+    where a line has an odd number of them are rows put together of lines (`records.joined`). A file that ends inside a
+    quoted cell is an error. Files without header get names _c0, _c1, ...
     """
     require(spark, path, "CSV file")
-    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line, mode="FAILFAST")
-    df = numbered(df) if row_id else df
+    path = current(spark, path)
+    lines = records.pieces(spark, path, "\n").withColumn("odd", records.quotes(F.col("value")))
+    per_file = lines.groupBy("file").agg(F.sum("odd").alias("odd"))
+    odd, broken = per_file.agg(F.sum("odd"), F.max(F.col("odd") % 2)).first()
+    if broken:
+        raise ValueError(f"{path}: a file ends inside a quoted cell")
+    if odd:
+        df = _over_lines(spark, path, lines, header)
+    else:
+        df = numbered(spark.read.csv(path, header=header, **CSV))
+    df = df if row_id else df.drop("row_id")
     if columns:
         df = df.select(*[F.col(f"`{c}`") for c in columns], *(["row_id"] if row_id else []))
     return df.fillna("")
 
 
-def raw_products(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    return csv(spark, path, ["Generic Name", "Brand Name", "Pharmacologic Category"], multi_line=multi_line)
+def _over_lines(spark: SparkSession, path: str, lines: DataFrame, header: bool) -> DataFrame:
+    """Rows of CSV files whose cells hold line breaks, with row_id."""
+    whole = records.joined(lines, F.col("odd"), "\n", 2, F.col("value").isin("", "\r"))
+    whole = whole.withColumn("value", F.regexp_replace("value", r"\r\z", ""))
+    names = spark.read.csv(path, header=header, multiLine=True, **CSV).columns
+    first = whole.groupBy("file").agg(F.min("record").alias("first"))
+    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    heads = first.select("file", "first", (F.coalesce(F.count(F.lit(1)).over(order), F.lit(0)) + 1).alias("heads"))  # one row per file
+    rows = whole.join(heads, "file").filter(F.col("record") > F.col("first")) if header else whole.withColumn("heads", F.lit(0))
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+    cells = rows.select(F.from_csv("value", schema, {**CSV, "multiLine": "true"}).alias("row"), (F.col("record") - F.col("heads")).alias("row_id"))
+    return cells.select("row.*", "row_id")
+
+
+def raw_products(spark: SparkSession, path: str) -> DataFrame:
+    return csv(spark, path, ["Generic Name", "Brand Name", "Pharmacologic Category"])
 
 
 def scraped(spark: SparkSession, path: str) -> DataFrame:
@@ -77,8 +106,8 @@ def cohort(spark: SparkSession, path: str, row_id: bool = False) -> DataFrame:
 
 def truth(spark: SparkSession, path: str) -> DataFrame:
     """First column of a file without header, with its positions from 0."""
-    rows = spark.read.csv(require(spark, path, "truth file"), header=False)
-    return numbered(rows).select(F.col("_c0").alias("actual"), "row_id")
+    require(spark, path, "truth file")
+    return csv(spark, path, header=False).select(F.col("_c0").alias("actual"), "row_id")
 
 
 def reports(spark: SparkSession, glob: str) -> DataFrame:
@@ -105,11 +134,17 @@ def parse_entities(rows: DataFrame) -> DataFrame:
     return rows.select(first("name").alias("name"), first("description").alias("description"), first("indication").alias("indication"), codes.alias("atc_codes"), *[c for c in rows.columns if c == "seq"])
 
 
-def knowledge_base(spark: SparkSession, path: str, row_tag: str = "drug") -> DataFrame:
-    """The entity dictionary of an XML file. Files are read whole elements at a time, in order."""
+def knowledge_base(spark: SparkSession, path: str, row_tag: str = "drug", strict: bool = False) -> DataFrame:
+    """The entity dictionary of XML files, read by byte ranges. An element ends with its own end tag and holds the ones
+    nested in it; self-closing codes count. In the strict form the first end tag, be it a nested element's, closes an
+    entity, what follows up to the next begin is left out, and only codes with an end tag count (`records.strict_entity`)."""
     require(spark, path, "knowledge base")
-    rows = spark.read.format("xml").option("rowTag", row_tag).schema(ENTITY).load(path)
-    return dictionary_rows(parse_entities(numbered(rows).withColumnRenamed("row_id", "seq")))
+    if strict:
+        ends = numbered(spark.read.text(path, lineSep=f"</{row_tag}>"))
+        return dictionary_rows(records.strict_entities(ends, row_tag))
+    whole = records.elements(spark, path, row_tag)
+    rows = whole.select(F.from_xml("value", ENTITY, {"mode": "FAILFAST"}).alias("e"), F.col("record").alias("seq")).select("e.*", "seq")
+    return dictionary_rows(parse_entities(rows))
 
 
 def embedding_store(spark: SparkSession, path: str, kind: str = "description") -> DataFrame:
@@ -119,6 +154,11 @@ def embedding_store(spark: SparkSession, path: str, kind: str = "description") -
     return spark.read.parquet(f"{path}/vectors").filter(F.col("embedding_type") == kind)
 
 
+def bucketed_vectors(spark: SparkSession, name: str, requests: DataFrame, kind: str = "description") -> DataFrame:
+    """`requests` (drug_name, ...) with the vectors that a bucketed store has for them; the store is not shuffled."""
+    return requests.join(spark.table(name).filter(F.col("embedding_type") == kind).hint("merge"), "drug_name")
+
+
 def store_metadata(spark: SparkSession, path: str) -> DataFrame:
     """One row per kind of embeddings, each with the totals of the store."""
     return spark.read.parquet(require(spark, f"{path}/metadata", "embedding store"))

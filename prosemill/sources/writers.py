@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import publish
 
 
 #: the text that describes a store in its metadata (fixed value)
@@ -24,8 +25,9 @@ def csv(df: DataFrame, path: str, order: str | None = None, single: bool = False
 
 
 def stage(df: DataFrame, path: str, order: str | None = None, single: bool = False) -> None:
-    """A stage's output under its published column names, which the readers take."""
-    csv(df.select(*[F.col(c).alias(HEADERS.get(c, c)) for c in df.columns]), path, order, single)
+    """A stage's output under its published column names, which the readers take; it replaces the former one whole."""
+    out = df.select(*[F.col(c).alias(HEADERS.get(c, c)) for c in df.columns])
+    publish.publish(df.sparkSession, path, lambda folder: csv(out, folder, order, single))
 
 
 def report(df: DataFrame, path: str) -> None:
@@ -49,6 +51,13 @@ def embedding_store(df: DataFrame, path: str, model: str, description: str = STO
     meta.withColumn("model_name", F.lit(model)).withColumn("description", F.lit(description)).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
+def bucketed_store(df: DataFrame, name: str, buckets: int = 64) -> None:
+    """Rows (embedding_type, drug_name, embedding) as a table of the session's catalog, dealt into buckets by drug_name and
+    sorted in each: look-ups of a few names read their buckets only, joins with many do not shuffle the store."""
+    out = df.select("embedding_type", "drug_name", F.col("embedding").cast("array<float>"))
+    out.repartition(buckets, "drug_name").write.mode("overwrite").bucketBy(buckets, "drug_name").sortBy("drug_name").saveAsTable(name)
+
+
 def phrases(df: DataFrame, path: str) -> None:
     """The phrase list (pos, phrase) as data, to be given to the removal step."""
     df.select("pos", "phrase").write.mode("overwrite").parquet(path)
