@@ -178,13 +178,61 @@ def drop_overlaps(top: DataFrame) -> DataFrame:
     return listed.select(F.posexplode(fold).alias("pos", "phrase"))
 
 
+def lowered(text: str) -> str:
+    """Lower case, one character for each; a letter whose lower case is longer stays."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
+class Remover:
+    """Each phrase in order removed until it is absent, the cut ends joined by a space.
+
+    One automaton finds which phrases a text holds; a cut can only bring out others across its joint, so after it
+    the automaton reads the joint's surroundings. Every cut shortens the text or is the last of its phrase.
+    """
+
+    def __init__(self, phrases: Sequence[str]):
+        import ahocorasick
+
+        self.phrases = [lowered(p) for p in phrases]
+        self.reach = max(map(len, self.phrases), default=0)
+        self.automaton = ahocorasick.Automaton()
+        for place, phrase in enumerate(self.phrases):
+            if phrase:
+                self.automaton.add_word(phrase, (*self.automaton.get(phrase, ()), place))
+        if self.reach:
+            self.automaton.make_automaton()
+
+    def _held(self, low: str) -> set[int]:
+        return {place for _, places in self.automaton.iter(low) for place in places}
+
+    def __call__(self, text: str) -> str:
+        low = lowered(text)
+        waiting = self._held(low) if self.reach else set()
+        while waiting:
+            place = min(waiting)
+            waiting.discard(place)
+            phrase, at = self.phrases[place], 0
+            while (at := low.find(phrase, max(0, at - self.reach))) >= 0:
+                left, right = low[:at].rstrip(TRIM), low[at + len(phrase) :].lstrip(TRIM)
+                start = len(low) - len(right)
+                gap = " " if left and right else ""
+                text, low = text[: len(left)] + gap + text[start:], left + gap + right
+                at = len(left)
+                joint = low[max(0, at - self.reach) : at + self.reach + 1]
+                waiting |= {later for later in self._held(joint) if later > place}
+        return re.sub(r"\s+", " ", text).strip(TRIM)
+
+
+_removers: dict[tuple[str, ...], Remover] = {}
+
+
 def remove_once(text: str, phrases: Sequence[str]) -> str:
-    """Each phrase in order removed until it is absent, the cut ends joined by a space."""
-    for phrase in phrases:
-        while (at := text.lower().find(phrase)) >= 0:
-            left, right = text[:at].rstrip(TRIM), text[at + len(phrase) :].lstrip(TRIM)
-            text = f"{left} {right}" if left and right else left or right
-    return re.sub(r"\s+", " ", text).strip(TRIM)
+    """`text` without the phrases, by the automaton of this list, which is kept."""
+    listed = tuple(phrases)
+    if listed not in _removers:
+        _removers[listed] = Remover(listed)
+    return _removers[listed](text)
 
 
 def remove_phrases(c: Column, phrases: Sequence[str] = C.PHRASES) -> Column:
