@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,8 +17,22 @@ def sample(df: DataFrame, n: int, key: str | list[str], seed: int = 42) -> DataF
     Rows go by the MD5 of seed and key, which any engine can repeat; rows of equal keys are interchangeable.
     """
     keys = [key] if isinstance(key, str) else key
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
-    return df.orderBy(F.md5(text.cast("binary")), *keys).limit(n)
+    return df.orderBy(draw(keys, seed), *keys).limit(n)
+
+
+def draw(keys: list[str], seed: int) -> Column:
+    """The MD5 of seed and keys, by which samples go."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).cast("binary"))
+
+
+def sample_each(df: DataFrame, group: str, size: str, keys: list[str], seed: int = 42, parts: int = 64) -> DataFrame:
+    """Of each group as many rows as its `size` says, the ones that `sample` takes. A group is ranked in `parts` parts
+    first, of which only the first `size` rows each go on, so no task ranks a whole group."""
+    rows = df.withColumn("_draw", draw(keys, seed)).withColumn("_part", F.pmod(F.xxhash64("_draw"), F.lit(parts)))
+    for by in ([group, "_part"], [group]):
+        w = Window.partitionBy(*by).orderBy("_draw", *keys)
+        rows = rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= F.col(size)).drop("_rank")
+    return rows.drop("_draw", "_part", size)
 
 
 def random_rows(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:

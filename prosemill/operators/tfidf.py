@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -57,14 +57,14 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], batch.schema.field(4).type), pa.array(out[2], batch.schema.field(4).type), pa.array(out[3], pa.float64())], names=["cohort", "i", "j", "dot"])
 
 
-def pairs(docs: DataFrame, item: str, w: DataFrame, cohort: str = "all") -> DataFrame:
+def pairs(docs: DataFrame, item: str, w: DataFrame, cohort: str | Column = "all") -> DataFrame:
     """cohort, i, j, sim for all i < j; pairs without a common term have 0.
 
     Items meet in the cells of a grid of blocks, where a term that many of them have is one list of the cell; terms
     are not joined, so a term of all items makes no rows.
     """
     bags = w.groupBy("item").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
-    items = docs.select(F.lit(cohort).alias("cohort"), F.col(item).alias("item")).join(bags, "item", "left")
+    items = docs.select((F.lit(cohort) if isinstance(cohort, str) else cohort).alias("cohort"), F.col(item).alias("item")).join(bags, "item", "left")
     none = F.array()
     items = items.select("cohort", "item", F.coalesce("terms", none.cast("array<string>")).alias("terms"), F.coalesce("weights", none.cast("array<double>")).alias("weights"))
     placed = in_blocks(items)

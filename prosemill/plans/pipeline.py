@@ -6,13 +6,13 @@ import sys
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as X
 from ..operators import dedup, match, phrases, sampling, tfidf, vectors
-from ..sources import readers, shared, writers
+from ..sources import metrics, readers, shared, writers
 
 
 @dataclass(frozen=True)
@@ -125,18 +125,23 @@ def _with_rows(df: DataFrame) -> DataFrame:
     return phrases.stored(df.withColumn("row_id", F.monotonically_increasing_id()), "rows")
 
 
-def evaluate(cohort: DataFrame, store: DataFrame, dataset: str, strict: bool = False) -> dict[str, DataFrame]:
+def _dataset(name: str | None) -> Column:
+    return F.col("dataset") if name is None else F.lit(name).alias("dataset")
+
+
+def evaluate(cohort: DataFrame, store: DataFrame, dataset: str | None = None, strict: bool = False) -> dict[str, DataFrame]:
     """Reports over a cohort's stored vectors; of repeated keys the last row (row_id) names the key. Rows without any
-    name are skipped, or an error if strict. Keys are requested as often as they stand in the cohort."""
+    name are skipped, or an error if strict. Keys are requested as often as they stand in the cohort. Without a name
+    for it, the column `dataset` says which cohort a row is of; a row may stand in several."""
     rows = named(_with_rows(cohort), strict)
     key = X.unique_key(F.col("generic_name"), F.col("drug_name"))
-    asked = rows.select("row_id", key.alias("drug_name"), X.display_name(F.col("generic_name"), F.col("drug_name")).alias("display"), F.lit(dataset).alias("dataset"))
-    shown = asked.groupBy("drug_name").agg(F.max_by("display", "row_id").alias("display"))
+    asked = rows.select("row_id", key.alias("drug_name"), X.display_name(F.col("generic_name"), F.col("drug_name")).alias("display"), _dataset(dataset))
+    shown = asked.groupBy("dataset", "drug_name").agg(F.max_by("display", "row_id").alias("display"))
     last = store.groupBy("drug_name").agg(F.max_by("embedding", F.xxhash64("embedding")).alias("embedding"))
-    found = asked.drop("display").join(shown, "drug_name").join(last, "drug_name").withColumnRenamed("row_id", "item")
+    found = asked.drop("display").join(shown, ["dataset", "drug_name"]).join(last, "drug_name").withColumnRenamed("row_id", "item")
     sims = vectors.pairs(found, "dataset", "item", "embedding")
     found = found.withColumn("size", vectors.norm(F.col("embedding").cast("array<double>")))
-    return {"missing": vectors.missing(asked, store, "drug_name").select("drug_name"), **reports(found, sims)}
+    return {"missing": vectors.missing(asked, store, "drug_name").select("drug_name", "dataset"), **reports(found, sims)}
 
 
 def fit_tfidf(boiled: DataFrame) -> DataFrame:
@@ -144,14 +149,14 @@ def fit_tfidf(boiled: DataFrame) -> DataFrame:
     return tfidf.vocabulary(boiled.filter(F.coalesce("generic_name", F.lit("")) != ""), "description")
 
 
-def evaluate_tfidf(cohort: DataFrame, corpus: DataFrame, dataset: str, vocabulary: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Reports over the TF-IDF vectors of a cohort; all rows count, a row without any name is an error. The vocabulary
-    is that of `corpus`, unless it is given."""
-    rows = named(_with_rows(cohort), strict=True)
+def evaluate_tfidf(cohort: DataFrame, corpus: DataFrame, dataset: str | None = None, vocabulary: DataFrame | None = None, strict: bool = True) -> dict[str, DataFrame]:
+    """Reports over the TF-IDF vectors of a cohort; all rows count, a row without any name is an error if strict. The
+    vocabulary is that of `corpus`, unless it is given. Without a name for it, the column `dataset` says which cohort a row is of."""
+    rows = named(_with_rows(cohort), strict)
     vocabulary = fit_tfidf(corpus) if vocabulary is None else vocabulary
-    items = rows.select(F.col("row_id").alias("item"), "description", X.display_name(F.col("generic_name"), F.col("drug_name")).alias("display"), F.lit(dataset).alias("dataset"))
-    weights = tfidf.weights(items, "item", "description", vocabulary)
-    sims = tfidf.pairs(items, "item", weights, dataset)
+    items = rows.select(F.col("row_id").alias("item"), "description", X.display_name(F.col("generic_name"), F.col("drug_name")).alias("display"), _dataset(dataset))
+    weights = tfidf.weights(items.select("item", "description").dropDuplicates(["item"]), "item", "description", vocabulary)
+    sims = tfidf.pairs(items, "item", weights, F.col("dataset"))
     sized = items.join(weights.groupBy("item").agg(F.lit(1.0).alias("size")), "item", "left").withColumn("size", F.coalesce("size", F.lit(0.0)))
     return reports(sized, sims)
 
@@ -182,32 +187,46 @@ def evaluate_files(spark: SparkSession, paths: Sequence[str], store: str, out: s
     return done
 
 
+def cohort_rows(boiled: DataFrame, specs=C.COHORTS, seed: int = 42) -> DataFrame:
+    """All cohorts in one pass, each cut to its sample size: the rows with `dataset`, once for every cohort they are in."""
+    columns = ["generic_name", "drug_name", "description", "row_id"]
+    tags = F.filter(F.array(*[F.when(F.col(column).contains(part), F.struct(F.lit(name.split("_")[0]).alias("dataset"), F.lit(n).alias("n"))) for name, column, part, n in specs]), lambda t: t.isNotNull())
+    tagged = boiled.select(*columns, F.explode(tags).alias("tag")).select("tag.*", *columns)
+    return sampling.sample_each(tagged, "dataset", "n", columns, seed)
+
+
 def evaluate_cohorts(boiled: DataFrame, store: DataFrame, specs=C.COHORTS, seed: int = 42) -> DataFrame:
-    """All cohorts, sampled, under both kinds of vectors: dataset, means and deviations of both reports, difference."""
-    vocabulary = fit_tfidf(boiled)
-    sides: list[DataFrame | None] = [None, None]
-    for name, rows in cohorts(boiled, specs, seed).items():
-        dataset = name.split("_")[0]
-        for i, report in enumerate((evaluate(rows, store, dataset), evaluate_tfidf(rows, boiled, dataset, vocabulary))):
-            one = report["per_item"].select(F.lit(dataset).alias("dataset"), "avg_similarity")
-            sides[i] = one if sides[i] is None else sides[i].unionByName(one)
-    return vectors.compare(*sides)
-
-
-def run(spark: SparkSession, config: Config) -> DataFrame:
-    """Products and knowledge base to cleaned descriptions; writes the three outputs under their published column
-    names, returns the last. Missing inputs are an error before anything runs."""
+    """All cohorts, sampled, under both kinds of vectors, in one plan: a row per dataset with n_rows, means and deviations
+    of both reports, their difference, and `error`: 'no rows', 'row without a name' (then without the TF-IDF side) or ''."""
+    rows = phrases.stored(cohort_rows(_with_rows(boiled), specs, seed), "cohorts")
+    blank = (X.strip(F.coalesce("generic_name", F.lit(""))) == "") & ~X.has_brand(F.coalesce("drug_name", F.lit("")))
+    state = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(blank).alias("unnamed"))
+    every = boiled.sparkSession.createDataFrame([(name.split("_")[0],) for name, *_ in specs], "dataset string")  # one row a cohort
+    state = every.join(state, "dataset", "left").select("dataset", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.when(F.col("n_rows").isNull(), "no rows").when(F.col("unnamed") > 0, "row without a name").otherwise("").alias("error"))
+    named_only = rows.join(state.filter("error = ''").select("dataset"), "dataset", "left_semi")
+    sides = evaluate(rows, store), evaluate_tfidf(named_only, boiled, vocabulary=fit_tfidf(boiled), strict=False)
+    compared = vectors.compare(*(side["per_item"].select(F.col("cohort").alias("dataset"), "avg_similarity") for side in sides))
+    return state.join(compared, "dataset", "left")
+
+
+def run(spark: SparkSession, config: Config, counters: metrics.Counters | None = None) -> DataFrame:
+    """Products and knowledge base to cleaned descriptions; publishes the three outputs under their published column
+    names, each whole or not at all, and returns the last. Missing inputs are an error before anything runs. `counters`
+    takes the stages' counts, from the passes that write them: scraped, unique, matching, removal."""
+    counters = counters or metrics.Counters()
     shared.require(spark, config.products_csv, "product list")
     shared.require(spark, config.knowledge_base_xml, "knowledge base")
-    products = phrases.stored(scrape(readers.raw_products(spark, config.products_csv)), "scraped")
+    raw = counters.watch(readers.raw_products(spark, config.products_csv), "scraped", total=metrics.rows())
+    products = phrases.stored(counters.watch(scrape(raw), "unique", rows=metrics.rows()), "scraped")
     if config.scraped_output:
         writers.stage(products, config.scraped_output, "row_id")
-    enriched = describe(products, readers.knowledge_base(spark, config.knowledge_base_xml)).select("row_id", "generic_name", "drug_name", "description", "atc_codes")
+    enriched = counters.watch(describe(products, readers.knowledge_base(spark, config.knowledge_base_xml)), "matching", **metrics.matching()).select("row_id", "generic_name", "drug_name", "description", "atc_codes")
     enriched = phrases.stored(enriched, "enriched")
     writers.stage(enriched, config.output, "row_id")
     listed = config.phrases
     if listed is None:
         listed = [r[0] for r in find_phrases(enriched).orderBy("pos").select("phrase").collect()]  # at most 60
-    out = unboil(enriched, listed)
+    out = unboil(enriched.withColumn("before", F.col("description")), listed)
+    out = phrases.stored(counters.watch(out, "removal", **metrics.removal("before", "description")).drop("before"), "unboiled")
     writers.stage(out, config.unboiled_output, "row_id")
     return out

@@ -1,4 +1,4 @@
-"""The stateless stages on streams; first-wins dedup with a watermark."""
+"""The stateless stages on streams."""
 
 from __future__ import annotations
 
@@ -15,7 +15,3 @@ from ..operators import phrases
 def clean_stream(events: DataFrame, text: str, listed: Sequence[str] = C.PHRASES) -> DataFrame:
     """Folded text without phrases; works on a stream as on a table."""
     return events.withColumn(text, phrases.remove_phrases(X.fold_ascii(F.col(text)), listed))
-
-
-def first_in_stream(events: DataFrame, keys: list[str], time: str, delay: str = "1 hour") -> DataFrame:
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
