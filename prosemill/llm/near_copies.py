@@ -18,21 +18,24 @@ component are then still apart, those outside its largest part are compared with
 in blocks of at most `LEAST` by `MOST` sets; a block is a task's work and sends a spanning forest of its links,
 at most a row a set. So components are those of all candidates, and no pairs are written.
 
+Words are told apart by 128 bits of BLAKE2, shingles by two 64-bit hashes over those of their words, and equal sets are
+those of one 128-bit BLAKE2 digest over all their shingles; sets are numbered, so none shares another's number.
+
 Defined results: null and empty texts have the empty set, which links with itself only; otherwise as in
-simhash. Shingles and sets are told apart by 64-bit hashes.
+simhash.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import U64, blocks, mix, prefix, span_hash, spread, word_hashes, words
+from .bytesops import SPACE, U64, blocks, mix, prefix, span_hash, spread, words
 from .common import KEY, BitFilter, Scratch, heavy_left_join, with_key
 from .simhash import anchors, components, named_components
 
@@ -53,8 +56,17 @@ _LOWER[0x41:0x5B] += 32
 _SALTS = mix(np.arange(1, WORDS + 1, dtype=U64))
 
 
-def shingles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, hashes of the shingles of a block, index of each row's first one and the end)."""
+def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of 128 bits of BLAKE2 per word, computed once per different word."""
+    bounds = pa.py_buffer(np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64).tobytes())
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(data[~SPACE[data]].tobytes())]).dictionary_encode()
+    known = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in coded.dictionary.to_pylist())
+    halves = np.frombuffer(known, U64).reshape(-1, 2)[coded.indices.to_numpy()]
+    return halves[:, 0].copy(), halves[:, 1].copy()
+
+
+def shingles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, two hashes of the shingles of a block, index of each row's first one and the end)."""
     for lo, _, data, offsets in blocks(texts):
         data = _LOWER[data]
         starts, ends, cuts = words(data, offsets)
@@ -62,12 +74,25 @@ def shingles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
         at = spread(cuts[:-1], count)
         last = np.minimum(at + SHINGLE, np.repeat(cuts[1:], count))
-        yield lo, span_hash(prefix(word_hashes(data, starts, ends)), at, last), np.concatenate([[0], np.cumsum(count)])
+        yield lo, *(span_hash(prefix(half), at, last) for half in _words(data, starts, ends)), np.concatenate([[0], np.cumsum(count)])
 
 
 def sets(texts: pa.Array) -> list[np.ndarray]:
     """The sorted shingle hashes of each text."""
-    return [np.unique(h[a:b]) for _, h, cuts in shingles(texts) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [np.unique(h[a:b]) for _, h, _, cuts in shingles(texts) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _named_sets(texts: pa.Array) -> tuple[list[np.ndarray], list[bytes]]:
+    """`sets`, and a digest of each over both hashes of all its shingles."""
+    found, names = [], []
+    for _, h, second, cuts in shingles(texts):
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            order = np.lexsort((second[a:b], h[a:b]))
+            one, two = h[a:b][order], second[a:b][order]
+            new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)]
+            found.append(np.unique(one))
+            names.append(hashlib.blake2b(one[new].tobytes() + two[new].tobytes(), digest_size=16).digest())
+    return found, names
 
 
 def fingerprints(found: list[np.ndarray]) -> np.ndarray:
@@ -90,11 +115,10 @@ def fingerprints(found: list[np.ndarray]) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = sets(batch.column(1))
-        fp = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) if len(x) else 0 for x in found], U64).view(np.int64)
+        found, names = _named_sets(batch.column(1))
         size = np.array([len(x) for x in found], np.int64)
         bits = pa.FixedSizeListArray.from_arrays(pa.array(fingerprints(found).view(np.int64).ravel()), WORDS).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(size), bits], names=["id", "fp", "size", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(size), bits], names=["id", "set", "size", "bits"])
 
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -399,12 +423,13 @@ def _rest(shared: DataFrame, links: DataFrame, grams: DataFrame, spark: SparkSes
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, fp (hash of the shingle set), component (smallest identifier reachable)."""
+    """One row per row of `docs`: id, fp (number of the shingle set), component (smallest identifier reachable)."""
     scratch = Scratch(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = scratch.write(texts.mapInArrow(_sketch, f"id {texts.schema['id'].dataType.simpleString()}, fp long, size long, bits array<long>"), "sketches")
-    rows = sketched.select("id", "fp")
-    distinct = scratch.write(sketched.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bits").alias("bits")), "distinct")
+    sketched = scratch.write(texts.mapInArrow(_sketch, f"id {texts.schema['id'].dataType.simpleString()}, set binary, size long, bits array<long>"), "sketches")
+    distinct = sketched.groupBy("set").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+    distinct = scratch.write(distinct.withColumn("fp", F.monotonically_increasing_id()), "distinct")
+    rows = scratch.write(heavy_left_join(sketched.select("id", "set"), distinct.select("set", "fp", "n"), "set", "n", sketched.count()).select("id", "fp"), "rows")
     stars, near = candidates(spark, distinct, scratch)
     # key: the set that names its component of near fingerprints
     stars = stars.select(F.col("root").alias("key"), F.col("v").alias("fp"))

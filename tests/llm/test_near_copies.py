@@ -87,3 +87,16 @@ def test_chains_of_near_copies(spark):
     assert len(set(name)) < len(rows) - 50
     got = {r.id: r.component for r in near_copies.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(enumerate(name))
+
+
+def test_unlike_words_of_one_hash_stay_apart(spark):
+    """Words whose polynomial hashes are equal for every base, alone and among others, and real copies beside them."""
+    from .conftest import docs
+    from .test_operators import _twins
+
+    one, two = _twins()
+    side = [f"s{i}" for i in range(40)]
+    rows = [(1, one, "a"), (2, two, "a"), (3, " ".join([*side[:20], one]), "a"), (4, " ".join([*side[:20], two]), "a"), (5, one.upper(), "a"), (6, f"{two}  ", "b"), (7, "s1 s2", "a"), (8, "s1  s2", "a"), (9, None, "a"), (10, " ", "a")]
+    got = {r.id: r.component for r in near_copies.near_copies(spark, docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3, 5: 1, 6: 2, 7: 7, 8: 7, 9: 9, 10: 9}
+    assert sorted(r.doc_id for r in near_copies.keep_one(spark, docs(spark, rows)).collect()) == [1, 2, 3, 7, 9]
