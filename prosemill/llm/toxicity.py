@@ -12,7 +12,7 @@ Scoring covers every whole text. Labels, language, source and identifier are no
 
 Defined results: null and empty texts get the score of the bias alone; labels that are null are not
 learnt from; without any label all scores are 0.5 before the threshold; repeated rows get equal scores; an empty
-table gives an empty result; other columns are kept as they are.
+table gives an empty result; other columns are kept as they are, and a score under the name of one of them is an error.
 """
 
 from __future__ import annotations
@@ -142,6 +142,8 @@ def fold(id_column: Column) -> Column:
 
 def with_score(spark: SparkSession, docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
     """`docs` with a column of scores, learnt from the labelled rows outside fold 2."""
+    if name in docs.columns:
+        raise ValueError(f"the documents have a column {name}")
     weights = train(spark, docs, labels, fold(F.col("id")) != 2)
     return docs.withColumn(name, scorer(spark, weights)(F.col("text").cast("string")))
 
