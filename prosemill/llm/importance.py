@@ -31,7 +31,7 @@ from .bytesops import blocks, words
 from .common import Scratch, table
 
 #: bytes of text in a block
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 #: n-grams up to so many words, buckets, seed of the noise, words that a document needs, and per cent drawn
 GRAMS, BUCKETS, SEED, LEAST_WORDS, PERCENT = 1, 10_000, 2024, 20, 10
 #: digits, letters of ASCII and all bytes of other characters make words
