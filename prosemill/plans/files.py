@@ -208,17 +208,17 @@ register(
 )
 
 
-def _cohort_of(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """One label's items as a cohort, each asked for by its key, and a store that lacks every fourth."""
-    cohort = Q._items(s, d).filter("label = 3").select(F.concat(F.lit("g"), "vec_id").alias("generic_name"), F.lit("Unbranded").alias("drug_name"), F.lit("x").alias("description"), F.col("vec_id").alias("row_id"))
+def _cohort_of(s: SparkSession, d: str, label: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The items of every label, or of one, as cohorts, each asked for by its key, and a store that lacks every fourth."""
+    cohort = Q._items(s, d).select(F.concat(F.lit("g"), "vec_id").alias("generic_name"), F.lit("Unbranded").alias("drug_name"), F.lit("x").alias("description"), F.col("vec_id").alias("row_id"), F.col("label").cast("string").alias("dataset"))
     store = Q._items(s, d).filter("vec_id % 4 <> 0").select(F.concat(F.lit("g"), "vec_id", F.lit("|g"), "vec_id").alias("drug_name"), "embedding")
-    return cohort, store
+    return cohort if label is None else cohort.filter(F.col("dataset") == str(label)).drop("dataset"), store
 
 
-_HELD = "WITH embeddings AS (SELECT * FROM main.embeddings WHERE label = 3 AND vec_id % 4 <> 0) "
-register("evaluation_stats", lambda s, d: Q._rounded(pipeline.evaluate(*_cohort_of(s, d), "three")["stats"], *Q._STAT_COLUMNS, "range_min", "range_max"), f"{_HELD} SELECT 'three' AS cohort, {Q._STATS}, least(round(min(sim), 6), 1.0) AS range_min, 1.0 AS range_max FROM {Q._SIMS}")
-register("evaluation_missing", lambda s, d: pipeline.evaluate(*_cohort_of(s, d), "three")["missing"], "SELECT 'g' || vec_id || '|g' || vec_id AS drug_name FROM embeddings WHERE label = 3 AND vec_id % 4 = 0")
-register("evaluation_per_item", lambda s, d: Q._rounded(pipeline.evaluate(*_cohort_of(s, d), "three")["per_item"], "avg_similarity"), f"{_HELD} SELECT 'three' AS cohort, 'g' || item || '/g' || item AS item, round(avg_similarity, 6) AS avg_similarity FROM {Q._PER_ITEM}")
+_HELD = "WITH embeddings AS (SELECT * REPLACE (CAST(label AS VARCHAR) AS label) FROM main.embeddings WHERE vec_id % 4 <> 0) "
+register("evaluation_stats", lambda s, d: Q._rounded(pipeline.evaluate(*_cohort_of(s, d))["stats"], *Q._STAT_COLUMNS, "range_min", "range_max"), f"{_HELD} SELECT cohort, {Q._STATS}, least(round(min(sim), 6), 1.0) AS range_min, 1.0 AS range_max FROM {Q._SIMS} GROUP BY cohort")
+register("evaluation_missing", lambda s, d: pipeline.evaluate(*_cohort_of(s, d))["missing"], "SELECT 'g' || vec_id || '|g' || vec_id AS drug_name, CAST(label AS VARCHAR) AS dataset FROM embeddings WHERE vec_id % 4 = 0")
+register("evaluation_per_item", lambda s, d: Q._rounded(pipeline.evaluate(*_cohort_of(s, d))["per_item"], "avg_similarity"), f"{_HELD} SELECT cohort, 'g' || item || '/g' || item AS item, round(avg_similarity, 6) AS avg_similarity FROM {Q._PER_ITEM}")
 register(
     "evaluation_tfidf",
     lambda s, d: Q._rounded(pipeline.evaluate_tfidf(table(s, d, "benchmark").select(F.lit("g").alias("generic_name"), F.lit("").alias("drug_name"), F.col("text").alias("description"), F.col("item_id").alias("row_id")), table(s, d, "documents").select(F.lit("g").alias("generic_name"), F.col("text").alias("description")), "all")["stats"].drop("range_min", "range_max"), *Q._STAT_COLUMNS),
@@ -230,7 +230,7 @@ def _evaluated(s: SparkSession, d: str) -> DataFrame:
     """A good cohort file, one that is missing, one with a column too many, one that only the second folder has: each has
     its own outcome, and the good ones have reports."""
     folder = shared.new_folder(s, "cohorts")
-    cohort, store = _cohort_of(s, d)
+    cohort, store = _cohort_of(s, d, 3)
     writers.embedding_store(store.withColumn("embedding_type", F.lit("description")), f"{folder}/store", "hashing")
     three = cohort.select("generic_name", "drug_name", "description", "row_id")
     writers.csv(three, f"{folder}/good_a.csv", "row_id")
@@ -258,29 +258,34 @@ def _guards(s: SparkSession, d: str) -> DataFrame:
 
 
 register("existence_guards", _guards, "SELECT * FROM (VALUES ('csv', 'CSV file not found'), ('base', 'knowledge base not found'), ('kind', 'embeddings of type atc not found'), ('store', 'embedding store not found'), ('held', '')) AS v(what, error)")
-register(
-    "cohort_samples",  # every cohort, cut to its sample size, of products named after documents
-    lambda s, d: _cohort_sizes(s, d),
-    "SELECT name, least(n, k) AS n_rows FROM (SELECT 'one' AS name, count(*) AS n, 110 AS k FROM documents WHERE source LIKE '%src1%' UNION ALL SELECT 'two', count(*), 10 FROM documents WHERE text LIKE '%the%')",
-)
+_SAMPLED = (("one", "generic_name", "src1", 110), ("two", "generic_name", "src2", 10), ("three", "description", "the", 150), ("four", "description", "de", 250), ("five", "description", "tion", 100))
 
 
 def _cohort_sizes(s: SparkSession, d: str) -> DataFrame:
+    """Every cohort of the documents, cut to its sample size."""
     rows = table(s, d, "documents").select(F.col("source").alias("generic_name"), F.lit("none").alias("drug_name"), F.col("text").alias("description"), F.col("doc_id").alias("row_id"))
-    specs = (("one", "generic_name", "src1", 110), ("two", "description", "the", 10))
-    sized = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows")) for name, df in pipeline.cohorts(rows, specs).items()]
-    return sized[0].unionByName(sized[1])
+    return pipeline.cohort_rows(rows, _SAMPLED).select(F.col("dataset").alias("name"), "row_id")
+
+
+register(
+    "cohort_samples",
+    _cohort_sizes,
+    "SELECT name, doc_id AS row_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY md5(concat_ws('|', '42', coalesce(source, ''), 'none', coalesce(text, ''), doc_id)), source, text, doc_id) AS r FROM ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS name, {k} AS k, * FROM documents WHERE {'source' if c == 'generic_name' else 'text'} LIKE '%{p}%'" for n, c, p, k in _SAMPLED)
+    + ")) WHERE r <= k",
+)
 
 
 def _compared(s: SparkSession, d: str) -> DataFrame:
-    """Both reports of a cohort side by side, as written and read again; one dataset has one side only."""
+    """Both reports of every cohort side by side, as written and read again; odd datasets have one side only."""
     folder = shared.new_folder(s, "sides")
-    means = vectors.per_item(Q._items(s, d), "label", "vec_id", Q._sims(s, d))
-    for label, side in ((0, "bert"), (1, "bert"), (0, "tfidf")):
-        writers.report(means.filter(F.col("cohort") == label).withColumn("avg_similarity", F.col("avg_similarity") / (2 if side == "tfidf" else 1)), f"{folder}/{side}/d{label}_{side}_sims.csv")
+    means = phrases.stored(vectors.per_item(Q._items(s, d), "label", "vec_id", Q._sims(s, d)), "means")
+    for (label,) in means.select("cohort").distinct().collect():  # one file a dataset is the format
+        for side in ("bert", "tfidf")[: 1 if label % 2 else 2]:
+            writers.report(means.filter(F.col("cohort") == label).withColumn("avg_similarity", F.col("avg_similarity") / (2 if side == "tfidf" else 1)), f"{folder}/{side}/d{label}_{side}_sims.csv")
     out = vectors.compare(readers.reports(s, f"{folder}/bert/*_sims.csv"), readers.reports(s, f"{folder}/tfidf/*_sims.csv"))
     return Q._rounded(out, "mean_a", "std_a", "mean_b", "std_b", "difference")
 
 
-_SIDE = f"(SELECT 'd' || cohort AS dataset, avg(avg_similarity) AS m, stddev_samp(avg_similarity) AS s FROM {Q._PER_ITEM} WHERE cohort < 2 GROUP BY 1)"
-register("compare_files", _compared, f"SELECT dataset, round(m, 6) AS mean_a, round(s, 6) AS std_a, CASE WHEN dataset = 'd0' THEN round(m / 2, 6) END AS mean_b, CASE WHEN dataset = 'd0' THEN round(s / 2, 6) END AS std_b, CASE WHEN dataset = 'd0' THEN round(m / 2, 6) END AS difference FROM {_SIDE}")
+_SIDE = f"(SELECT 'd' || cohort AS dataset, avg(avg_similarity) AS m, stddev_samp(avg_similarity) AS s FROM {Q._PER_ITEM} GROUP BY 1)"
+register("compare_files", _compared, f"SELECT dataset, round(m, 6) AS mean_a, round(s, 6) AS std_a, CASE WHEN CAST(substr(dataset, 2) AS INT) % 2 = 0 THEN round(m / 2, 6) END AS mean_b, CASE WHEN CAST(substr(dataset, 2) AS INT) % 2 = 0 THEN round(s / 2, 6) END AS std_b, CASE WHEN CAST(substr(dataset, 2) AS INT) % 2 = 0 THEN round(m / 2, 6) END AS difference FROM {_SIDE}")
