@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,34 +29,75 @@ def weights(docs: DataFrame, item: str, text: str, vocab: DataFrame) -> DataFram
     return raw.join(size, "item").select("item", "term", (F.col("w") / F.col("size")).alias("weight"))
 
 
+#: entries of left postings that are multiplied at once
+STEP = 1 << 20
+
+
+class _Left:
+    """The left items of a cell as postings: per term the items that have it and their weights."""
+
+    def __init__(self, items: list, terms: list[pa.Array], weights: list[np.ndarray]):
+        self.items = pa.array(items)
+        flat, owner = pa.concat_arrays(terms), np.repeat(np.arange(len(items)), [len(t) for t in terms])
+        self.known = flat.unique()
+        codes = pc.index_in(flat, self.known).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(codes, kind="stable")
+        self.owner, self.weight = owner[order], np.concatenate(weights)[order]
+        self.count = np.bincount(codes, minlength=len(self.known))
+        self.first = np.cumsum(self.count) - self.count
+
+    def dots(self, terms: pa.Array, cuts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Dot products of right items, whose terms are cut at `cuts`, with all left ones: a row each."""
+        n, row = len(cuts) - 1, np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        code = pc.fill_null(pc.index_in(terms, self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        hit = np.flatnonzero(code >= 0)
+        code, row, weights = code[hit], row[hit], weights[hit]
+        out = np.zeros(n * len(self.items))
+        size = np.cumsum(self.count[code])
+        lo = 0
+        while lo < len(code):
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + STEP, "right")))
+            c, times = code[lo:hi], self.count[code[lo:hi]]
+            at = np.repeat(self.first[c] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(int(times.sum()))
+            out += np.bincount(np.repeat(row[lo:hi], times) * len(self.items) + self.owner[at], weights=np.repeat(weights[lo:hi], times) * self.weight[at], minlength=len(out))
+            lo = hi
+        return out.reshape(n, len(self.items))
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (cohort, x, y, left, item, terms, weights), those of a cell together and its left items first: the dot
     products of each left item with each later right item."""
-    last, left, index = None, [], None
+    last, gathered, left = None, ([], [], []), None
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for cohort, x, y, is_left, item, terms, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (cohort, x, y) != last:
-                last, left, index = (cohort, x, y), [], None
-            if is_left:
-                left.append((item, terms, weights))
-                continue
-            if not left:
-                continue
-            if index is None:
-                index = {}
-                for at, (_, own, w) in enumerate(left):
-                    for t, v in zip(own, w, strict=True):
-                        index.setdefault(t, []).append((at, v))
-            dots = [0.0] * len(left)
-            for t, v in zip(terms, weights, strict=True):
-                for at, w in index.get(t, ()):
-                    dots[at] += v * w
-            for (other, _, _), dot in zip(left, dots, strict=True):
-                if other < item:
-                    for column, value in zip(out, (cohort, other, item, dot), strict=True):
-                        column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], batch.schema.field(4).type), pa.array(out[2], batch.schema.field(4).type), pa.array(out[3], pa.float64())], names=["cohort", "i", "j", "dot"])
+        kind, item_type = batch.schema.field(0).type, batch.schema.field(4).type
+        cohort, item = batch.column(0).to_pylist(), batch.column(4)
+        cell = list(zip(cohort, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+        is_left = batch.column(3).to_pylist()
+        cuts = batch.column(5).offsets.to_numpy().astype(np.int64)
+        terms, weights = batch.column(5).values, batch.column(6).values.to_numpy(zero_copy_only=False)
+        lo, n = 0, len(batch)
+        while lo < n:
+            hi = lo + 1
+            while hi < n and hi - lo < 64 and cell[hi] == cell[lo] and is_left[hi] == is_left[lo]:
+                hi += 1
+            if cell[lo] != last:
+                last, gathered, left = cell[lo], ([], [], []), None
+            flat, cut = terms.slice(cuts[lo], cuts[hi] - cuts[lo]), cuts[lo : hi + 1] - cuts[lo]
+            if is_left[lo]:
+                for i in range(lo, hi):
+                    gathered[0].append(item[i].as_py())
+                    gathered[1].append(terms.slice(cuts[i], cuts[i + 1] - cuts[i]))
+                    gathered[2].append(weights[cuts[i] : cuts[i + 1]])
+            elif gathered[0]:
+                left = left or _Left(*gathered)
+                dots = left.dots(flat, cut, weights[cuts[lo] : cuts[hi]])
+                j, i = np.repeat(np.arange(lo, hi), len(left.items)), np.tile(np.arange(len(left.items)), hi - lo)
+                first, second = left.items.take(pa.array(i)).cast(item_type), item.take(pa.array(j))
+                later = pc.less(first, second)
+                held = [first, second, pa.array(dots.ravel())]
+                held = [c.filter(later) for c in held]
+                yield pa.RecordBatch.from_arrays([pa.array([cohort[lo]] * len(held[0]), kind), *held], names=["cohort", "i", "j", "dot"])
+            lo = hi
 
 
 def pairs(docs: DataFrame, item: str, w: DataFrame, cohort: str | Column = "all") -> DataFrame:

@@ -57,31 +57,45 @@ def pair_stats(sims: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     return out.join(own, "cohort").withColumns({"range_min": F.least("min_sim", "low"), "range_max": F.greatest("max_sim", "high")}).drop("low", "high")
 
 
-def ranked(sims: DataFrame) -> DataFrame:
-    """Pairs with their place (from 0) by similarity to nine places, ties by (i, j), and their number.
+def ranked(sims: DataFrame, by: tuple[str, ...] = ("cohort",)) -> DataFrame:
+    """Pairs with their place (from 0) in their group by similarity to nine places, ties by (i, j), and the group's number.
 
-    Pairs are range-partitioned in that order and written; places follow from the number of pairs of each cohort and
-    partition, so a cohort of many pairs is no single task.
+    Pairs are range-partitioned in that order and written; places follow from the number of pairs of each group and
+    partition, so a group of many pairs is no single task.
     """
     spark, path = sims.sparkSession, shared.new_folder(sims.sparkSession, "ranked")
-    order = ["cohort", "down", "i", "j"]
+    order = [*by, "down", "i", "j"]
     rows = sims.withColumn("down", -F.round("sim", 9)).repartitionByRange(*order).sortWithinPartitions(*order)
     rows = rows.withColumns({"part": F.spark_partition_id(), "seq": F.monotonically_increasing_id()})
     rows.write.parquet(path)
     rows = spark.read.schema(rows.schema).parquet(path)
-    counts = rows.groupBy("cohort", "part").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("cohort")
+    counts = rows.groupBy(*by, "part").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*by)
     before = F.coalesce(F.sum("n").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("cohort", "part", (before - F.col("first")).alias("shift"), F.sum("n").over(w).alias("total"))
-    return rows.join(counts, ["cohort", "part"]).withColumn("place", F.col("seq") + F.col("shift")).select(*sims.columns, "place", "total")
+    counts = counts.select(*by, "part", (before - F.col("first")).alias("shift"), F.sum("n").over(w).alias("total"))
+    return rows.join(counts, [*by, "part"]).withColumn("place", F.col("seq") + F.col("shift")).select(*sims.columns, "place", "total")
 
 
-def levels(sims: DataFrame, n: int | None = None) -> DataFrame:
+def levels(sims: DataFrame, n: int | None = None, bins: int = 1024) -> DataFrame:
     """cohort, band (top, middle, bottom), place in band, and the pair. Bands have `n` pairs or, without it, as
-    many as the cohort has items (m items have m (m - 1) / 2 pairs). Bands may overlap in small cohorts."""
-    r = ranked(sims)
-    size = F.lit(n) if n is not None else F.round((1 + F.sqrt(1 + 8 * F.col("total"))) / 2).cast("long")
-    start = {"top": F.lit(0), "middle": F.floor(F.col("total") / 2), "bottom": F.greatest(F.lit(0), F.col("total") - size)}
+    many as the cohort has items (m items have m (m - 1) / 2 pairs). Bands may overlap in small cohorts.
+
+    A first pass counts each cohort's pairs in `bins` bins of similarity, which says in which of them a band begins, runs
+    or ends; only the pairs of those bins are then sorted and written.
+    """
+    spark, path = sims.sparkSession, shared.new_folder(sims.sparkSession, "bins")
+    binned = sims.withColumn("bin", F.least(F.lit(bins - 1), F.floor((1.0 - F.round("sim", 9)) * bins)).cast("int"))
+    binned.groupBy("cohort", "bin").agg(F.count(F.lit(1)).alias("held")).write.parquet(path)  # at most `bins` rows a cohort
+    w = Window.partitionBy("cohort")
+    before = F.coalesce(F.sum("held").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = spark.read.parquet(path).withColumns({"before": before, "pairs": F.sum("held").over(w)})
+    size = F.lit(n) if n is not None else F.round((1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2).cast("long")
+    start = {"top": F.lit(0), "middle": F.floor(F.col("pairs") / 2), "bottom": F.greatest(F.lit(0), F.col("pairs") - size)}
+    touched = F.lit(False)
+    for s in start.values():
+        touched = touched | ((F.col("before") < s + size) & (F.col("before") + F.col("held") > s))
+    chosen = counts.filter(touched).select("cohort", "bin", "before", "pairs")
+    r = ranked(binned.join(chosen, ["cohort", "bin"]), ("cohort", "bin")).withColumn("place", F.col("place") + F.col("before"))
     bands = [r.filter((F.col("place") >= s) & (F.col("place") < s + size)).select("cohort", F.lit(b).alias("band"), (F.col("place") - s).cast("long").alias("place"), "i", "j", "sim") for b, s in start.items()]
     return bands[0].unionByName(bands[1]).unionByName(bands[2])
 
