@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +87,8 @@ def frequent_names(df: DataFrame, name: str, text: str, sizes: Sequence[int], le
     some with fewer names, which `frequent` and `dissimilar` count and drop.
 
     A first pass over the text counts names per 64-bit hash of a phrase, so that no phrase is shuffled; a second
-    one writes out only the phrases whose hash reached the number.
+    one writes out only the phrases whose hash reached the number. Where these are more than a filter of bounded size
+    tells apart, there is a second pass for each part of them.
     A null name is a name; null and empty texts have no phrases.
     """
     spark = df.sparkSession
@@ -101,9 +103,16 @@ def frequent_names(df: DataFrame, name: str, text: str, sizes: Sequence[int], le
                 yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), names.dictionary.take(pa.array(who[row[once]]))], names=["key", "name"])
 
     per_hash = rows.mapInArrow(hashed, "key long, name string").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("names"))
-    held = KeyFilter(spark, stored(per_hash.filter(F.col("names") >= least).select("key"), "hashes"))
+    filters = KeyFilter.shared(spark, stored(per_hash.filter(F.col("names") >= least).select("key"), "hashes"))
+    schema = "n int, phrase string, name string"
+    passes = [rows.mapInArrow(_spelled(held, sizes), schema) for held in filters]
+    return reduce(DataFrame.unionByName, passes).filter(F.octet_length("phrase") >= least_bytes).distinct()
 
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _spelled(held: KeyFilter, sizes: Sequence[int]):
+    """(n, phrase, name) of rows (name, text), of the phrases that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column(0).dictionary_encode(null_encoding="encode")
             who = names.indices.to_numpy().astype(np.int64)
@@ -114,7 +123,7 @@ def frequent_names(df: DataFrame, name: str, text: str, sizes: Sequence[int], le
                 phrase = pc.binary_join_element_wise(*words, " ")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n, np.int32)), phrase, names.dictionary.take(pa.array(who[row[some]]))], names=["n", "phrase", "name"])
 
-    return rows.mapInArrow(spelled, "n int, phrase string, name string").filter(F.octet_length("phrase") >= least_bytes).distinct()
+    return run
 
 
 def phrase_names(df: DataFrame, name: str, text: str, sizes: Sequence[int], least_bytes: int = 10) -> DataFrame:

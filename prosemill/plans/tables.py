@@ -300,3 +300,47 @@ SELECT (SELECT count(*) FROM documents) AS scraped_total, (SELECT count(*) FROM
 (SELECT count(*) FILTER (matched AND cleaned) FROM enriched) AS matching_cleaned, (SELECT count(*) FILTER (matched AND NOT cleaned) FROM enriched) AS matching_empty, (SELECT count(*) FROM removed) AS removal_processed,
 (SELECT count(*) FILTER (strlen(after) < strlen(before)) FROM removed) AS removal_changed, (SELECT count(*) FILTER (before <> '' AND after = '') FROM removed) AS removal_emptied""",
 )
+
+
+# names: some brands that count as none, some rows without any name
+_DRUG = "CASE doc_id % 5 WHEN 0 THEN ' Unbranded ' WHEN 1 THEN 'None reformulated' WHEN 2 THEN '' WHEN 3 THEN lang ELSE upper(source) END"
+_GENERIC = "CASE WHEN doc_id % 10 = 2 THEN ' ' ELSE ' ' || source || '-' || (doc_id % 97) END"
+_NAMED = f"(SELECT doc_id AS row_id, {_GENERIC} AS generic_name, {_DRUG} AS drug_name, coalesce(text, '') AS description FROM documents)"
+
+
+def _names(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select(F.col("doc_id").alias("row_id"), F.expr(_GENERIC).alias("generic_name"), F.expr(_DRUG).alias("drug_name"), _text().alias("description"))
+
+
+_brand = lambda: X.brand_or_generic(F.col("generic_name"), F.col("drug_name"))
+register(
+    "document_names",
+    lambda s, d: _names(s, d).select(
+        "row_id", _brand().alias("brand"), X.unique_key(F.col("generic_name"), _brand()).alias("unique_key"), X.display_name(F.col("generic_name"), _brand()).alias("display"),
+        F.length(X.combined_text(_brand(), F.col("description"))).alias("combined"), X.display_label(F.concat(X.strip(F.col("generic_name")), F.lit("_x.csv"))).alias("label"),
+    ),
+    f"SELECT row_id, {Q._BRAND} AS brand, lower({O.strip('generic_name')}) || '|' || lower({O.strip(Q._BRAND)}) AS unique_key, generic_name || '/' || {Q._BRAND} AS display, CAST(length({Q._BRAND} || ' ' || description) AS INT) AS combined, upper(string_split({O.strip('generic_name')} || '_x.csv', '_')[1]) AS label FROM {_NAMED}",
+)
+register(
+    "document_named_rows",  # rows without any name are left out
+    lambda s, d: pipeline.named(_names(s, d), strict=False).select("row_id", "drug_name"),
+    f"SELECT row_id, {Q._BRAND} AS drug_name FROM {_NAMED} WHERE NOT ({O.strip('generic_name')} = '' AND lower({O.strip('drug_name')}) IN ('', 'unbranded', 'none', 'none reformulated'))",
+)
+register(
+    "document_display_lookup",  # of repeated keys the last row names the key
+    lambda s, d: _names(s, d).select(X.unique_key(F.col("generic_name"), _brand()).alias("key"), X.display_name(F.col("generic_name"), _brand()).alias("display"), "row_id").groupBy("key").agg(F.max_by("display", "row_id").alias("display")),
+    f"SELECT key, arg_max(display, row_id) AS display FROM (SELECT row_id, lower({O.strip('generic_name')}) || '|' || lower({O.strip(Q._BRAND)}) AS key, generic_name || '/' || {Q._BRAND} AS display FROM {_NAMED}) GROUP BY key",
+)
+register("scrape_documents", lambda s, d: pipeline.scrape(_doc_products(s, d)), f"SELECT * FROM {_DOC_LIST}")
+for _name, _fn, _i in (("exact", match.exact, 0), ("brand", match.brand, 1), ("component", match.component_exact, 2), ("substring", match.component_substring, 3)):
+    register(f"match_{_name}_tables", lambda s, d, fn=_fn: fn(Q._listed(s, d), Q._known(s, d)), Q._match_sql(Q._LISTED, Q._KNOWN)[_i])
+
+
+def _phrase_list(s: SparkSession, d: str) -> DataFrame:
+    """The phrases found in the documents, published as data and read again."""
+    path = shared.new_folder(s, "phrases")
+    writers.phrases(Q.QUERIES["phrase_overlap_dedup"](s, d), path)
+    return s.read.parquet(path)
+
+
+register("phrase_list_documents", _phrase_list, Q.ORACLES["phrase_overlap_dedup"])

@@ -22,7 +22,8 @@ from .test_core import SF, _rows
 NAMES = [
     "csv_line_breaks", "stage_line_breaks", "xml_elements", "xml_strict", "published_version", "unboil_all", "counted_write", "stream_first", "stream_last", "sql_functions", "sql_ngrams", "sql_table_ngrams",
     "tfidf_model", "bucket_lookup", "cohort_evaluation", "document_category", "document_mechanism", "document_indications", "document_told_fallback", "document_information", "document_predicates",
-    "enrich_documents", "run_documents", "run_counters",
+    "enrich_documents", "run_documents", "run_counters", "document_names", "document_named_rows", "document_display_lookup", "scrape_documents", "match_brand_tables", "match_substring_tables",
+    "cohort_samples", "evaluation_stats", "evaluation_missing",
 ]
 
 
@@ -219,3 +220,32 @@ print("rows", len(E.queries()["flagship_phrases"](spark, {SF!r}).collect()))
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.stdout.count("rows") == 2, done.stderr[-2000:]
     assert tables.register is queries.register
+
+
+# filters
+def test_phrases_with_filters_that_would_be_full(spark, monkeypatch):
+    """Many more keys than a filter has bits: the keys are shared out, results are equal, and few single phrases are spelled out."""
+    from prosemill.operators.keyfilter import KeyFilter
+
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(200)]
+    rows = [(f"name{i % 9}", " ".join(rng.choice(words) for _ in range(300)) + " a shared run of words here") for i in range(40)]
+    frame = spark.createDataFrame(rows, "name string, text string")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    want = key(phrases.frequent_names(frame, "name", "text", (2, 3, 5), 3))
+    every = phrases.phrase_names(frame, "name", "text", (2, 3, 5)).count()
+    monkeypatch.setattr(KeyFilter, "LEAST_BITS", 1 << 10)
+    monkeypatch.setattr(KeyFilter, "MOST_BITS", 1 << 10)
+    got = phrases.frequent_names(frame, "name", "text", (2, 3, 5), 3)
+    frequent = lambda r: sorted(map(tuple, r.groupBy("n", "phrase").agg(F.count(F.lit(1)).alias("c")).filter("c >= 3").collect()))
+    assert frequent(got) == frequent(spark.createDataFrame(want, "n int, phrase string, name string")) != []
+    often = {x[:2] for x in frequent(got)}
+    single = sum((r.n, r.phrase) not in often for r in got.collect())
+    assert single < 0.4 * every
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    filters = KeyFilter.shared(spark, stored_keys := keys)
+    assert len(filters) == 12 and stored_keys.count() == 3000
+    import numpy as np
+
+    asked = np.array([r.key for r in keys.collect()], np.int64)
+    assert (sum(f.has(asked).astype(int) for f in filters) == 1).all()  # each key is in one filter
