@@ -32,6 +32,8 @@ from .common import Scratch, table
 
 #: bytes of text in a block
 BLOCK = 8 << 20
+#: a block is a row of tens of MB: row groups are cut after each, or writers and readers hold a hundred such rows, or all of a task
+ROW_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 #: n-grams up to so many words, buckets, seed of the noise, words that a document needs, and per cent drawn
 GRAMS, BUCKETS, SEED, LEAST_WORDS, PERCENT = 1, 10_000, 2024, 20, 10
 #: digits, letters of ASCII and all bytes of other characters make words
@@ -117,7 +119,7 @@ def weigh(spark: SparkSession, source: DataFrame, target: DataFrame, id_col: str
     kind = source.schema[id_col].dataType.simpleString()
     own = encode(source, id_col, text_col, grams).withColumn("target", F.lit(False))
     other = encode(target, target_id, target_text, grams).withColumn("id", F.lit(None).cast(f"array<{kind}>")).withColumn("target", F.lit(True))
-    all_blocks = scratch.write(own.unionByName(other).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    all_blocks = scratch.write(own.unionByName(other).withColumn("block", F.monotonically_increasing_id()), "blocks", **ROW_GROUPS)
 
     # the first tuples of a block are its single words, in order
     alone = F.posexplode(F.arrays_zip("words", F.slice("numbers", F.lit(1), F.size("words")).alias("number")))
