@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from prosemill.operators import cosines, vectors
 from prosemill.plans import pipeline
@@ -97,3 +98,26 @@ def test_ranges_of_sizes(spark):
     r = cosines.Cosines(items, "cohort", "item", "v").stats(sizes).first()
     assert (r.range_min, r.range_max) == (0.0, 1.0)
     assert vectors.pair_stats(cosines.Cosines(items, "cohort", "item", "v").pairs(), sizes).first().range_max == 1.0
+
+
+def _block(n, seed):
+    rng = np.random.default_rng(seed)
+    held = pa.StructArray.from_arrays([pa.array(rng.permutation(n) * 2 + seed), pa.array(list(rng.normal(size=(n, 4))))], names=["item", "v"])
+    return pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), held)
+
+
+def test_products_are_made_in_small_tiles_and_once_a_pair():
+    """A block with itself was multiplied whole, and by strips of 4 MB."""
+    n = 3000
+    own, two = cosines._Cell(_block(n, 0), None), cosines._Cell(_block(n, 0), _block(n, 1))
+    sizes = [(t.sims.size, t.flat().size) for t in own.tiles()]
+    assert max(s for s, _ in sizes) <= 1 << 16 and sum(s for s, _ in sizes) < 0.7 * n * n and sum(k for _, k in sizes) == n * (n - 1) // 2
+    assert sum(t.flat().size for t in two.tiles()) == n * n
+
+
+def test_pairs_of_a_band_are_worked_out_once(spark):
+    """The sort by ranges took its sample from the products themselves."""
+    items = spark.createDataFrame([("c", f"k{i:03d}", [1.0, float(i)]) for i in range(50)], SCHEMA)
+    before = _kept(spark, "between")
+    assert cosines.Cosines(items, "cohort", "item", "v").levels(10).count() == 30
+    assert 30 <= _kept(spark, "between") - before <= 3 * (10 + 50)
