@@ -18,3 +18,30 @@ def test_keys_that_stand_often_enough():
     got = [k for b in phrases._reached(2)(iter([rows.slice(0, 1), rows.slice(1)])) for k in b.column(0).to_pylist()]
     assert got == [2, 2**32 - 1]
     assert [k for b in phrases._reached(1)(iter([rows.slice(2)])) for k in b.column(0).to_pylist()] == [(5 << 32) + 2]
+
+
+def test_keys_count_by_different_names(spark):
+    """A phrase that one name repeats over slices of the text passed the count and was spelled out and shuffled."""
+    low, who = np.array([7, 7, 7, 9, 9], np.uint32), np.array([1, 1, 1, 1, 2], np.uint8)
+    rows = pa.RecordBatch.from_arrays([pa.array([3, 3], pa.int32()), pa.array([low[:2].tobytes(), low[2:].tobytes()]), pa.array([who[:2].tobytes(), who[2:].tobytes()])], names=["bucket", "keys", "names"])
+    assert [k for b in phrases._reached(2)(iter([rows])) for k in b.column(0).to_pylist()] == [(3 << 32) + 9]
+    docs = [("a", "one phrase repeated here")] * 6 + [("b", "shared by some names"), (None, "shared by some names"), ("A", "shared by some names")]
+    df = spark.createDataFrame(docs, "name string, text string").repartition(9)
+    assert {(r.phrase, r.name) for r in phrases.frequent_names(df, "name", "text", (4,), 3).collect()} == {("shared by some names", x) for x in ("a", "b", None)}
+    most, phrases.MOST_NAMES = phrases.MOST_NAMES, 2
+    try:
+        assert {r.phrase for r in phrases.frequent(phrases.frequent_names(df, "name", "text", (4,), 3), 3).collect()} == {"shared by some names"}
+    finally:
+        phrases.MOST_NAMES = most
+
+
+def test_a_task_spells_a_phrase_once_a_name():
+    """Each slice of 4 MB spelled out all of its phrases anew."""
+
+    class All:
+        def has(self, h):
+            return np.ones(len(h), bool)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", None, "None"]), pa.array(["x y z"] * 4)], names=["name", "text"])
+    got = [tuple(r.values()) for b in phrases._spelled(All(), (2, 3))(iter([batch] * 5)) for r in b.to_pylist()]
+    assert sorted(got, key=str) == sorted(((n, p, x) for x in ("a", "b", None, "None") for n, p in ((2, "x y"), (2, "y z"), (3, "x y z"))), key=str)
