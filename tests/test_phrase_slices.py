@@ -3,6 +3,8 @@
 import numpy as np
 import pyarrow as pa
 from prosemill.operators import phrases
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def test_work_is_cut_by_bytes_of_text():
@@ -45,3 +47,17 @@ def test_a_task_spells_a_phrase_once_a_name():
     batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", None, "None"]), pa.array(["x y z"] * 4)], names=["name", "text"])
     got = [tuple(r.values()) for b in phrases._spelled(All(), (2, 3))(iter([batch] * 5)) for r in b.to_pylist()]
     assert sorted(got, key=str) == sorted(((n, p, x) for x in ("a", "b", None, "None") for n, p in ((2, "x y"), (2, "y z"), (3, "x y z"))), key=str)
+
+
+def test_removal_holds_a_few_texts_at_a_time(spark):
+    """10,000 texts were held by a worker at once, however long they were."""
+
+    @F.arrow_udf(T.LongType())
+    def held(texts: pa.Array) -> pa.Array:
+        return pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(3000, numPartitions=1).select(F.concat(F.lit("a used for the treatment of "), F.repeat(F.lit("wxyz "), 1000)).alias("t"))
+    removed = phrases.remove_phrases(F.col("t"), ("used for",))
+    row = docs.select(held("t").alias("bytes"), removed.alias("t")).agg(F.max("bytes").alias("bytes"), F.min("t").alias("t")).first()
+    assert row.bytes <= phrases.SLICE + 20_000 and row.t.startswith("a the treatment of wxyz")
