@@ -5,6 +5,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 
 import duckdb
 import pytest
@@ -126,6 +127,28 @@ def test_late_rows_within_the_watermark(spark, tmp_path):
         spark.conf.unset(stream_dedup.STORE[0])
 
 
+def test_a_key_that_comes_back_after_its_state_is_dropped(spark, tmp_path):
+    """The first of all rows stays the result; rows of a key in several spans of one batch are one result; nulls order last."""
+    schema = "k string, n long, ts timestamp, v string"
+    batches = [("a", 1, "2024-01-01 10:00", "x"), ("c", 4, "2024-01-01 10:00", "s")], [("b", 1, "2024-01-20 10:00", "y"), ("b", 2, "2024-03-20 10:00", "z")], [("a", 5, "2024-03-20 10:00", "late"), ("c", None, "2024-03-20 10:00", "t")]
+    for rows in batches:
+        spark.createDataFrame(rows, "k string, n long, ts string, v string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in the order of their times
+    for name, way, want in (("f", stream_dedup.first_in_stream, {"a": 1, "b": 1, "c": 4}), ("l", stream_dedup.last_in_stream, {"a": 5, "b": 2, "c": 4})):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        stream_dedup.drain(way(stream, ["k"], "n", "ts"), str(tmp_path / f"o{name}"), str(tmp_path / f"c{name}"))
+        got = stream_dedup.latest(spark.read.parquet(str(tmp_path / f"o{name}")), ["k"]).collect()
+        assert {r.k: r.n for r in got} == want
+
+
+def test_events_without_a_time_count(spark, tmp_path):
+    rows = [(1, None, 7, "view", 1.0, ""), (2, "2024-01-05 00:00:00", 7, "view", 2.0, ""), (3, None, 7, "view", 3.0, ""), (4, None, 8, "view", 4.0, "")]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    for name, want in (("stream_first", {1, 4}), ("stream_last", {3, 4})):
+        assert {r.event_id for r in queries.QUERIES[name](spark, str(tmp_path)).collect()} == want
+
+
 # SQL functions
 def test_sql_functions_are_the_rules(spark):
     made = S.register(spark, "t_")
