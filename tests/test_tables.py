@@ -12,7 +12,7 @@ import pytest
 from prosemill.functions import constants as C
 from prosemill.functions import sql as S
 from prosemill.functions import text as X
-from prosemill.operators import dedup, phrases, sampling, tfidf, tfidf_model
+from prosemill.operators import dedup, match, phrases, sampling, tfidf, tfidf_model
 from prosemill.plans import pipeline, queries, tables
 from prosemill.sources import metrics, publish, readers, writers
 from prosemill.streaming import dedup as stream_dedup
@@ -95,6 +95,19 @@ def test_a_failed_run_leaves_what_was_published(spark, tmp_path):
     assert sum(d.startswith("v-") for d in os.listdir(path)) == 2
 
 
+# extraction
+def test_texts_are_parsed_and_searched_once(spark, tmp_path):
+    """An element is parsed by one expression, filters included, and an entity's text is searched below the join, once a pattern's use."""
+    (tmp_path / "base.xml").write_text("<drug><name>A b</name><description>It works by blocking receptors of pain in all.</description></drug>")
+    base = readers.knowledge_base(spark, str(tmp_path / "base.xml"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(base).count("from_xml") == 1
+    products = spark.createDataFrame([(0, "a b", "none", "Cat", "a b"), (1, "a b", "x", "", "a b"), (2, "c", "x", "-", None)], "row_id long, generic_name string, drug_name string, category string, name_key string")
+    enriched = match.enrich(products, base)
+    assert plan(enriched).count("exerts its effects") <= 3
+    assert {r.row_id: (r.description, r.matched, r.cleaned) for r in enriched.collect()} == {0: ("cat; blocking receptors of pain in all", True, True), 1: ("blocking receptors of pain in all", True, True), 2: ("-", False, False)}
+
+
 # counters
 def test_counters_come_from_the_write(spark, tmp_path):
     spark.range(100).withColumn("v", F.concat(F.lit("the treatment of "), F.col("id"))).write.parquet(str(tmp_path / "in"))
