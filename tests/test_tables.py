@@ -108,6 +108,17 @@ def test_texts_are_parsed_and_searched_once(spark, tmp_path):
     assert {r.row_id: (r.description, r.matched, r.cleaned) for r in enriched.collect()} == {0: ("cat; blocking receptors of pain in all", True, True), 1: ("blocking receptors of pain in all", True, True), 2: ("-", False, False)}
 
 
+def test_substrings_read_the_dictionary_once(spark, tmp_path):
+    spark.createDataFrame([("alpha",), ("alphabet soup",), ("bet soup ab",), ("soup",), ("alp",)], "name_key string").write.parquet(str(tmp_path / "known"))
+    known = spark.read.parquet(str(tmp_path / "known"))
+    products = spark.createDataFrame([(0, "Alphabet / bet soup", "x"), (1, "alphabet soup / alp", "x"), (2, "soup", "x")], "row_id long, generic_name string, drug_name string")
+    got = match.component_substring(products, known)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [name_key") == 1
+    want = {(0, 0, "alpha"), (0, 0, "alphabet soup"), (0, 1, "soup"), (0, 1, "bet soup ab"), (0, 1, "alphabet soup"), (1, 0, "alpha"), (1, 0, "alphabet soup"), (1, 0, "soup")}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
 # counters
 def test_counters_come_from_the_write(spark, tmp_path):
     spark.range(100).withColumn("v", F.concat(F.lit("the treatment of "), F.col("id"))).write.parquet(str(tmp_path / "in"))
