@@ -119,6 +119,19 @@ def test_substrings_read_the_dictionary_once(spark, tmp_path):
     assert set(rows) == want and len(rows) == len(want)
 
 
+def test_records_of_lines_stay_where_they_are(spark, tmp_path):
+    """Sums of byte ranges and header counts are broadcast: only lines of several are shuffled, once, by no join."""
+    (tmp_path / "a.csv").write_text('x,y\n1,"a\nb"\n2,c\n')
+    rows = readers.csv(spark, str(tmp_path / "a.csv"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where sizes are unknown
+    try:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert sorted(map(tuple, rows.collect())) == [("1", "a\nb", 0), ("2", "c", 1)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # counters
 def test_counters_come_from_the_write(spark, tmp_path):
     spark.range(100).withColumn("v", F.concat(F.lit("the treatment of "), F.col("id"))).write.parquet(str(tmp_path / "in"))
