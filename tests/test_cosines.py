@@ -8,7 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from prosemill.operators import cosines, vectors
-from prosemill.plans import pipeline
+from prosemill.plans import pipeline, queries
+from pyspark.sql import functions as F
+
+from .test_core import SF
 
 SCHEMA = "cohort string, item string, v array<double>"
 
@@ -121,3 +124,15 @@ def test_pairs_of_a_band_are_worked_out_once(spark):
     before = _kept(spark, "between")
     assert cosines.Cosines(items, "cohort", "item", "v").levels(10).count() == 30
     assert 30 <= _kept(spark, "between") - before <= 3 * (10 + 50)
+
+
+def test_pairs_are_rounded_as_spark_rounds(spark):
+    """Similarities were rounded row by row in decimals, which took longer than the products."""
+    made = np.random.default_rng(3)
+    values = np.concatenate([made.random(3000), made.integers(0, 10**7, 3000) / 10**7, np.arange(129) / 128, (made.integers(0, 10**6, 500) + 0.5) / 10**6, np.nextafter((np.arange(500) + 0.5) / 10**6, 0), [0.0, 1.0, 5e-7, 4.9999999999e-7, 1e-300]])
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in values], "v double").select(F.round("v", 6)).collect()]
+    assert cosines._half_up(values, 6).tolist() == want
+    items = spark.createDataFrame([(i % 2, i, made.integers(0, 3, 8).astype(float).tolist()) for i in range(60)], "c int, id long, v array<double>")
+    of = cosines.Cosines(items, "c", "id", "v", most=7)
+    assert sorted(of.pairs(6).collect()) == sorted(of.pairs().withColumn("sim", F.round("sim", 6)).collect())
+    assert "round(" not in queries.QUERIES["cosine_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
