@@ -28,12 +28,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytesops import blocks, words
-from .common import Scratch, table
+from .common import ROW_GROUPS, Scratch, table
 
 #: bytes of text in a block
 BLOCK = 8 << 20
-#: a block is a row of tens of MB: row groups are cut after each, or writers and readers hold a hundred such rows, or all of a task
-ROW_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 #: n-grams up to so many words, buckets, seed of the noise, words that a document needs, and per cent drawn
 GRAMS, BUCKETS, SEED, LEAST_WORDS, PERCENT = 1, 10_000, 2024, 20, 10
 #: digits, letters of ASCII and all bytes of other characters make words

@@ -34,12 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import blocks
-from .common import Scratch, table
+from .common import ROW_GROUPS, Scratch, table
 from .token_counts import LONG_WHITE, PATTERN, WHITE_SPACE
 
 VOCABULARY_A, VOCABULARY_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+#: bytes of text in a block: a worker takes some 150 bytes for each while it aligns them
+BLOCK = 1 << 18
 #: keys of one shard (16 MB), and keys that a task merges at once
-SHARD, MERGE = 1 << 20, 1 << 21
+SHARD, MERGE = 1 << 20, 1 << 20
 #: shards that a task keeps in memory where the shared folder cannot be mapped
 HELD = 4
 #: Characters whose letter, number and space classes no Unicode version has moved; other chunks take the slower encoder.
@@ -48,7 +50,7 @@ _LONG_SPACE = re.compile(f"{WHITE_SPACE}{{{LONG_WHITE},}}")
 #: No token of A or B holds a space after a character that is no white space, so texts are encoded in chunks cut there.
 _CHUNK = re.compile("(?<=[^\\s\u180e\u200b\u2060\ufeff])(?= )")
 #: chunks up to this length are remembered, this many at most
-CHUNK_LENGTH, CHUNKS = 64, 200_000
+CHUNK_LENGTH, CHUNKS = 64, 100_000
 _loaded: dict = {}
 
 
@@ -273,7 +275,7 @@ class Alignment:
         def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder = Encoder(a, b)
             for batch in batches:
-                for lo, hi, data, offsets in blocks(batch.column(1)):
+                for lo, hi, data, offsets in blocks(batch.column(1), BLOCK):
                     texts = [data[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
                     block = Block(texts, encoder)
                     keys, place, counts = np.unique(_pack(block.link_a, block.link_b), return_inverse=True, return_counts=True)
@@ -286,7 +288,7 @@ class Alignment:
 
         schema_names = ["id", *names, "digest", "n_places", "place", "times", "key", "count"]
         schema = f"id array<{self.id_type}>, {', '.join(f'{n} array<long>' for n in names)}, digest array<string>, n_places array<long>, place array<int>, times array<int>, key array<long>, count array<long>"
-        self.blocks = self.scratch.write(rows.mapInArrow(align, schema), "blocks")
+        self.blocks = self.scratch.write(rows.mapInArrow(align, schema), "blocks", **ROW_GROUPS)
         self._sort_counts()
 
     def _sort_counts(self) -> None:
