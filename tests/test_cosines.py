@@ -136,3 +136,15 @@ def test_pairs_are_rounded_as_spark_rounds(spark):
     of = cosines.Cosines(items, "c", "id", "v", most=7)
     assert sorted(of.pairs(6).collect()) == sorted(of.pairs().withColumn("sim", F.round("sim", 6)).collect())
     assert "round(" not in queries.QUERIES["cosine_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_are_not_shuffled_for_each_cell(spark):
+    """Each block was shuffled once for every block of its cohort, so disk grew with the square of the vectors."""
+    made = np.random.default_rng(4).normal(size=(200, 3))
+    items = spark.createDataFrame([("c", f"k{i:03d}", v.tolist()) for i, v in enumerate(made)], SCHEMA)
+    of = cosines.Cosines(items, "cohort", "item", "v", most=10)
+    cells = of._cells()
+    n = of._stored.count()
+    assert cells.count() == n * (n + 1) // 2 > 150
+    assert {t for _, t in cells.dtypes} == {"string", "int"}  # names of files, no vectors
+    assert of.pairs().count() == 199 * 100
