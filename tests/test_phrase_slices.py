@@ -61,3 +61,32 @@ def test_removal_holds_a_few_texts_at_a_time(spark):
     removed = phrases.remove_phrases(F.col("t"), ("used for",))
     row = docs.select(held("t").alias("bytes"), removed.alias("t")).agg(F.max("bytes").alias("bytes"), F.min("t").alias("t")).first()
     assert row.bytes <= phrases.SLICE + 20_000 and row.t.startswith("a the treatment of wxyz")
+
+
+def test_phrases_of_rare_parts_are_not_counted(spark, monkeypatch):
+    """All runs of each size were shuffled to be counted, also those whose parts are too rare."""
+    listed = []
+    monkeypatch.setattr(phrases, "_reached", lambda least, kept=phrases._reached: (listed.append(least), kept(least))[1])
+    texts = pa.array(["a b c d e", "x b c d y"])
+    every = {k: h for k, h, *_ in phrases._runs(texts, (3, 4))}
+
+    class Shared:
+        def has(self, h):
+            return np.isin(h, every[3][[0, 1]] & phrases._KEY)  # a b c, b c d
+
+    h, row = phrases._hopeful(texts, 4, (3, Shared()))
+    assert h.tolist() == [every[4][0]] and row.tolist() == [0]
+    rows = [(f"s{i}", f"p{i} one two three four q{i}") for i in range(6)] + [("s0", "one two three five")]
+    df = spark.createDataFrame(rows, "name string, text string")
+    got = phrases.frequent(phrases.frequent_names(df, "name", "text", (3, 4, 5), 5), 5).collect()
+    assert {(r.n, r.phrase, r.total) for r in got} == {(3, "one two three", 6), (3, "two three four", 6), (4, "one two three four", 6)}
+    assert listed == [5, 5, 5]
+
+
+def test_phrases_are_not_shuffled_to_tell_names_apart(spark):
+    """Each join of names carried the texts of the phrases."""
+    rows = [(3, "one two three", x) for x in ("alpha", "alpha two", "beta", "gamma", None)] + [(4, "one two three four", x) for x in ("alpha", "alphabet", "beta")]
+    got = phrases.dissimilar(spark.createDataFrame(rows, "n int, phrase string, name string").repartition(3), 3)
+    assert {tuple(r) for r in got.collect()} == {(3, "one two three", 5, 4)}
+    dealt = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[1:] if "phrase" in x.split("\n")[0]]
+    assert not dealt
